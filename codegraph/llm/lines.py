@@ -52,9 +52,9 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MI
 
 def line_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
-    min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, band: float = BAND,
+    min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, band: float = BAND, counts: bool = True,
 ) -> DataFrame:
-    """docs with boilerplate lines taken out of text_col, and the columns n_lines and n_removed.
+    """docs with boilerplate lines taken out of text_col; with counts, the columns n_lines and n_removed follow.
 
     Lines end at line feeds; they are compared without outer spaces, and only lines of min_chars characters or more are
     judged. A line found on min_sites distinct sites goes from every document but the one with the smallest id that
@@ -71,18 +71,19 @@ def line_dedup(
         .groupBy("_k1", "_k2")
         .agg(F.collect_set(F.struct("_h1", "_h2", "_first")).alias("_hits"))
     )
-    keyed = docs.select("*", *key_of(text_of(text_col))).join(hits, ["_k1", "_k2"], "left")
-    parts = F.split(text_of(text_col), "\n", -1)
+    row = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*docs.columns).alias("_row"))
+    keyed = row.select("*", *key_of(text_of("_text"))).join(hits, ["_k1", "_k2"], "left")
+    parts = F.split(text_of("_text"), "\n", -1)
 
     def stays(line: Column) -> Column:
         bare_line = _trimmed(line)
         h1, h2 = F.xxhash64(bare_line), F.xxhash64(F.lit(2), bare_line)
-        return ~F.exists("_hits", lambda x: (x["_h1"] == h1) & (x["_h2"] == h2) & ~x["_first"].eqNullSafe(F.col(id_col)))
-
-    kept = F.when(F.col("_hits").isNull(), parts).otherwise(F.filter(parts, stays))
-    done = keyed.withColumn("_kept", kept)
-    n_lines, n_kept = F.size(F.split(text_of(text_col), "\n", -1)).cast("long"), F.size("_kept").cast("long")
-    clean = F.when(F.col(text_col).isNotNull(), F.array_join("_kept", "\n"))
-    return done.select(
-        *[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns], n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_removed")
-    )
+        return ~F.exists("_hits", lambda x: (x["_h1"] == h1) & (x["_h2"] == h2) & ~x["_first"].eqNullSafe(F.col("_id")))
+
+    done = keyed.withColumn("_kept", F.when(F.col("_hits").isNull(), parts).otherwise(F.filter(parts, stays)))
+    clean = F.when(F.col("_text").isNotNull(), F.array_join("_kept", "\n"))
+    columns = [clean.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns]
+    if not counts:
+        return done.select(*columns)
+    n_lines, n_kept = F.size(parts).cast("long"), F.size("_kept").cast("long")
+    return done.select(*columns, n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_removed"))

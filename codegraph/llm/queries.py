@@ -7,12 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontam import contamination
 from .exact import exact_dedup
 from .license import license_scan
 from .lines import MIN_CHARS, MIN_SITES, line_dedup
+from .pii import pii_scan
 from .shared import table, text_of
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_scan(table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return done.select(
+        "doc_id",
+        "found.n_words",
+        "found.n_hit",
+        F.size("found.item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("found.item_ids", ","), 256).alias("items_sha256"),
+        "found.contaminated",
+    )
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -22,7 +40,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup(table(spark, sf_dir, "documents"))
+    done = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(text_of(), 256).alias("kept_sha256"))
 
 
