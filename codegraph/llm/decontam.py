@@ -14,6 +14,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -143,7 +144,7 @@ def build_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int,
     for b in range(blocks):
         part = bare if blocks == 1 else bare.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
         items = sorted(((r.id, words_of(r.text.encode())) for r in part.toLocalIterator()), key=lambda x: (x[0] or "", x[1]))
-        out.append(pickle.dumps(Automaton([x for x in items if x[1]], window)))
+        out.append(cloudpickle.dumps(Automaton([x for x in items if x[1]], window)))
     return out
 
 
