@@ -11,14 +11,23 @@ from .decontam import contamination
 from .exact import exact_dedup
 from .license import license_scan
 from .lines import MIN_CHARS, MIN_SITES, line_dedup
+from .packing import pack
 from .pii import pii_scan
 from .shared import table, text_of
+from .warc import roundtrip
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_scan(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = roundtrip(table(spark, sf_dir, "pages")).filter("kind = 'record'")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return done.select(
@@ -39,6 +48,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path(TOKENIZER)
+    return pack(table(spark, sf_dir, "documents"), tokenizer)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(text_of(), 256).alias("kept_sha256"))
@@ -50,6 +67,15 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS owner FROM p),
+r AS (SELECT *, payload_bytes >= 1000 AND owner <> page_id AS again FROM g)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN owner END AS refers_to
+FROM r
+"""
+
 OP10_SQL = f"""
 WITH parts AS (
   SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -75,4 +101,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op10_line_dedup": OP10_SQL}
