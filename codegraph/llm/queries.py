@@ -14,6 +14,7 @@ from .lines import MIN_CHARS, MIN_SITES, line_dedup
 from .packing import pack
 from .pii import pii_scan
 from .shared import table, text_of
+from .simhash import simhash_components
 from .warc import roundtrip
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -40,6 +41,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
