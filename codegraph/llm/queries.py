@@ -15,6 +15,7 @@ from .packing import pack
 from .pii import pii_scan
 from .shared import table, text_of
 from .simhash import simhash_components
+from .suffix import suffix_dedup
 from .warc import roundtrip
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,6 +30,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return done.select(
