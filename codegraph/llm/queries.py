@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontam import contamination
 from .exact import exact_dedup
+from .langid import language_id
 from .license import license_scan
 from .lines import MIN_CHARS, MIN_SITES, line_dedup
 from .packing import pack
@@ -30,6 +31,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
@@ -59,12 +64,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    if tokenizer is None:
-        import public_tokenizers
+def tokenizer_path() -> str:
+    import public_tokenizers
 
-        tokenizer = public_tokenizers.path(TOKENIZER)
-    return pack(table(spark, sf_dir, "documents"), tokenizer)
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer or tokenizer_path())
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
