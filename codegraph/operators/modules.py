@@ -12,9 +12,9 @@ EXTENSIONS = [".ts", ".tsx", ".mts", ".cts", ".js", ".jsx"]
 
 
 def candidates(base: Column) -> Column:
-    """Paths a module name may stand for, best first: itself, its name without a script extension plus each extension, its index."""
+    """Paths a module name may stand for, best first: itself, its name without a script extension plus each extension, that name's index."""
     bare = F.regexp_replace(base, r"\.[cm]?jsx?\z", "")
-    index = F.when(base == "", F.lit("index")).otherwise(F.concat(base, F.lit("/index")))
+    index = F.when(bare == "", F.lit("index")).otherwise(F.concat(bare, F.lit("/index")))
     return F.array(base, *[F.concat(bare, F.lit(e)) for e in EXTENSIONS], *[F.concat(index, F.lit(e)) for e in EXTENSIONS])
 
 

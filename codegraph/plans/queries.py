@@ -117,7 +117,7 @@ def _import_edges(spark, sf_dir):
 @checked("""WITH files AS (SELECT p_partkey, 'parts/' || p_partkey || CASE p_size % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' WHEN 2 THEN '/index.ts' ELSE '.css' END AS path, p_size % 4 AS k FROM part),
 e AS (SELECT DISTINCT l_suppkey, l_partkey, l_linenumber % 2 AS odd FROM lineitem)
 SELECT 'supp/' || l_suppkey || '.ts|./../parts/' || l_partkey || CASE WHEN odd = 0 THEN '.js' ELSE '' END AS edge_id,
-  CASE WHEN k < 2 OR (k = 2 AND odd = 1) THEN path END AS target FROM e JOIN files ON l_partkey = p_partkey""")
+  CASE WHEN k < 3 THEN path END AS target FROM e JOIN files ON l_partkey = p_partkey""")
 def import_resolve_candidates(spark, sf_dir):
     size = F.col("p_size") % 4
     end = F.when(size == 0, ".ts").when(size == 1, ".tsx").when(size == 2, "/index.ts").otherwise(".css")
