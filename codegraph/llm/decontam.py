@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
+from .shared import map_batches, with_text
+
 WINDOW, BLOCK_CHARS = 13, 1_000_000
 COVERAGE = 20  # a document is contaminated when COVERAGE * hit words reach its words
 
@@ -172,7 +174,7 @@ def contamination(
     sc = docs.sparkSession.sparkContext
     blocks = [sc.broadcast(x) for x in build_blocks(benchmark, item_col, item_text, window, block_chars)]
     keep = docs.columns if keep is None else keep
-    source = docs.select(F.col(text_col).cast("string").alias("_text"), F.struct(*keep).alias("row"))
+    source, parts = with_text(docs, text_col, keep)
     schema = StructType([source.schema["row"], StructField("found", RESULT)])
     shape = to_arrow_schema(StructType([StructField("found", RESULT)])).field("found").type
 
@@ -186,7 +188,8 @@ def contamination(
             return loaded[b]
 
         for batch in batches:
-            texts = batch.column(0).cast(pa.binary()).to_pylist()
+            texts, row = parts(batch)
+            texts = texts.cast(pa.binary()).to_pylist()
             state = [(bytearray(), set()) for _ in texts]
             sizes = [0] * len(texts)
             for b in range(len(blocks)):
@@ -202,12 +205,12 @@ def contamination(
                 n_hit = hit.count(1)
                 edges = np.flatnonzero(np.diff(np.frombuffer(b"\0" + hit + b"\0", np.int8))).reshape(-1, 2).tolist() if n_hit else []
                 found.append({"n_words": n, "n_hit": n_hit, "item_ids": sorted(ids - {None}), "hits": edges, "contaminated": n_hit > 0 and COVERAGE * n_hit >= n})
-            out = pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, shape)], ["row", "found"])
+            out = pa.RecordBatch.from_arrays([row, pa.array(found, shape)], ["row", "found"])
             if drop:
                 out = out.filter(pa.array([not x["contaminated"] for x in found], pa.bool_()))
             yield out
 
-    return source.mapInArrow(scan, schema).select("row.*", "found")
+    return map_batches(source, scan, schema).select("row.*", "found")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

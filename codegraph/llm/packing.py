@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, text_of
+from .shared import map_batches, materialise, text_of
 
 WINDOW, EOS, SALTS, SLACK, DEPTH, SWEEPS = 2048, 1, 64, 4, 4, 60
 # Text in which both tokenizer libraries split words alike beyond doubt: Latin letters, punctuation, plain white space.
@@ -71,7 +71,7 @@ def cut(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return bare.mapInArrow(pieces, ", ".join(f"{n} long" for n in names[:5]) + ", ids array<long>" * with_ids)
+    return map_batches(bare, pieces, ", ".join(f"{n} long" for n in names[:5]) + ", ids array<long>" * with_ids)
 
 
 # ---- the plan, over the histogram alone

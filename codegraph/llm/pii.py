@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_of
+from .shared import map_batches, text_of
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
@@ -121,7 +121,7 @@ def pii_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             types = [pa.int64()] * 4 + [pa.string()] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out, types)], ["id", *(x.split()[0] for x in SCHEMA.split(", "))])
 
-    return bare.mapInArrow(scan, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
+    return map_batches(bare, scan, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
 
 
 def redact(text: str, least: float = LEAST) -> str:

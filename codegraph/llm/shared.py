@@ -5,10 +5,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+BATCH_BYTES = 8 << 20
+BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _OWN: list[tuple[SparkSession, str]] = []
 
 
@@ -67,3 +72,25 @@ def text_of(column: str | Column = "text") -> Column:
 def key_of(column: Column) -> list[Column]:
     """Two differently seeded 64-bit hashes: a 128-bit key of a text (columns _k1, _k2)."""
     return [F.xxhash64(column).alias("_k1"), F.xxhash64(F.lit(1), column).alias("_k2")]
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def map_batches(df: DataFrame, f: Callable[[Batches], Batches], schema: StructType | str) -> DataFrame:
+    """df.mapInArrow(f, schema) with batches bounded in bytes, so that long texts don't make large ones.
+
+    The bound is the session's where it sets one; else it is set to BATCH_BYTES for the session.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(BYTES_PER_BATCH, None) is None:
+        spark.conf.set(BYTES_PER_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(f, schema)
+
+
+def with_text(docs: DataFrame, text_col: str, keep: list[str]) -> tuple[DataFrame, Callable[[pa.RecordBatch], tuple[pa.Array, pa.Array]]]:
+    """A struct `row` of the kept columns, beside it the text where it isn't kept; and a function from a batch to (texts, rows)."""
+    row = F.struct(*keep).alias("row")
+    if text_col in keep:
+        return docs.select(row), lambda batch: (batch.column(0).field(text_col), batch.column(0))
+    return docs.select(row, F.col(text_col).alias("text")), lambda batch: (batch.column(1), batch.column(0))

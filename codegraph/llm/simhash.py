@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
-from .shared import key_of, materialise, text_of
+from .shared import key_of, map_batches, materialise, text_of
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [fingerprint(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.array(found, np.uint64).view(np.int64))], ["row", "fp"])
 
-    return source.mapInArrow(scan, StructType([source.schema["row"], StructField("fp", LongType())]))
+    return map_batches(source, scan, StructType([source.schema["row"], StructField("fp", LongType())]))
 
 
 # ---- Golay keys
@@ -210,10 +210,10 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         if len(keys):
             yield out(len(keys))
 
-    spread = distinct.select("fp").mapInArrow(emit, "key long, fp long")
+    spread = map_batches(distinct.select("fp"), emit, "key long, fp long")
     n = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     buckets = spread.repartition(n, "key").sortWithinPartitions("key")
-    return buckets.mapInArrow(meet, "a long, b long")
+    return map_batches(buckets, meet, "a long, b long")
 
 
 def classes(marked: DataFrame, id_col: str) -> DataFrame:

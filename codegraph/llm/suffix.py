@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from .shared import materialise, text_of
+from .shared import map_batches, materialise, text_of
 
 LENGTH, KMER, BLOCK, HOT = 400, 128, 1_500_000, 4096
 # Odd multipliers, one for each doubling of the hashed width from 1 byte to 128.
@@ -373,25 +373,25 @@ def repeat_marks(rows: DataFrame, length: int, kmer: int, block: int, hot: int)
     kind = rows.schema["id"].dataType.simpleString()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = ROW.format(id=kind)
-    found = materialise(rows.mapInArrow(_emit_anchors(length, kmer), schema), "anchors")
+    found = materialise(map_batches(rows, _emit_anchors(length, kmer), schema), "anchors")
     sorted_ = found.filter(F.col("kind") == ANCHOR).repartition(n, "h").sortWithinPartitions("h", "c")
-    combined = materialise(sorted_.mapInArrow(_combine(length), schema), "contexts")
+    combined = materialise(map_batches(sorted_, _combine(length), schema), "contexts")
     marks = found.filter(F.col("kind") == MARK).unionByName(combined.filter(F.col("kind") == MARK)).select("id", "k", "lo", "hi")
     reps = combined.filter(F.col("kind") == REP)
     sizes = reps.groupBy("h").count()
     own = reps.select("id", "k", F.struct("h", "c", "multi", "lo", (F.col("hi") + length).alias("end")).alias("rep"))
     per_row = own.groupBy("id", "k").agg(F.collect_list("rep").alias("reps")).select(F.col("id").alias("rid"), F.col("k").alias("rk"), "reps")
     mine = rows["id"].eqNullSafe(per_row["rid"]) & (rows["k"] == per_row["rk"])
-    cut = rows.join(per_row, mine).select("id", "text", "k", "reps").mapInArrow(_cut_contexts, f"h long, c long, multi boolean, id {kind}, k long, lo long, bytes binary")
+    cut = map_batches(rows.join(per_row, mine).select("id", "text", "k", "reps"), _cut_contexts, f"h long, c long, multi boolean, id {kind}, k long, lo long, bytes binary")
     large = sizes.filter(F.col("count") > hot).select("h")
     crowded = not large.isEmpty()
     if crowded:
         cut = materialise(cut, "cut")
     few = cut.join(large, "h", "left_anti") if crowded else cut
-    indexed = few.repartition(n, "h").sortWithinPartitions("h", "c").mapInArrow(_index_blocks(length, block), f"id {kind}, k long, lo long, hi long")
+    indexed = map_batches(few.repartition(n, "h").sortWithinPartitions("h", "c"), _index_blocks(length, block), f"id {kind}, k long, lo long, hi long")
     marks = marks.unionByName(indexed)
     if crowded:
-        windows = materialise(cut.join(large, "h", "left_semi").select("h", "c", "multi", "id", "k", "lo", "bytes").mapInArrow(_window_hashes(length), f"w1 long, w2 long, id {kind}, k long, lo long"), "windows")
+        windows = materialise(map_batches(cut.join(large, "h", "left_semi").select("h", "c", "multi", "id", "k", "lo", "bytes"), _window_hashes(length), f"w1 long, w2 long, id {kind}, k long, lo long"), "windows")
         # a place may come twice where rows repeat with id and text: those are marked already
         repeated = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
         marks = marks.unionByName(windows.join(repeated, ["w1", "w2"], "left_semi").select("id", "k", "lo", (F.col("lo") + length).alias("hi")))
@@ -432,4 +432,4 @@ def suffix_dedup(
             columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * len(types), types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema.names)
 
-    return joined.mapInArrow(cut, schema)
+    return map_batches(joined, cut, schema)

@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, text_of, work_path
+from .shared import map_batches, materialise, text_of, work_path
 
 LEAST_BYTES, ARCHIVE_BYTES, CHUNK = 1000, 16 << 20, 1 << 20
 VERSION, GZIP, END = b"WARC/1.", b"\x1f\x8b\x08", b"\r\n\r\n"
@@ -228,7 +228,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         names, sizes, counts = zip(*done, strict=True) if done else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["path", "bytes", "records"])
 
-    listed = rows.select("id", "url", "body", "owner").mapInArrow(write, "path string, bytes long, records long")
+    listed = map_batches(rows.select("id", "url", "body", "owner"), write, "path string, bytes long, records long")
     prefix = folder.split(filesystem(folder)[1])[0] if "://" in folder or folder.startswith("file:") else ""
     return materialise(listed.withColumn("path", F.concat(F.lit(prefix), "path")), "archives")
 
