@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .shared import map_batches, with_text
+
 BITS = (512, 2048, 4096)  # of the presence vectors of 1-, 2- and 3-grams
 PER_LANGUAGE, SAMPLE, LANDMARKS, RIDGE = 400, 20_000, 256, 1e-3
 UNKNOWN = "und"
@@ -111,19 +113,26 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language
     driver, under a kilobyte a text. None if there is no such row.
     """
     own = F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")
-    rows = docs.filter(own).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    languages = rows.select("lang").distinct().count()
+    rows = docs.filter(own).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample)
+    languages = counts.count()
     each = max(1, min(per_language, sample // max(1, languages)))
-    # a rank limit is applied in every task before the rows of a language meet
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), F.length("text"))
-    chosen = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= each)
+    # ranks of hashes first: eight bytes a row, cut to `each` in every task and every salt before a language meets
+    hashes = rows.select("lang", "h").distinct().withColumn("salt", F.pmod("h", F.lit(64)))
+    by_salt, by_lang = Window.partitionBy("lang", "salt").orderBy("h"), Window.partitionBy("lang").orderBy("h")
+    cut = hashes.withColumn("rank", F.row_number().over(by_salt)).filter(F.col("rank") <= each)
+    least = cut.withColumn("rank", F.row_number().over(by_lang)).filter(F.col("rank") <= each)
+    limits = least.groupBy("lang").agg(F.max("h").alias("limit")).join(counts.select("lang"), "lang")  # at most `sample` rows
+    below = rows.join(F.broadcast(limits), "lang").filter(F.col("h") <= F.col("limit"))
+    once = below.groupBy("lang", "h").agg(F.min("text").alias("text"))  # copies of a text become one before they meet
+    chosen = once.select("lang", "text", F.col("h").alias("rank"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = [np.packbits(presence([t])).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bits, pa.binary())], ["lang", "rank", "bits"])
 
-    packed = chosen.select("lang", "text", "rank").mapInArrow(pack, "lang string, rank int, bits binary").collect()
+    packed = map_batches(chosen.select("lang", "text", "rank"), pack, "lang string, rank long, bits binary").collect()
     if not packed:
         return None
     packed.sort(key=lambda r: (r.lang, r.rank))
@@ -133,15 +142,16 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """A struct `row` of the kept columns, and lang_pred and score of each whole text; only the text is read."""
-    source = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*(docs.columns if keep is None else keep)).alias("row"))
+    source, parts = with_text(docs, text_col, docs.columns if keep is None else keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts, row = parts(batch)
+            texts = texts.to_pylist()
             found = shared.value.predict(texts) if shared.value else [(UNKNOWN, 0.0)] * len(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["row", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([row, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["row", "lang_pred", "score"])
 
-    return source.mapInArrow(score, StructType([source.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return map_batches(source, score, StructType([source.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
