@@ -10,11 +10,13 @@ against every landmark.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -143,12 +145,13 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """A struct `row` of the kept columns, and lang_pred and score of each whole text; only the text is read."""
     source, parts = with_text(docs, text_col, docs.columns if keep is None else keep)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))  # with its code: workers need not import it
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pickle.loads(shared.value)
         for batch in batches:
             texts, row = parts(batch)
             texts = texts.to_pylist()
-            found = shared.value.predict(texts) if shared.value else [(UNKNOWN, 0.0)] * len(texts)
+            found = own.predict(texts) if own else [(UNKNOWN, 0.0)] * len(texts)
             yield pa.RecordBatch.from_arrays([row, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["row", "lang_pred", "score"])
 
     return map_batches(source, score, StructType([source.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
