@@ -68,9 +68,11 @@ def line_dedup(
     hits = (
         _lines(bare, min_chars, *key_of(text_of("_text")))
         .join(found, ["_h1", "_h2"])
+        .distinct()  # copies of a text become one before a text's lines meet
         .groupBy("_k1", "_k2")
         .agg(F.collect_set(F.struct("_h1", "_h2", "_first")).alias("_hits"))
     )
+    hits = materialise(hits, "hits")  # so that the planner may split the rows of a text that many documents share
     row = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*docs.columns).alias("_row"))
     keyed = row.select("*", *key_of(text_of("_text"))).join(hits, ["_k1", "_k2"], "left")
     parts = F.split(text_of("_text"), "\n", -1)
