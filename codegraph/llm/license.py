@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .shared import key_of, text_of
+from .shared import key_of, materialise, text_of
 
 # Phrases that count wherever their words stand consecutively, and their labels.
 PHRASES = [
@@ -58,10 +58,12 @@ def templates(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         size = len(words) - 1
         pairs += [(a, b, tid, i) for i, (a, b) in enumerate(zip(words, words[1:]))]
         heads.append((tid, size if base else math.ceil(COVERAGE * size), label, base, size))
-    return (
-        spark.createDataFrame(pairs, "_a string, _b string, _tid int, _tpos int").withColumn("_gram", F.xxhash64("_a", "_b")),
-        spark.createDataFrame(heads, "_tid int, _need int, _label string, _base boolean, _size int"),
-    )
+
+    def constant(rows: list[tuple], names: str) -> DataFrame:
+        each = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(row, names.split())]) for row in rows])
+        return spark.range(1, numPartitions=1).select(F.explode(each).alias("r")).select("r.*")
+
+    return constant(pairs, "_a _b _tid _tpos").withColumn("_gram", F.xxhash64("_a", "_b")), constant(heads, "_tid _need _label _base _size")
 
 
 def license_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -118,6 +120,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.max("coverage").alias("score"),
         )
     )
+    found = materialise(found, "spans")  # so that the planner may split the rows of a text that many documents share
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("_id"), *key_of(text), F.size(words_of(text)).cast("long").alias("n_words"))
     return rows.join(found, ["_k1", "_k2"], "left").select(
