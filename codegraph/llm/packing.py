@@ -33,11 +33,10 @@ class Encoder:
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.slow = Tokenizer.from_file(path)
+        self.path, self._slow = path, None
         self.special = [t["content"] for t in spec["added_tokens"]]
         # bytes are written as printable characters in the file: printable Latin-1 stands for itself, the others follow from 256 on
         own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -45,6 +44,15 @@ class Encoder:
         ranks = {bytes(code[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
         self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @property
+    def slow(self):
+        """The file's own library, loaded once it is needed."""
+        if self._slow is None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+        return self._slow
+
     def __call__(self, text: str) -> np.ndarray:
         if PLAIN.search(text) or any(s in text for s in self.special):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)

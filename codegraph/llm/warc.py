@@ -200,8 +200,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     body = F.encode(text_of(body_col), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("body"))
     large = F.octet_length("body") >= LEAST_BYTES
-    rows = rows.withColumn("sha", F.when(large, F.sha2("body", 256)))
+    # small payloads have no group; a key of their own spreads them over the tasks of the join
+    rows = rows.withColumn("sha", F.when(large, F.sha2("body", 256)).otherwise(F.concat(F.lit("-"), F.xxhash64("id", "url").cast("string"))))
     groups = rows.filter(large).groupBy("sha").agg(F.max("id").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    groups = materialise(groups, "payloads")  # so that the planner may split the rows of a hot payload
     rows = rows.join(groups, "sha", "left").withColumn("owner", F.when(~F.col("id").eqNullSafe(F.col("owner")), F.col("owner"))).drop("sha")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
