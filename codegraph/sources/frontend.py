@@ -178,12 +178,14 @@ class File:
             }
             functions.append(fn)
             body = node.get("body")
+            found = 0
             for at in body.walk() if body is not None else ():
                 fn["branches"] += at.type in BRANCHES
                 fn["errors"] += at.type in ERRORS
                 fn["awaits"] += at.type == "await_expression"
                 if at.type in ("call_expression", "new_expression"):
-                    calls.append({"caller": node.start, "ord": at.start} | self.callee(at))
+                    calls.append({"caller": node.start, "ord": found} | self.callee(at))
+                    found += 1
         return functions, calls
 
     def is_top(self, node: Node) -> bool:

@@ -5,8 +5,10 @@ import math
 import duckdb
 import pytest
 
-from codegraph.plans.queries import oracle_sql, queries
+from codegraph.plans import queries as plans
+from codegraph.plans import sources
 
+QUERIES, SQL = plans.queries() | sources.queries(), plans.oracle_sql() | sources.oracle_sql()
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -24,15 +26,15 @@ def plain(value):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(SQL)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    df = queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-    said = duck.execute(oracle_sql()[name])
+    said = duck.execute(SQL[name])
     names = [d[0] for d in said.description]
     assert sorted(names) == columns
     want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in said.fetchall()), key=repr)
