@@ -12,7 +12,8 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="codegraph")
     parser.add_argument("--root", default=".")
     commands = parser.add_subparsers(dest="command")
-    commands.add_parser("init", help="index once and report")
+    commands.add_parser("init", help="index once, write the client's entry and the ignore block")
+    commands.add_parser("serve", help="answer JSON-RPC on standard input")
     commands.add_parser("stats").add_argument("--transcript")
     for name, argument in QUESTIONS.items():
         sub = commands.add_parser(name)
@@ -41,8 +42,16 @@ def main(argv: list[str] | None = None) -> int:
 
     engine = Engine(SparkSession.builder.appName("codegraph").getOrCreate(), root)
     if command == "init":
+        from . import setup
+
         s = engine.sync()
+        setup.write_client(root)
+        setup.ensure_ignored(root)
         print(f"{s['file_count']} files, {s['symbol_count']} symbols, {s['elapsed_ms']} ms")
+    elif command == "serve":
+        from .server import serve
+
+        serve(engine)
     else:
         print(getattr(engine, command)(**args).text)
     return 0

@@ -376,10 +376,11 @@ class Engine:
             state = "accepted" if reaccept and state != "unverified" else "captured"
             changes = [] if reaccept else changes
         lines.append(f"Baseline: {state}")
+        shown = 8 if c.flow else 5
         for kind in ("added", "removed", "changed"):
             keys = [r.key for r in changes if r.change == kind]
             if keys:
-                lines.append(f"  {kind}: {', '.join(keys[:5])}" + (f" and {len(keys) - 5} more" if len(keys) > 5 else ""))
+                lines.append(f"  {kind}: {', '.join(keys[:shown])}" + (f" and {len(keys) - shown} more" if len(keys) > shown else ""))
         data = {"state": state, "drift": changes}
         if c.must and not c.flow:
             data["conformance"] = self._conformance(c, found, lines)
