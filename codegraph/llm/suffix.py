@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, Struc
 
 from .shared import map_batches, materialise, text_of
 
-LENGTH, KMER, BLOCK, HOT = 400, 128, 1_500_000, 4096
+LENGTH, KMER, BLOCK, HOT = 400, 128, 750_000, 4096
 # Odd multipliers, one for each doubling of the hashed width from 1 byte to 128.
 STEPS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 PLACE = 20  # low bits of a k-mer's sort key hold its position, so the leftmost of equal ones wins
@@ -93,7 +93,7 @@ class RunIndex:
         joined = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int64) + m
         joined[self.ends] = np.arange(m)
         self.n = n = len(joined)
-        levels, widths = self._ranks(joined, m, int(sizes.max(initial=0)) + 1)
+        levels, widths = self._ranks(joined, m)
         rank = levels[-1]
         order = np.empty(n, np.int64)
         order[rank] = np.arange(n)
@@ -131,37 +131,46 @@ class RunIndex:
         self.first = rank[self.ends].astype(np.int64)  # row of each separator's suffix
 
     @staticmethod
-    def _ranks(joined: np.ndarray, m: int, longest: int) -> tuple[list[np.ndarray], list[int]]:
-        """Ranks of suffixes by their first `width` symbols, width doubling until all differ."""
+    def _ranks(joined: np.ndarray, m: int) -> tuple[list[np.ndarray], list[int]]:
+        """Ranks of suffixes by their first `width` symbols (places of their groups in suffix order), width doubling until all differ.
+
+        A suffix that meets its separator is told apart at once, so only groups still open are sorted again.
+        """
         n, width = len(joined), 7
         padded = np.concatenate((joined, np.zeros(width, np.int64)))
-        symbol = np.where(padded >= m, padded - m + 1, 0)  # nine bits; separators are 0 here and told apart below
-        key, open_, owner = np.zeros(n, np.int64), np.ones(n, bool), np.zeros(n, np.int64)
+        symbol = np.where(padded >= m, padded - m + 1, 0)  # nine bits; separators are 0
+        key, inside = np.zeros(n, np.int64), np.ones(n, bool)
         for i in range(width):
-            s = symbol[i : i + n]
-            key = (key << 9) | np.where(open_, s, 0)
-            ended = open_ & (s == 0)
-            owner[ended] = padded[i : i + n][ended] + 1
-            open_ &= s != 0
+            inside &= symbol[i : i + n] != 0
+            key = (key << 9) | np.where(inside, symbol[i : i + n], 0)
+        del padded, symbol
         order = np.argsort(key)
-        ranked = key[order]
-        coarse = np.empty(n, np.int64)
-        coarse[order] = np.concatenate(([0], np.cumsum(np.diff(ranked) != 0)))
-        key = coarse * (m + 1) + owner
-        levels, widths = [], []
+        slots = np.arange(n)
+        start = np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(key[order]) != 0)), slots, 0))
+        # equal keys with a separator hold it at the same place, and later separators are larger
+        closed = np.flatnonzero(~inside[order])
+        ends = order[closed]
+        order[closed] = ends[np.lexsort((ends, key[ends]))]
+        start[closed] = closed
+        rank = np.empty(n, np.int64)
+        rank[order] = start
+        levels, widths = [rank.astype(np.int32)], [width]
         while True:
-            order = np.argsort(key)
-            ranked = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1])))
-            levels.append(rank.astype(np.int32))
-            widths.append(width)
-            if int(rank.max()) == n - 1:
+            twin = start[1:] == start[:-1]
+            open_ = np.flatnonzero(np.concatenate((twin, [False])) | np.concatenate(([False], twin)))
+            if len(open_) == 0:
                 return levels, widths
-            ahead = np.zeros(n, np.int64)
-            ahead[:-width] = rank[width:] + 1
-            key = rank * (n + 1) + ahead
+            place = order[open_]
+            key = start[open_] * n + rank[place + width]
+            by = np.argsort(key)
+            key = key[by]
+            order[open_] = place[by]
+            first = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), np.arange(len(open_)), 0))
+            start[open_] = open_[first]
+            rank[order[open_]] = start[open_]
             width *= 2
+            levels.append(rank.astype(np.int32))
+            widths.append(width)
 
     def repeats(self, length: int, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(context, start) of every window of `length` bytes that starts anywhere else in the index, for the contexts `of`.
