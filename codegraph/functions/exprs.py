@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 # Parameters of the 32-bit FNV-1a hash.
 FNV_OFFSET, FNV_PRIME = 0x811C9DC5, 0x01000193
-# Commands that count as a text search, and tool names by kind.
-SEARCH_COMMANDS = "grep egrep fgrep rg ripgrep ag ack"
+# Commands that count as a text search.
+SEARCH_COMMANDS = "grep rg ripgrep fgrep egrep ag ack"
+# Patterns of source, declaration and test files.
 SOURCE_FILE = r"\A.*\.(?:[mc]?ts|tsx|[mc]?js|jsx)\z"
 DECLARATION_FILE = r"\.d\.[mc]?ts\z"
 TEST_FILE = r"(?i)\.(?:spec|test)\.|(?:^|/)__(?:mocks|tests)__/|(?:^|/)testing/|(?:^|[/._-])mock"
@@ -116,16 +117,15 @@ def is_external_file(path: Column) -> Column:
 
 def is_search_command(command: Column) -> Column:
     """Whether any part of a shell line, between newlines, semicolons, pipes and ampersands, begins with a text search."""
-    first = rf"^\s*(?:(?:{'|'.join(SEARCH_COMMANDS.split())})|git\s+grep)(?:\s|$)"
+    first = rf"^\s*(?:(?:{'|'.join(SEARCH_COMMANDS.split())})|git\s+grep)\b"
     return F.exists(F.split(command, r"[\n;|&]+"), lambda part: part.rlike(first))
 
 
 def tool_kind(name: Column, command: Column, own_prefix: str) -> Column:
-    """own, grep, glob or search; null for calls that are neither."""
+    """own, grep (file globs too) or search; null for calls that are none."""
     return (
         F.when(name.startswith(own_prefix), "own")
-        .when(name == "Grep", "grep")
-        .when(name == "Glob", "glob")
+        .when(name.isin("Grep", "Glob"), "grep")
         .when(name == "ToolSearch", "search")
         .when((name == "Bash") & F.coalesce(is_search_command(command), F.lit(False)), "grep")
     )

@@ -31,7 +31,7 @@ def first_last(usage: DataFrame, order: str) -> DataFrame:
 
 
 def adoption(timeline: DataFrame) -> DataFrame:
-    """One row: own, grep, glob and search counts, and the rounded share of own among own and grep."""
+    """One row: own, grep and search counts, and the rounded share of own among own and grep."""
     count = lambda k: F.count(F.when(F.col("kind") == k, 1))
-    row = timeline.agg(*[count(k).alias(k) for k in ("own", "grep", "glob", "search")])
+    row = timeline.agg(*[count(k).alias(k) for k in ("own", "grep", "search")])
     return row.withColumn("share_pct", percent(F.col("own"), F.col("own") + F.col("grep")))

@@ -358,20 +358,20 @@ def usage_first_last(spark, sf_dir):
 TYPES = "list_sort(list_distinct(list(event_type)))"
 
 
-@checked(f"""WITH k AS (SELECT {TYPES} AS t FROM events), r AS (SELECT CASE event_type WHEN t[1] THEN 'own' WHEN t[2] THEN 'grep' WHEN t[3] THEN 'glob' WHEN t[4] THEN 'search' END AS kind FROM events, k),
-c AS (SELECT count(*) FILTER (WHERE kind = 'own') AS own, count(*) FILTER (WHERE kind = 'grep') AS grep, count(*) FILTER (WHERE kind = 'glob') AS glob, count(*) FILTER (WHERE kind = 'search') AS search FROM r)
+@checked(f"""WITH k AS (SELECT {TYPES} AS t FROM events), r AS (SELECT CASE event_type WHEN t[1] THEN 'own' WHEN t[2] THEN 'grep' WHEN t[3] THEN 'search' END AS kind FROM events, k),
+c AS (SELECT count(*) FILTER (WHERE kind = 'own') AS own, count(*) FILTER (WHERE kind = 'grep') AS grep, count(*) FILTER (WHERE kind = 'search') AS search FROM r)
 SELECT *, CASE WHEN own + grep > 0 THEN floor(own * 100 / (own + grep) + 0.5) ELSE 0 END::BIGINT AS share_pct FROM c""")
 def adoption_share(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_type")
     known = e.agg(F.array_sort(F.collect_set("event_type")).alias("t"))  # one row of the few event types
-    kind = F.element_at(F.array(*map(F.lit, ("own", "grep", "glob", "search"))), F.array_position("t", F.col("event_type")).cast("int"))
-    return usage.adoption(e.crossJoin(F.broadcast(known)).filter("array_position(t, event_type) <= 4").withColumn("kind", kind))
+    kind = F.element_at(F.array(*map(F.lit, ("own", "grep", "search"))), F.array_position("t", F.col("event_type")).cast("int"))
+    return usage.adoption(e.crossJoin(F.broadcast(known)).filter("array_position(t, event_type) <= 3").withColumn("kind", kind))
 
 
 COMMAND = "CASE event_id % 6 WHEN 0 THEN 'grep x' WHEN 1 THEN 'ls | git grep y' WHEN 2 THEN 'cd a; rg z' WHEN 3 THEN 'echo grep' WHEN 4 THEN 'git log && ls' ELSE 'agx' END"
 
 
-@checked("""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'own' WHEN event_id % 7 = 1 THEN 'glob' WHEN event_id % 6 IN (0, 1, 2) THEN 'grep' END AS kind FROM events""")
+@checked("""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'own' WHEN event_id % 7 = 1 THEN 'grep' WHEN event_id % 6 IN (0, 1, 2) THEN 'grep' END AS kind FROM events""")
 def classify_calls(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_id", F.expr(COMMAND).alias("command"))
     name = F.when(F.col("event_id") % 7 == 0, "mcp__own__find").when(F.col("event_id") % 7 == 1, "Glob").otherwise("Bash")

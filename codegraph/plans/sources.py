@@ -246,7 +246,7 @@ def log_span(spark, sf_dir):
     return usage.first_last(logs.usage(raw), "line_no")
 
 
-@checked("own grep glob search share_pct", (1, 2, 1, 1, 33))
+@checked("own grep search share_pct", (1, 3, 1, 25))
 def log_adoption(spark, sf_dir):
     item = F.struct(F.lit("tool_use").alias("type"), F.col("name"), F.struct(F.col("command")).alias("input"))
     line = F.to_json(F.struct(F.struct(F.array(item).alias("content")).alias("message")))

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.exprs import DECLARATION_FILE, SOURCE_FILE, grammar_of, is_source_file
 
 # Folders that hold no sources of their own.
-SKIPPED = frozenset("node_modules dist build coverage out tmp vendor".split())
+SKIPPED = frozenset("node_modules .git dist build out coverage .codegraph".split())
+# Configurations of a folder, in the order they are tried.
 CONFIGS = ("tsconfig.app.json", "tsconfig.lib.json", "tsconfig.json")
 LISTING = "path string, mtime_ms double, size long"
 

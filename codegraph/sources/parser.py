@@ -47,7 +47,8 @@ BINARY = {op: n for n, ops in enumerate(LEVELS, 1) for op in ops.split()}
 ASSIGN = frozenset("= += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=".split())
 MODIFIERS = frozenset("public private protected static readonly abstract override declare async accessor export default in out const".split())
 PREDEFINED = frozenset("any unknown number string boolean symbol void never object bigint undefined null".split())
-FUNCTIONS = frozenset("function_declaration generator_function_declaration function_expression generator_function arrow_function method_definition".split())
+# Nodes that are functions.
+FUNCTIONS = frozenset("function_declaration function_expression generator_function_declaration generator_function arrow_function method_definition".split())
 DEPTH = 400  # nesting beyond which a file is given up where it stands
 
 

@@ -47,7 +47,7 @@ def test_hashes_rounding_and_paths(spark):
 
 
 def test_search_commands(spark):
-    for c, want in (("grep x", True), ("ls | rg y", True), ("git grep z", True), ("echo grep", False), ("greppy x", False), ("git log\nag q", True), ("", False)):
+    for c, want in (("grep x", True), ("ls | rg y", True), ("git grep z", True), ("echo grep", False), ("greppy x", False), ("grep-x", True), ("git log\nag q", True), ("", False)):
         assert value(spark, X.is_search_command(F.lit(c))) is want, c
 
 
