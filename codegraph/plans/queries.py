@@ -363,9 +363,11 @@ c AS (SELECT count(*) FILTER (WHERE kind = 'own') AS own, count(*) FILTER (WHERE
 SELECT *, CASE WHEN own + grep > 0 THEN floor(own * 100 / (own + grep) + 0.5) ELSE 0 END::BIGINT AS share_pct FROM c""")
 def adoption_share(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_type")
-    known = e.agg(F.array_sort(F.collect_set("event_type")).alias("t"))  # one row of the few event types
-    kind = F.element_at(F.array(*map(F.lit, ("own", "grep", "search"))), F.array_position("t", F.col("event_type")).cast("int"))
-    return usage.adoption(e.crossJoin(F.broadcast(known)).filter("array_position(t, event_type) <= 3").withColumn("kind", kind))
+    known = e.agg(F.array_sort(F.collect_set("event_type")).alias("t")).first().t  # the few event types
+    kind = F.lit(None).cast("string")
+    for name, of in zip(known, ("own", "grep", "search"), strict=False):
+        kind = F.when(F.col("event_type") == name, of).otherwise(kind)
+    return usage.adoption(e.withColumn("kind", kind))
 
 
 COMMAND = "CASE event_id % 6 WHEN 0 THEN 'grep x' WHEN 1 THEN 'ls | git grep y' WHEN 2 THEN 'cd a; rg z' WHEN 3 THEN 'echo grep' WHEN 4 THEN 'git log && ls' ELSE 'agx' END"
