@@ -213,6 +213,31 @@ def contamination(
     return map_batches(source, scan, schema).select("row.*", "found")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the contaminated rows."""
-    return contamination(docs, benchmark, drop=True, **options).drop("found")
+def cut_words(text: str, ranges: list[list[int]]) -> str:
+    """text without the words in the given ranges and what stands between them; each cut leaves one blank between its neighbours."""
+    raw = text.encode()
+    flags = np.frombuffer(raw.translate(TABLE), np.uint8) != 32
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], flags, [0])).astype(np.int8))).reshape(-1, 2)
+    out, at = [], 0
+    for a, b in ranges:
+        out.append(raw[at : edges[a][0]].rstrip())
+        at = int(edges[b - 1][1])
+    return b" ".join([*out, raw[at:].lstrip()] if out else [raw]).decode()
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", cut: bool = False, **options) -> DataFrame:
+    """docs without the contaminated rows; with cut, hit passages below that coverage are taken out of the others' texts too."""
+    kept = contamination(docs, benchmark, text_col, drop=True, **options)
+    if not cut:
+        return kept.drop("found")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            ranges = batch.column(names.index("hits")).to_pylist()
+            texts = batch.column(names.index(text_col)).to_pylist()
+            done = pa.array([cut_words(t, r) if r else t for t, r in zip(texts, ranges, strict=True)], pa.string())
+            columns = [done if n == text_col else batch.column(i) for i, n in enumerate(names) if n != "hits"]
+            yield pa.RecordBatch.from_arrays(columns, [n for n in names if n != "hits"])
+
+    return map_batches(kept.select(*[c for c in docs.columns], "found.hits"), clean, docs.schema)

@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; removed when the driver's Python ends."""
+    """A new path in the shared folder; removed by purge(), at the latest when the driver's Python ends."""
     path = f"{shared_dir(spark)}/codegraph-work/{name}-{uuid.uuid4().hex}"
     _OWN.append((spark, path))
     return path
@@ -44,11 +44,13 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 @atexit.register
-def _purge() -> None:
-    for spark, path in _OWN:
+def purge() -> None:
+    """Delete the intermediate tables made so far; results that still read them must be written first."""
+    while _OWN:
+        spark, path = _OWN.pop()
         try:
             delete(spark, path)
-        except Exception:  # noqa: BLE001  the JVM may be gone already
+        except Exception:  # noqa: BLE001  at exit the JVM may be gone already
             return
 
 

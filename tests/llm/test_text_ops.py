@@ -117,6 +117,14 @@ def test_decontamination_equals_brute_force(spark):
     kept = decontam.decontaminate(docs(spark, texts), bench)
     assert kept.columns == docs(spark, texts).columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if not r.found.contaminated}
+    cut = {r.doc_id: r.text for r in decontam.decontaminate(docs(spark, texts), bench, cut=True).collect()}
+    for row in got:
+        f = row.found
+        if not f.contaminated:
+            words = WORD.findall(texts[row.doc_id] or "")
+            gone = {k for a, b in f.hits for k in range(a, b)}
+            assert WORD.findall(cut[row.doc_id] or "") == [w for k, w in enumerate(words) if k not in gone]
+    assert decontam.cut_words("One, two three. Four!", [[1, 3]]) == "One, . Four!" and decontam.cut_words("é a", [[0, 2]]) == " "
     assert decontam.contamination(docs(spark, texts), bench.limit(0)).filter("found.n_hit > 0").count() == 0
 
 
