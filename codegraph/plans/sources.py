@@ -72,9 +72,10 @@ def checked(columns: str, *rows: tuple):
     def put(f):
         QUERIES[f.__name__] = f
         one = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else f"{v}::DOUBLE" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
-        names = columns.split()
+        names = [c.removesuffix(":long") for c in columns.split()]
+        picked = ", ".join(f'"{n}"::BIGINT AS "{n}"' if c.endswith(":long") else f'"{n}"' for n, c in zip(names, columns.split(), strict=True))
         values = ", ".join(f"({', '.join(map(one, r))})" for r in rows)
-        SQL[f.__name__] = f"SELECT * FROM (VALUES {values}) AS t ({', '.join(chr(34) + n + chr(34) for n in names)})"
+        SQL[f.__name__] = f"SELECT {picked} FROM (VALUES {values}) AS t ({', '.join(chr(34) + n + chr(34) for n in names)})"
         return f
 
     return put
@@ -228,25 +229,25 @@ def src_export_names(spark, sf_dir):
     return known.filter("file = 'src/index.ts' and name = 'count'").select("def_file", "def_name")
 
 
-@checked("tool calls", ("find_def", 2), ("find_refs", 1), ("flow", 1))
+@checked("tool calls:long", ("find_def", 2), ("find_refs", 1), ("flow", 1))
 def log_usage(spark, sf_dir):
     raw = spark.createDataFrame(list(enumerate(USAGE)), "line_no long, value string")
     return usage.by_tool(logs.usage(raw))
 
 
-@checked("value calls", ("A", 2))
+@checked("value calls:long", ("A", 2))
 def log_top_symbols(spark, sf_dir):
     raw = spark.createDataFrame(list(enumerate(USAGE)), "line_no long, value string")
     return usage.top_values(logs.usage(raw), usage.string_arg(F.col("args"), "symbol"))
 
 
-@checked("first_ts last_ts calls", ("1", "3", 4))
+@checked("first_ts last_ts calls:long", ("1", "3", 4))
 def log_span(spark, sf_dir):
     raw = spark.createDataFrame(list(enumerate(USAGE)), "line_no long, value string")
     return usage.first_last(logs.usage(raw), "line_no")
 
 
-@checked("own grep search share_pct", (1, 3, 1, 25))
+@checked("own:long grep:long search:long share_pct:long", (1, 3, 1, 25))
 def log_adoption(spark, sf_dir):
     item = F.struct(F.lit("tool_use").alias("type"), F.col("name"), F.struct(F.col("command")).alias("input"))
     line = F.to_json(F.struct(F.struct(F.array(item).alias("content")).alias("message")))
