@@ -62,6 +62,18 @@ def test_windows_are_dealt_to_anchors_once_and_alike():
     assert len(anchors(b"x" * 63, 64, 16)[0]) == 0
 
 
+def test_long_texts_are_taken_in_blocks(monkeypatch):
+    text = bytes(random.Random(3).choices(range(256), k=3000))
+
+    def dealt():
+        h, place, lo, hi = anchors(text, 64, 16)
+        return {s: (int(a), int(p)) for a, p, x, y in zip(h, place, lo, hi) for s in range(x, y + 1)}
+
+    whole = dealt()
+    monkeypatch.setattr("codegraph.llm.suffix.PLACE", 8)
+    assert dealt() == whole and sorted(whole) == list(range(3000 - 63))
+
+
 def corpus(seed):
     r = random.Random(seed)
     para = ["".join(r.choices("abcdeé \n", k=r.randrange(20, 200))) for _ in range(12)]
