@@ -112,7 +112,7 @@ class Engine:
     @property
     def scoped(self) -> DataFrame:
         t = self.tables
-        make = lambda: graph.cut_lineage(types_tier.scope(self.resolved, types_tier.exports(self.resolved, t.functions, t.table("types")), t.functions, t.table("types")))
+        make = lambda: graph.cut_lineage(types_tier.scope(self.resolved, types_tier.exports(self.resolved, t.functions, t.table("types"), t.table("exports")), t.functions, t.table("types")))
         return self._once("scoped", make)
 
     @property

@@ -14,10 +14,12 @@ HOPS, HERITAGE, IMPLEMENTATIONS = 4, 12, 4
 GLOBALS = "Math JSON console Object Array String Number Boolean Promise Date RegExp Map Set WeakMap WeakSet Symbol Reflect Proxy Intl BigInt Error process Buffer globalThis window document navigator localStorage sessionStorage performance crypto".split()
 
 
-def exports(resolved: DataFrame, functions: DataFrame, types: DataFrame) -> DataFrame:
-    """(file, name, def_file, def_name): what a name imported from a file stands for, over re-exports of a few hops."""
+def exports(resolved: DataFrame, functions: DataFrame, types: DataFrame, renamed: DataFrame) -> DataFrame:
+    """(file, name, def_file, def_name): what a name imported from a file stands for: its own names, those it exports renamed or as default, and re-exports of a few hops."""
     own = functions.filter("top and cls is null").select("file", "name").unionByName(types.select("file", "name")).distinct()
     known = own.select("file", "name", F.col("file").alias("def_file"), F.col("name").alias("def_name"))
+    given = renamed.select("file", F.col("exported").alias("name"), F.col("local").alias("def_name"))
+    known = known.unionByName(given.join(own.withColumnRenamed("name", "def_name"), ["file", "def_name"]).select("file", "name", F.col("file").alias("def_file"), "def_name"))
     again = resolved.filter("kind = 're-export' and target is not null")
     named = again.select("file", "target", F.explode("names").alias("n")).select("file", "target", F.col("n.imported").alias("imported"), F.col("n.local").alias("local"))
     star = again.filter(F.col("star") & (F.size("names") == 0)).select("file", "target")

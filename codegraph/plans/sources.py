@@ -225,7 +225,7 @@ def src_concept(spark, sf_dir):
 @checked("def_file def_name", ("src/store.ts", "tally"))
 def src_export_names(spark, sf_dir):
     t = engine(spark)
-    known = types_tier.exports(t.resolved, t.tables.functions, t.tables.table("types"))
+    known = types_tier.exports(t.resolved, t.tables.functions, t.tables.table("types"), t.tables.table("exports"))
     return known.filter("file = 'src/index.ts' and name = 'count'").select("def_file", "def_name")
 
 

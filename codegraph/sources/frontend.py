@@ -129,6 +129,21 @@ class File:
             out.append({"specifier": specifier, "kind": kind, "star": star, "names": [{"imported": i, "local": n} for i, n in names], "line": self.line(node.start)})
         return out
 
+    def exports(self) -> list[Row]:
+        """Names a file exports under another name: its default, and those of export lists without a source."""
+        out = []
+        for node in self.root.kids:
+            if node.type != "export_statement" or node.get("source") is not None:
+                continue
+            clause = next((k for k in node.kids if k.type == "export_clause"), None)
+            pairs = [self.specifier(s) for s in clause.kids] if clause else []
+            if self.source[node.start : node.end].startswith("export default"):
+                held = node.get("declaration") or node.get("value")
+                name = held if held is not None and held.type == "identifier" else held and held.get("name")
+                pairs = [(self.text(name), "default")] if name is not None else []
+            out += [{"exported": exported, "local": local} for local, exported in pairs if exported != local]
+        return out
+
     def specifier(self, node: Node) -> tuple[str, str]:
         name, alias = self.text(node.get("name")).strip("\"'"), node.get("alias")
         return name, self.text(alias).strip("\"'") if alias else name
@@ -339,5 +354,5 @@ def extract(path: str, source: str, grammar: str) -> dict:
     types, parents = f.heritage()
     return {
         "defs": f.defs(), "edges": f.edges(), "fingerprints": f.fingerprints(), "functions": functions, "calls": calls,
-        "types": types, "heritage": parents, "bindings": f.bindings(), "errors": f.errors,
+        "types": types, "heritage": parents, "exports": f.exports(), "bindings": f.bindings(), "errors": f.errors,
     }

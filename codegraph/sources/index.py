@@ -20,6 +20,7 @@ TABLES = {
     "calls": "caller int, ord int, kind string, form string, receiver string, name string, text string",
     "types": "name string, kind string, line int",
     "heritage": "name string, parent string, kind string",
+    "exports": "exported string, local string",
     "bindings": "scope int, cls string, name string, type string",
 }
 PARSED = "file string, " + ", ".join(f"{t} array<struct<{', '.join(f'{n}: {k}' for n, k in (c.split(' ', 1) for c in cols.split(', ')))}>>" for t, cols in TABLES.items() if t != "edges")

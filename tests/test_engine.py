@@ -104,6 +104,17 @@ def test_flow_counts_edge_cases(engine):
     assert a.data["rollup"]["branches"] == 3 and a.data["rollup"]["awaits"] == 1
 
 
+def test_calls_through_defaults_and_renamed_exports(spark, tmp_path):
+    rows = [
+        ("d.ts", "export default class Job { run() { return step(); } }\nfunction step() { return 1; }\nfunction inner() { return step(); }\nexport { inner as outer };\n"),
+        ("m.ts", "import Task, { outer } from './d';\nexport function main() { new Task().run(); return outer(); }\n"),
+        ("e.js", "const f = () => 1;\nexport default f;\n"), ("g.js", "import any from './e';\nexport function go() { return any(); }\n"),
+    ]
+    e = Engine(spark, files=spark.createDataFrame(rows, "path string, content string"), home=str(tmp_path))
+    assert [n.symbol for n in e.call_graph("main").rows] == ["main", "run", "step", "inner"]
+    assert [n.symbol for n in e.call_graph("go").rows] == ["go", "f"]
+
+
 def test_no_project_means_no_call_graph(spark, tmp_path):
     write(tmp_path, {"a.ts": "export function f() { g(); }\nfunction g() {}\n"})
     e = Engine(spark, str(tmp_path))
