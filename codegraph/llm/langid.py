@@ -68,23 +68,28 @@ def spectra(bits: np.ndarray) -> np.ndarray:
 class Model:
     """languages and one matrix: presence spectra times it are the one-versus-rest outputs."""
 
-    def __init__(self, bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+    def __init__(self, packed: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+        """packed: a row of packed presence bits per label; they are unpacked ROWS at a time."""
         self.languages = sorted(set(labels))
-        x = spectra(bits).astype(np.float64)
+
+        def unpacked(rows: np.ndarray) -> np.ndarray:
+            return spectra(np.unpackbits(rows, axis=1)).astype(np.float64)
+
         # landmarks in turn from each language, in the sample's order
         turn = {}
         order = sorted(range(len(labels)), key=lambda i: (turn.setdefault(labels[i], []).append(i) or len(turn[labels[i]]), labels[i]))
-        marks = x[order[:landmarks]]
+        marks = unpacked(packed[order[:landmarks]])
         value, vector = np.linalg.eigh(marks @ marks.T)
         sound = value > 1e-6 * value[-1]
         root = vector[:, sound] / np.sqrt(value[sound])  # K_mm ** -1/2 on its range
-        feature = x @ marks.T @ root
+        onto = marks.T @ root
+        feature = np.concatenate([unpacked(packed[i : i + ROWS]) @ onto for i in range(0, len(labels), ROWS)])
         target = (np.array(labels)[:, None] == np.array(self.languages)[None, :]).astype(np.float64)
         count = target.sum(0)
         weight = (target / np.maximum(count, 1)).sum(1) * len(labels) / max(1, len(self.languages))  # languages count alike
         gram = feature.T @ (feature * weight[:, None]) + ridge * len(labels) * np.eye(feature.shape[1])
         solved = np.linalg.solve(gram, feature.T @ (target * weight[:, None]))
-        self.matrix = (marks.T @ (root @ solved)).astype(np.float32)
+        self.matrix = (onto @ solved).astype(np.float32)
 
     def outputs(self, texts: list[str]) -> np.ndarray:
         return spectra(presence(texts)) @ self.matrix
@@ -138,8 +143,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language
     if not packed:
         return None
     packed.sort(key=lambda r: (r.lang, r.rank))
-    bits = np.unpackbits(np.stack([np.frombuffer(r.bits, np.uint8) for r in packed]), axis=1)
-    return Model(bits, [r.lang for r in packed], landmarks)
+    return Model(np.stack([np.frombuffer(r.bits, np.uint8) for r in packed]), [r.lang for r in packed], landmarks)
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
