@@ -18,7 +18,7 @@ from .operators import graph, knowledge, lookup, modules, similarity, trace, typ
 from .operators.knowledge import Concept, LocatorError
 from .sources import files as listing
 from .sources import logs, snapshot, vocab
-from .sources.index import TIER, Tables, member_uses, occurrences, parse_files
+from .sources.index import TIER, SavedTables, Tables, member_uses, occurrences, parse_files, save
 
 log = logging.getLogger("codegraph")
 HOME, OWN_PREFIX, HUBS = ".codegraph", "mcp__codegraph__", 15
@@ -40,9 +40,12 @@ def _check(value, name: str, least, most) -> None:
 
 
 class Engine:
-    """Index of one tree. Every question first brings the index up to date; only changed files are parsed again."""
+    """Index of one tree. Every question first brings the index up to date; only changed files are parsed again.
 
-    def __init__(self, spark: SparkSession, root: str | None = None, files: DataFrame | None = None, home: str | None = None, aliases: DataFrame | None = None):
+    With index, a folder written by save(), the tables are read from there as they are and nothing is parsed.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None = None, files: DataFrame | None = None, home: str | None = None, aliases: DataFrame | None = None, index: str | None = None):
         if (root is None) == (files is None):
             raise ValueError("give a root folder or a table of files (path, content)")
         self.spark, self.root, self._table = spark, root, files
@@ -50,12 +53,16 @@ class Engine:
         self.parsed: DataFrame | None = None
         self.listed: DataFrame | None = None
         self._aliases, self._version, self._cache = aliases, 0, {}
+        self._saved = SavedTables(spark, index) if index else None
 
     # ---- index
 
     def sync(self) -> dict:
         """Parse what is new or changed, drop what is gone: file_count, symbol_count, changed, removed, elapsed_ms."""
         began = time.monotonic()
+        if self._saved is not None:
+            counts = self._saved.counts().first()
+            return {"file_count": counts.file_count, "symbol_count": counts.symbol_count, "changed": 0, "removed": 0, "elapsed_ms": int((time.monotonic() - began) * 1000)}
         if self.root is not None:
             now = listing.listing(self.spark, self.root)
         else:
@@ -90,10 +97,18 @@ class Engine:
 
     @property
     def files(self) -> DataFrame:
+        if self._saved is not None:
+            return self._contents(self._saved.files) if self.root is not None else self._table.select("path", "content")
         return self._contents(self.listed)
 
+    def save(self, path: str) -> None:
+        """Write the index for Engine(index=path)."""
+        save(self.tables, path)
+
     @property
     def tables(self) -> Tables:
+        if self._saved is not None:
+            return self._saved
         if self.parsed is None:
             self.sync()
         return Tables(self.parsed)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import shingles
@@ -94,6 +94,40 @@ class Tables:
         )
 
 
+class SavedTables(Tables):
+    """The index as written by save(): one Parquet table each, definitions in order of their names.
+
+    A lookup by name then reads only the row groups that may hold it, and no arrays are exploded.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _rows(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    @property
+    def files(self) -> DataFrame:
+        return self._rows("files")
+
+    def counts(self) -> DataFrame:
+        names = {"files": "file_count", "defs": "symbol_count", "edges": "edge_count", "fingerprints": "function_count"}
+        found = [self._rows(table).count() for table in names]  # from the files' footers
+        return self.spark.createDataFrame([found], ", ".join(f"{n} long" for n in names.values()))
+
+
+# What each saved table is ordered by, beside the file: the columns that questions look up.
+ORDER = {"defs": "symbol", "edges": "specifier", "functions": "name", "calls": "name", "types": "name", "heritage": "parent", "bindings": "name", "exports": "local", "fingerprints": "name"}
+
+
+def save(tables: Tables, path: str) -> None:
+    """Write every table under path, range-partitioned and sorted by its lookup column."""
+    tables.files.write.mode("overwrite").parquet(f"{path}/files")
+    for name in TABLES:
+        rows = tables._rows(name)
+        rows.repartitionByRange(ORDER[name], "file").sortWithinPartitions(ORDER[name], "file").write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def occurrences(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """References to names in files: wanted has (file, local) and more; only those files are read and parsed."""
     from ..functions.exprs import reference_kind

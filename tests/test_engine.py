@@ -143,6 +143,17 @@ def test_engine_over_a_table(spark, tmp_path):
     assert [n.symbol for n in e.call_graph("run").rows][:2] == ["run", "save"]
 
 
+def test_saved_index_answers_alike(spark, tree, engine, tmp_path):
+    engine.sync()
+    engine.save(str(tmp_path / "index"))
+    saved = Engine(spark, str(tree), home=str(tmp_path), index=str(tmp_path / "index"))
+    assert saved.sync()["symbol_count"] == engine.sync()["symbol_count"]
+    for ask in (lambda e: e.find_def("Repo"), lambda e: e.find_refs("helper"), lambda e: e.dep_graph(), lambda e: e.call_graph("run")):
+        assert ask(saved).text == ask(engine).text
+    plan = saved.tables.defs.filter("symbol = 'Repo'")._jdf.queryExecution().toString()
+    assert "EqualTo(symbol,Repo)" in plan
+
+
 CLONE = "export function total(items: number[]) {\n  let sum = 0;\n  for (const item of items) {\n    if (item > 3) { sum += item * 2; } else { sum -= item; }\n  }\n  return sum;\n}\n"
 
 
