@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, Struc
 from .shared import map_batches, materialise, text_of
 
 LENGTH, KMER, BLOCK, HOT = 400, 128, 750_000, 4096
+CUT = 2048  # contexts sent at a time
 # Odd multipliers, one for each doubling of the hashed width from 1 byte to 128.
 STEPS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 PLACE = 20  # low bits of a k-mer's sort key hold its position, so the leftmost of equal ones wins
@@ -309,12 +311,14 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         flat = reps.flatten()
         lo, end = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("lo", "end"))
         at = np.repeat(np.arange(len(texts)), counts)
-        part = [texts[i][a:b] for i, a, b in zip(at.tolist(), lo.tolist(), end.tolist(), strict=True)]
-        take = pa.array(at)
-        yield pa.RecordBatch.from_arrays(
-            [flat.field("h"), flat.field("c"), flat.field("multi"), batch.column(0).take(take), batch.column(2).take(take), flat.field("lo"), pa.array(part, pa.binary())],
-            ["h", "c", "multi", "id", "k", "lo", "bytes"],
-        )
+        for a in range(0, len(at), CUT):
+            mine = flat.slice(a, CUT)
+            part = [texts[i][x:y] for i, x, y in zip(at[a : a + CUT].tolist(), lo[a : a + CUT].tolist(), end[a : a + CUT].tolist(), strict=True)]
+            take = pa.array(at[a : a + CUT])
+            yield pa.RecordBatch.from_arrays(
+                [mine.field("h"), mine.field("c"), mine.field("multi"), batch.column(0).take(take), batch.column(2).take(take), mine.field("lo"), pa.array(part, pa.binary())],
+                ["h", "c", "multi", "id", "k", "lo", "bytes"],
+            )
 
 
 def _index_blocks(length: int, block: int):
@@ -344,17 +348,26 @@ def _index_blocks(length: int, block: int):
             ids, k = table.column("id").combine_chunks().take(pa.array(w)), table.column("k").to_numpy()[w]
             yield pa.RecordBatch.from_arrays([ids if isinstance(ids, pa.Array) else ids.combine_chunks(), pa.array(k), pa.array(lo + at[new]), pa.array(lo + at[last] + length)], ["id", "k", "lo", "hi"])
 
+        def cut(table: pa.Table) -> tuple[list[pa.Table], pa.Table]:
+            """Pieces of whole anchors of about `block` bytes each, and what is left; the last anchor may go on and is left."""
+            h = table.column("h").to_numpy()
+            size = np.concatenate(([0], np.cumsum(pc.binary_length(table.column("bytes")).to_numpy())))
+            found, at = [], 0
+            for end in (np.flatnonzero(h[1:] != h[:-1]) + 1).tolist():
+                if size[end] - size[at] >= block:
+                    found.append(table.slice(at, end - at))
+                    at = end
+            return found, table.take(pa.array(np.arange(at, table.num_rows))) if at else table
+
         for batch in batches:
             parts.append(batch)
             held += batch.nbytes
             if held >= block:
-                table = pa.Table.from_batches(parts)
-                h = table.column("h").to_numpy()
-                whole = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
-                if whole:
-                    yield from marks(table.slice(0, whole))
-                    table = table.slice(whole)
-                parts, held = table.to_batches(), int(table.nbytes) if whole else 0
+                found, left = cut(pa.Table.from_batches(parts))
+                for piece in found:
+                    yield from marks(piece)
+                # an anchor longer than a block waits for its end, and is looked at again only after as much has come again
+                parts, held = left.to_batches(), 0 if not found else left.nbytes
         if parts:
             yield from marks(pa.Table.from_batches(parts))
 

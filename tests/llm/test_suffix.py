@@ -87,8 +87,9 @@ def corpus(seed):
     return [*texts, texts[-1], para[0] * 3]
 
 
-@pytest.mark.parametrize("hot,block", [(4096, 1_500_000), (1, 1_500_000), (4096, 2_000)])
-def test_repeats_equal_brute_force(spark, hot, block):
+@pytest.mark.parametrize("hot,block,cut", [(4096, 1_500_000, 2048), (1, 1_500_000, 2048), (4096, 2_000, 3)])
+def test_repeats_equal_brute_force(spark, monkeypatch, hot, block, cut):
+    monkeypatch.setattr("codegraph.llm.suffix.CUT", cut)
     texts = corpus(hot)
     rows = list(enumerate(texts)) + [(None, texts[9]), (7, texts[7]), (7, texts[7])]
     docs = spark.createDataFrame(rows, DOCS)
