@@ -11,9 +11,12 @@ from ..functions.exprs import dirname, normalize
 EXTENSIONS = [".ts", ".tsx", ".mts", ".cts", ".js", ".jsx"]
 
 
-def candidates(base: Column) -> Column:
+def bare_name(base: Column) -> Column:
+    return F.regexp_replace(base, r"\.[cm]?jsx?\z", "")
+
+
+def candidates(base: Column, bare: Column) -> Column:
     """Paths a module name may stand for, best first: itself, its name without a script extension plus each extension, that name's index."""
-    bare = F.regexp_replace(base, r"\.[cm]?jsx?\z", "")
     index = F.when(bare == "", F.lit("index")).otherwise(F.concat(bare, F.lit("/index")))
     return F.array(base, *[F.concat(bare, F.lit(e)) for e in EXTENSIONS], *[F.concat(index, F.lit(e)) for e in EXTENSIONS])
 
@@ -46,7 +49,10 @@ def resolve(edges: DataFrame, files: DataFrame, aliases: DataFrame | None = None
     edges: edge_id, file, specifier and more; files: path. Candidates join the file list once; of an edge's hits the
     least position counts, found by a partial aggregate rather than a sort.
     """
-    tried = bases(edges, aliases).select("edge_id", "target_ord", F.posexplode(candidates(F.col("base"))).alias("prio", "path"))
+    # paths are folded together once per edge: generators keep the planner from repeating that in every candidate
+    based = bases(edges, aliases).select("edge_id", "target_ord", F.explode(F.array("base")).alias("base"))
+    named = based.select("edge_id", "target_ord", "base", F.explode(F.array(bare_name(F.col("base")))).alias("bare"))
+    tried = named.select("edge_id", "target_ord", F.posexplode(candidates(F.col("base"), F.col("bare"))).alias("prio", "path"))
     hits = tried.join(files.select("path"), "path").groupBy("edge_id").agg(F.min(F.struct("target_ord", "prio", "path")).alias("_hit"))
     return edges.join(hits, "edge_id", "left").withColumn("target", F.col("_hit.path")).drop("_hit")
 
