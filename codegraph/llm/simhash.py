@@ -37,19 +37,24 @@ FEW = 8  # buckets up to this size compare all members at once
 # ---- fingerprints
 
 
+def shingle_hashes(words: list[bytes], shingle: int, seed: int = SEED) -> list[int]:
+    """The hash of each run of `shingle` words; fewer words are one run, no words none."""
+    if not words:
+        return []
+    if len(words) <= shingle:
+        return [xxhash.xxh64_intdigest(b" ".join(words), seed)]
+    text = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate(([0], ends[: -shingle])).tolist()
+    digest = xxhash.xxh64_intdigest
+    return [digest(text[a : b - 1], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
+
+
 def fingerprint(utf8: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """SimHash of word shingles: words end at ASCII white space, A-Z are lower-cased; no words give 0."""
-    words = utf8.lower().split()
-    if not words:
+    hashes = shingle_hashes(utf8.lower().split(), shingle, seed)
+    if not hashes:
         return 0
-    if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), seed)]
-    else:
-        text = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = np.concatenate(([0], ends[: -shingle])).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(text[a : b - 1], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         part = np.array(hashes[at : at + (1 << 15)], "<u8")
@@ -242,7 +247,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     keyed = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), *key_of(text_of(text_col)))
     marked = materialise(fingerprints(keyed, "_id", "_text", ["_id", "_k1", "_k2"]), "marked")
-    found = classes(marked, "_id").groupBy("root", "row").agg(F.count(F.lit(1)).alias("n"))
+    return survivors(docs, classes(marked, "_id").select("root", "row"), id_col, text_col)
+
+
+def survivors(docs: DataFrame, rooted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of docs for each root of rooted (root, row of _id, _k1 and _k2), chosen as near_dedup says."""
+    found = rooted.groupBy("root", "row").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(F.col("row._id").isNull().alias("absent"), F.col("row._id").alias("id"), F.col("row._k1").alias("k1"), F.col("row._k2").alias("k2"), F.col("n").alias("n"))
     winners = materialise(found.groupBy("root").agg(F.min(order).alias("w")).select("w.*"), "winners")
     rows = docs.select(F.col(id_col).alias("_id"), F.struct(*docs.columns).alias("row"), *key_of(text_of(text_col)))
