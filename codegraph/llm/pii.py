@@ -39,6 +39,15 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+# Characters of an IBAN by country.
+IBAN_SIZE = {
+    x[:2]: int(x[2:])
+    for x in """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18
+    FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21
+    LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19
+    SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30""".split()
+}
+OWN_IBAN = {k: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for k, n in IBAN_SIZE.items()}
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 DIGIT = re.compile(r"[0-9]")
 
@@ -73,6 +82,17 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
             yield start, done
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the country's length, else the longest, that pass mod-97; after a span that doesn't, the search goes on within it."""
+    at = 0
+    while m := IBAN.search(text, at):
+        own = OWN_IBAN.get(m[0][:2])
+        found = next((x for x in (own and own.match(text, m.start()), m) if x and mod97(x[0])), None)
+        if found:
+            yield found.span()
+        at = found.end() if found else m.start() + 4
+
+
 def spans(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by kind as listed, then start."""
     found = [("email", *m) for m in emails(text)] if "@" in text else []
@@ -81,7 +101,7 @@ def spans(text: str) -> list[tuple[str, int, int, float]]:
         found += [("card", *m.span()) for m in CARD.finditer(text) if 13 <= len(d := digits(m[0])) <= 19 and luhn(d)]
         if "+" in text:
             found += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(digits(m[0])) <= 15]
-        found += [("iban", *m.span()) for m in IBAN.finditer(text) if mod97(m[0])]
+        found += [("iban", *m) for m in ibans(text)]
         found += [("ssn", *m.span()) for m in SSN.finditer(text)]
     scored = []
     for kind, a, b in found:

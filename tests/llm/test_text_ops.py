@@ -187,3 +187,12 @@ def test_queries_ignore_extra_columns_and_keep_rows(spark, tmp_path, name):
             df.limit(cut).withColumns({c: F.lit(1) for c in names if c not in df.columns}).write.parquet(str(d / f"{label}.parquet"))
         out = queries()[name](spark, str(d)).collect()
         assert (len(out) > 0) == (kind == "full")
+
+
+def test_iban_ends_at_its_countrys_length():
+    gb, de = "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"
+    for text, want in [
+        (f"{gb} BIC WESTGB2L", [gb]), (f"{de} EUR 100", [de]), (f"{gb} {de}", [gb, de]), (f"AB12 {de} X", [de]), (de.replace(" ", "") + "EUR", []),
+        (f"{de[:-1]}1 EUR 100", []), (f"x {gb}.", [gb]), (gb.replace(" ", ""), [gb.replace(" ", "")]),
+    ]:
+        assert [text[a:b] for kind, a, b, _ in pii.spans(text) if kind == "iban"] == want
