@@ -84,7 +84,7 @@ def license_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .join(F.broadcast(heads), "_tid")
     )
     base = votes.filter(F.col("_base") & (F.bit_count("_mask") == F.col("_need")))
-    free = votes.filter(~F.col("_base") & (F.bit_count("_mask") >= 2))
+    free = votes.filter(~F.col("_base"))
     order = Window.partitionBy("_k1", "_k2", "_tid").orderBy("_diag")
     merged = (
         free.withColumn("_gap", F.col("_diag") - F.lag("_diag").over(order))

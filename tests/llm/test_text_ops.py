@@ -196,3 +196,9 @@ def test_iban_ends_at_its_countrys_length():
         (f"{de[:-1]}1 EUR 100", []), (f"x {gb}.", [gb]), (gb.replace(" ", ""), [gb.replace(" ", "")]),
     ]:
         assert [text[a:b] for kind, a, b, _ in pii.spans(text) if kind == "iban"] == want
+
+
+def test_license_votes_count_on_the_merged_run(spark):
+    texts = ["released under the permissive MIT License", "licensed under the apache license version number 2 0", "under the license", "released under a permissive license"]
+    got = {r.doc_id: r.labels for r in license_scan(docs(spark, texts)).collect()}
+    assert got == {0: "mit", 1: "apache-2.0", 2: "", 3: ""}
