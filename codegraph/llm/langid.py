@@ -173,5 +173,8 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the rows that are in no language: null texts and texts without a letter."""
-    return identify(docs, fit(docs, id_col, text_col, lang_col), text_col).filter(F.col("lang_pred") != UNKNOWN).select("row.*")
+    """docs without the rows that are in no language: null texts and texts without a letter, also where no row can be learned from."""
+    model = fit(docs, id_col, text_col, lang_col)
+    if model is None:
+        return docs.filter(F.col(text_col).rlike(r"\p{L}"))
+    return identify(docs, model, text_col).filter(F.col("lang_pred") != UNKNOWN).select("row.*")

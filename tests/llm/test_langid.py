@@ -68,3 +68,10 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame(corpus(40) + [(99, "..", "xa")], DOCS)
     kept = langid.keep_identified(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(40))
+
+
+def test_stage_keeps_texts_where_nothing_can_be_learned_from(spark):
+    rows = [(2, "text", None), (3, "12 34", None), (4, None, None), (None, "more text", None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = langid.keep_identified(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, None}
