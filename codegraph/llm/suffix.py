@@ -3,13 +3,16 @@
 Every window of `length` bytes selects its least hashed k-mer as its anchor, so equal windows lie around equal anchors
 at equal offsets, and each window belongs to one anchor. The bytes of an anchor's windows are its context.
 
-1. Contexts that are equal (same anchor hash, offset and bytes) are repeated outright: counted by hash, first within a
-   batch so that hot passages leave a task as one row, then over all rows.
+1. Contexts that are equal (same anchor hash, offset and bytes) are repeated outright. They are counted by hash with
+   partial sums, so a hot passage leaves a task as one row, and joined back to their places.
 2. Contexts that share an anchor but differ go to the index, those of one anchor together: a run-length compressed BWT
    of the contexts with, at the run ends, samples of the LF mapping, the suffix array and the (irreducible) LCP values.
    Streaming a context backwards through the runs keeps its row and its longest match above and below, that is its
    matching statistics against all other places in the index; a window whose match reaches `length` is repeated.
-3. An anchor with more than `hot` differing contexts does not go to one task: its windows are counted by hash instead.
+3. The contexts of an anchor with more than `hot` of them are split by the bytes beside it before they are indexed: a
+   window holds either the nearer half of what it has besides the anchor on the left or the rest of it on the right,
+   and those bytes lengthen the anchor. Equal windows take the same side and meet again. Anchors grow until they are
+   not crowded; one as long as a window has a single context. So no task gets more of an anchor than a block.
 
 Nothing is compared outside these steps, and none drops a window: the result is exact up to 128-bit hash collisions.
 """
@@ -29,7 +32,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, Struc
 
 from .shared import map_batches, materialise, text_of
 
-LENGTH, KMER, BLOCK, HOT = 400, 128, 750_000, 4096
+LENGTH, KMER, BLOCK, HOT = 400, 128, 750_000, 1024
 CUT = 2048  # contexts sent at a time
 # Odd multipliers, one for each doubling of the hashed width from 1 byte to 128.
 STEPS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
@@ -204,13 +207,10 @@ class RunIndex:
 
 # ---- Spark
 
-ROW = "kind int, id {id}, k long, h long, c long, lo long, hi long, multi boolean"
-MARK, ANCHOR, REP = 0, 1, 2
-NAMES = ["kind", "id", "k", "h", "c", "lo", "hi", "multi"]
-
-
-def _batch(kind: np.ndarray, ids: pa.Array, k: np.ndarray, h: np.ndarray, c: np.ndarray, lo: np.ndarray, hi: np.ndarray, multi: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), ids, *(pa.array(x) for x in (k, h, c, lo, hi, multi))], NAMES)
+ROW = "kind int, id {id}, k long, h long, c long, off long, lo long, hi long, multi boolean"
+MARK, ANCHOR = 0, 1
+NAMES = ["kind", "id", "k", "h", "c", "off", "lo", "hi", "multi"]
+ROOM = 40  # bits of a byte position where positions of several texts stand in one number
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -228,97 +228,104 @@ def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _emit_anchors(length: int, kmer: int):
+    """Per batch: its places of contexts that it holds more than once as marks, merged, and a row per different context."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, at = [], []
             for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                 if len(text) >= length:
                     h, place, lo, hi = anchors(text, length, kmer)
-                    found.append((h, context_hashes(text, place, lo, hi, length), lo, hi))
+                    found.append((h, context_hashes(text, place, lo, hi, length), place - lo, lo, hi))
                     at.append(np.full(len(h), i))
             if not found:
                 continue
-            h, c, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+            h, c, off, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
             at = np.concatenate(at)
             order = np.lexsort((c, h))
-            h, c, lo, hi, at = (x[order] for x in (h, c, lo, hi, at))
+            h, c, off, lo, hi, at = (x[order] for x in (h, c, off, lo, hi, at))
             new = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
             counts = np.diff(np.concatenate((np.flatnonzero(new), [len(h)])))
             multi = np.repeat(counts > 1, counts)
             ids, k = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
-            for kind, mine in ((MARK, multi), (ANCHOR, new)):
-                w = at[mine]
-                yield _batch(np.full(len(w), kind), ids.take(pa.array(w)), k[w], h[mine], c[mine], lo[mine], hi[mine] + length * (kind == MARK), multi[mine])
+
+            def rows(kind: int, w: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(w), kind, np.int32)), ids.take(pa.array(w)), pa.array(k[w]), *map(pa.array, rest)], NAMES)
+
+            if multi.any():
+                base = at[multi] << ROOM
+                a, b = _merged(base + lo[multi], base + hi[multi] + length)
+                none, low = np.zeros(len(a), np.int64), (1 << ROOM) - 1
+                yield rows(MARK, a >> ROOM, none, none, none, a & low, b & low, np.ones(len(a), bool))
+            yield rows(ANCHOR, at[new], h[new], c[new], off[new], lo[new], hi[new], multi[new])
 
     return scan
 
 
-def _combine(length: int):
-    """Rows sorted by (h, c): marks for the rows of repeated contexts, one representative per context where an anchor has several.
+CONTEXT = "h long, c long, multi boolean, id {id}, k long, lo long, bytes binary, a long, b long"
+FIELDS = ["h", "c", "multi", "id", "k", "lo", "bytes", "a", "b"]
 
-    Holds one row over from batch to batch, so groups may be of any size.
-    """
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None
-        several = False  # the held row's anchor has had other contexts
-
-        def split(batch: pa.RecordBatch, final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, several
-            h, c, lo, hi = (batch.column(x).to_numpy(zero_copy_only=False) for x in (3, 4, 5, 6))
-            multi, ids, k = batch.column(7).to_numpy(zero_copy_only=False), batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
-            new_h = np.concatenate(([True], h[1:] != h[:-1]))
-            new = new_h | np.concatenate(([True], c[1:] != c[:-1]))
-            starts = np.flatnonzero(new)
-            counts = np.diff(np.concatenate((starts, [len(h)])))
-            many = (counts > 1) | np.logical_or.reduceat(multi, starts)
-            rows_many = np.repeat(many, counts)
-            anchor = np.cumsum(new_h[starts]) - 1
-            ragged = np.bincount(anchor)[anchor] > 1
-            if several:
-                ragged |= anchor == 0
-            rep = ragged.copy()
-            if not final:
-                rep[-1] = False
-            w = np.flatnonzero(rows_many)
-            yield _batch(np.full(len(w), MARK), ids.take(pa.array(w)), k[w], h[w], c[w], lo[w], hi[w] + length, multi[w])
-            w = starts[rep]
-            yield _batch(np.full(len(w), REP), ids.take(pa.array(w)), k[w], h[w], c[w], lo[w], hi[w], many[rep])
-            several = bool(ragged[-1])
-            w = starts[-1:]
-            held = _batch(np.full(1, ANCHOR), ids.take(pa.array(w)), k[w], h[w], c[w], lo[w], hi[w], many[-1:])
+def _cut_contexts(kmer: int):
+    """id, text, k, reps -> a row per representative with its bytes and, in them, the anchor [a, b)."""
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                if held is not None:
-                    batch = pa.Table.from_batches([held, batch.select(NAMES).cast(held.schema)]).combine_chunks().to_batches()[0]
-                yield from split(batch, False)
-        if held is not None:
-            # all but the representative of the last context are out already
-            if several:
-                c = [held.column(i) for i in range(8)]
-                yield pa.RecordBatch.from_arrays([pa.array([REP], pa.int32()), *c[1:]], NAMES)
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            reps = batch.column(3)
+            counts = reps.value_lengths().to_numpy(zero_copy_only=False)
+            flat = reps.flatten()
+            lo, end, off = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("lo", "end", "off"))
+            at = np.repeat(np.arange(len(texts)), counts)
+            for i in range(0, len(at), CUT):
+                part = slice(i, i + CUT)
+                mine = flat.slice(i, CUT)
+                raw = [texts[t][x:y] for t, x, y in zip(at[part].tolist(), lo[part].tolist(), end[part].tolist(), strict=True)]
+                take = pa.array(at[part])
+                yield pa.RecordBatch.from_arrays(
+                    [mine.field("h"), mine.field("c"), mine.field("multi"), batch.column(0).take(take), batch.column(2).take(take), mine.field("lo"), pa.array(raw, pa.binary()), pa.array(off[part]), pa.array(off[part] + kmer), mine.field("n")],
+                    [*FIELDS, "n"],
+                )
 
     return scan
 
 
-def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, text, k, reps -> a row per representative with its bytes."""
-    for batch in batches:
-        texts = batch.column(1).cast(pa.binary()).to_pylist()
-        reps = batch.column(3)
-        counts = reps.value_lengths().to_numpy(zero_copy_only=False)
-        flat = reps.flatten()
-        lo, end = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("lo", "end"))
-        at = np.repeat(np.arange(len(texts)), counts)
-        for a in range(0, len(at), CUT):
-            mine = flat.slice(a, CUT)
-            part = [texts[i][x:y] for i, x, y in zip(at[a : a + CUT].tolist(), lo[a : a + CUT].tolist(), end[a : a + CUT].tolist(), strict=True)]
-            take = pa.array(at[a : a + CUT])
-            yield pa.RecordBatch.from_arrays(
-                [mine.field("h"), mine.field("c"), mine.field("multi"), batch.column(0).take(take), batch.column(2).take(take), mine.field("lo"), pa.array(part, pa.binary())],
-                ["h", "c", "multi", "id", "k", "lo", "bytes"],
-            )
+def split_context(raw: bytes, a: int, b: int, length: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, a, b) of the parts of a context around [a, b): that of the windows with more on the left, and that of the others.
+
+    The longer anchor [a, b) is relative to the part. A window has `rest` bytes beside the anchor: `half` of them or
+    more on the left, or else rest - half + 1 or more on the right.
+    """
+    rest, last = length - (b - a), len(raw) - length
+    half = (rest + 1) // 2
+    out = []
+    if (stop := min(last, a - half)) >= 0:
+        out.append((0, stop + length, a - half, b))
+    if (start := max(0, a - half + 1)) <= last:
+        out.append((start, len(raw), a - start, b - start + rest - half + 1))
+    return out
+
+
+def _split(length: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, h, c, lo, raw, aa, bb = [], [], [], [], [], [], []
+            for i, (first, text, a, b) in enumerate(zip(*(batch.column(x).to_pylist() for x in (5, 6, 7, 8)), strict=True)):
+                for start, end, x, y in split_context(text, a, b, length):
+                    part = text[start:end]
+                    at.append(i)
+                    h.append(xxhash.xxh64_intdigest(part[x:y], 2 * (y - x) + (start > 0 or x == a)))
+                    c.append(xxhash.xxh64_intdigest(part, x))
+                    lo.append(first + start)
+                    raw.append(part)
+                    aa.append(x)
+                    bb.append(y)
+            take = pa.array(at, pa.int64())
+            hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (h, c)]
+            numbers = [pa.array(x, pa.int64()) for x in (lo, aa, bb)]
+            yield pa.RecordBatch.from_arrays([*hashes, *(batch.column(x).take(take) for x in (2, 3, 4)), numbers[0], pa.array(raw, pa.binary()), *numbers[1:]], FIELDS)
+
+    return scan
 
 
 def _index_blocks(length: int, block: int):
@@ -374,50 +381,49 @@ def _index_blocks(length: int, block: int):
     return scan
 
 
-def _window_hashes(length: int):
-    """A row per window of a context: two hashes of its bytes."""
+def _with_sizes(contexts: DataFrame) -> DataFrame:
+    """The contexts of anchors that have several, and n, how many."""
+    return contexts.join(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "h")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, (lo, raw) in enumerate(zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)):
-                found = [xxhash.xxh3_128_intdigest(raw[a : a + length]) for a in range(len(raw) - length + 1)]
-                w1 = np.array([x & (1 << 64) - 1 for x in found], np.uint64).view(np.int64)
-                w2 = np.array([x >> 64 for x in found], np.uint64).view(np.int64)
-                n = pa.array(np.full(len(found), i))
-                yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), batch.column(3).take(n), batch.column(4).take(n), pa.array(lo + np.arange(len(found)))], ["w1", "w2", "id", "k", "lo"])
 
-    return scan
+def _combined(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """A row per (h, c): its columns from one of the rows, and whether the context is repeated."""
+    each = rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("_n"), F.max("multi").alias("_multi"), *[F.first(x).alias(x) for x in columns])
+    return each.withColumn("multi", F.col("_multi") | (F.col("_n") > 1)).drop("_n", "_multi")
 
 
 def repeat_marks(rows: DataFrame, length: int, kmer: int, block: int, hot: int) -> DataFrame:
     """(id, k, lo, hi): byte ranges of rows (id, text, k) that strings of `length` bytes found elsewhere cover; they may overlap."""
-    spark = rows.sparkSession
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = rows.schema["id"].dataType.simpleString()
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = ROW.format(id=kind)
-    found = materialise(map_batches(rows, _emit_anchors(length, kmer), schema), "anchors")
-    sorted_ = found.filter(F.col("kind") == ANCHOR).repartition(n, "h").sortWithinPartitions("h", "c")
-    combined = materialise(map_batches(sorted_, _combine(length), schema), "contexts")
-    marks = found.filter(F.col("kind") == MARK).unionByName(combined.filter(F.col("kind") == MARK)).select("id", "k", "lo", "hi")
-    reps = combined.filter(F.col("kind") == REP)
-    sizes = reps.groupBy("h").count()
-    own = reps.select("id", "k", F.struct("h", "c", "multi", "lo", (F.col("hi") + length).alias("end")).alias("rep"))
-    per_row = own.groupBy("id", "k").agg(F.collect_list("rep").alias("reps")).select(F.col("id").alias("rid"), F.col("k").alias("rk"), "reps")
+    out = f"id {kind}, k long, lo long, hi long"
+    found = materialise(map_batches(rows, _emit_anchors(length, kmer), ROW.format(id=kind)), "anchors")
+    here = found.filter(F.col("kind") == ANCHOR)
+    contexts = materialise(_combined(here, ["id", "k", "off", "lo", "hi"]), "contexts")
+    repeated = contexts.filter("multi").select("h", "c")
+    places = here.join(repeated, ["h", "c"], "left_semi").withColumn("hi", F.col("hi") + length)
+    marks = found.filter(F.col("kind") == MARK).select("id", "k", "lo", "hi").unionByName(places.select("id", "k", "lo", "hi"))
+
+    def indexed(part: DataFrame) -> DataFrame:
+        dealt = part.select("h", "c", "multi", "id", "k", "lo", "bytes").repartition(n, "h").sortWithinPartitions("h", "c")
+        return map_batches(dealt, _index_blocks(length, block), out)
+
+    reps = _with_sizes(contexts).withColumn("end", F.col("hi") + length)
+    per_row = reps.groupBy("id", "k").agg(F.collect_list(F.struct("h", "c", "multi", "off", "lo", "end", "n")).alias("reps")).select(F.col("id").alias("rid"), F.col("k").alias("rk"), "reps")
     mine = rows["id"].eqNullSafe(per_row["rid"]) & (rows["k"] == per_row["rk"])
-    cut = map_batches(rows.join(per_row, mine).select("id", "text", "k", "reps"), _cut_contexts, f"h long, c long, multi boolean, id {kind}, k long, lo long, bytes binary")
-    large = sizes.filter(F.col("count") > hot).select("h")
-    crowded = not large.isEmpty()
-    if crowded:
+    texts = rows.join(per_row, mine).select("id", "text", "k", "reps")
+    cut = map_batches(texts, _cut_contexts(kmer), f"{CONTEXT.format(id=kind)}, n long")
+    crowded = not reps.filter(F.col("n") > hot).isEmpty()
+    while crowded:  # anchors grow by half of what they lack in each turn
         cut = materialise(cut, "cut")
-    few = cut.join(large, "h", "left_anti") if crowded else cut
-    indexed = map_batches(few.repartition(n, "h").sortWithinPartitions("h", "c"), _index_blocks(length, block), f"id {kind}, k long, lo long, hi long")
-    marks = marks.unionByName(indexed)
-    if crowded:
-        windows = materialise(map_batches(cut.join(large, "h", "left_semi").select("h", "c", "multi", "id", "k", "lo", "bytes"), _window_hashes(length), f"w1 long, w2 long, id {kind}, k long, lo long"), "windows")
+        marks = marks.unionByName(indexed(cut.filter(F.col("n") <= hot)))
+        parts = materialise(map_batches(cut.filter(F.col("n") > hot).select(FIELDS), _split(length), CONTEXT.format(id=kind)), "parts")
         # a place may come twice where rows repeat with id and text: those are marked already
-        repeated = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        marks = marks.unionByName(windows.join(repeated, ["w1", "w2"], "left_semi").select("id", "k", "lo", (F.col("lo") + length).alias("hi")))
-    return marks
+        twice = parts.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        marks = marks.unionByName(parts.join(twice, ["h", "c"], "left_semi").select("id", "k", "lo", (F.col("lo") + F.octet_length("bytes")).alias("hi")))
+        cut = _with_sizes(materialise(_combined(parts, ["id", "k", "lo", "bytes", "a", "b"]), "split")).select(*FIELDS, "n")
+        crowded = not cut.filter(F.col("n") > hot).isEmpty()
+    return marks.unionByName(indexed(cut))
 
 
 def suffix_dedup(

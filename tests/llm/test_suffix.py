@@ -5,9 +5,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from codegraph.llm.suffix import RunIndex, anchors, suffix_dedup
+from codegraph.llm.suffix import RunIndex, _emit_anchors, anchors, split_context, suffix_dedup
 
 DOCS = "doc_id long, text string"
 
@@ -108,3 +109,42 @@ def test_repeats_at_full_length_and_empty(spark):
     got = {x.doc_id: (x.n_bytes, x.n_removed, len(x.spans), x.kept_sha256) for x in suffix_dedup(docs).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts, 400)
     assert suffix_dedup(docs.limit(0)).count() == 0
+
+
+def test_crowded_anchors_are_split_and_found_again(spark):
+    r = random.Random(12)
+    word = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    middle, sides = word(60), [(word(30), word(30)) for _ in range(6)]
+    texts = [word(40) + middle + word(40) for _ in range(60)]
+    texts += [word(20) + r.choice(sides)[0][r.randrange(25) :] + middle + r.choice(sides)[1][: r.randrange(30)] + word(20) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    want = brute(texts, 64)
+    assert sum(w[1] > 0 for w in want) > 30
+    for hot in (1, 5, 40):
+        got = {x.doc_id: (x.n_bytes, x.n_removed, len(x.spans), x.kept_sha256) for x in suffix_dedup(docs, length=64, kmer=16, hot=hot).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_parts_of_a_context_share_its_windows_out():
+    r = random.Random(2)
+    for _ in range(300):
+        length, a = r.randrange(20, 60), r.randrange(30)
+        b = a + r.randrange(4, 20)
+        first, last = max(0, b - length), a
+        raw = bytes(r.choices(b"abc", k=length + r.randrange(max(b - length, 0), a + 1)))
+        if first > len(raw) - length:
+            continue
+        windows = set()
+        for start, end, x, y in split_context(raw, a, b, length):
+            assert y - x > b - a and 0 <= x
+            for s in range(start, end - length + 1):
+                if first <= s <= last:
+                    assert s <= start + x and start + y <= s + length and s not in windows
+                    windows.add(s)
+        assert windows == {s for s in range(len(raw) - length + 1) if first <= s <= last}
+
+
+def test_repeated_places_of_a_periodic_text_leave_a_task_merged():
+    docs = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["ab" * 50_000, "ab" * 500]), pa.array([5, 6])], ["id", "text", "k"])
+    marks = [(r["id"], r["lo"], r["hi"]) for b in _emit_anchors(400, 128)(iter([docs])) for r in b.to_pylist() if r["kind"] == 0]
+    assert marks == [(1, 0, 100_000), (2, 0, 1000)]
