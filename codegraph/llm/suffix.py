@@ -9,10 +9,11 @@ at equal offsets, and each window belongs to one anchor. The bytes of an anchor'
    of the contexts with, at the run ends, samples of the LF mapping, the suffix array and the (irreducible) LCP values.
    Streaming a context backwards through the runs keeps its row and its longest match above and below, that is its
    matching statistics against all other places in the index; a window whose match reaches `length` is repeated.
-3. The contexts of an anchor with more than `hot` of them are split by the bytes beside it before they are indexed: a
-   window holds either the nearer half of what it has besides the anchor on the left or the rest of it on the right,
-   and those bytes lengthen the anchor. Equal windows take the same side and meet again. Anchors grow until they are
-   not crowded; one as long as a window has a single context. So no task gets more of an anchor than a block.
+3. The contexts of an anchor with more than `hot` of them are split before they are indexed: their windows are dealt
+   into PARTS by how far they reach to the left, and the bytes beside the anchor that all windows of a part hold lengthen
+   it. Equal windows fall into the same part and meet again. Only parts that meet others are cut out and go on. Anchors
+   grow until they are not crowded; one as long as a window has a single context. So no task gets more of an anchor
+   than a block.
 
 Nothing is compared outside these steps, and none drops a window: the result is exact up to 128-bit hash collisions.
 """
@@ -34,6 +35,7 @@ from .shared import map_batches, materialise, text_of
 
 LENGTH, KMER, BLOCK, HOT = 400, 128, 750_000, 1024
 CUT = 2048  # contexts sent at a time
+PARTS = 17  # of a crowded anchor's windows; two turns bring parts of one window at the usual widths
 # Odd multipliers, one for each doubling of the hashed width from 1 byte to 128.
 STEPS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 PLACE = 20  # low bits of a k-mer's sort key hold its position, so the leftmost of equal ones wins
@@ -290,40 +292,43 @@ def _cut_contexts(kmer: int):
     return scan
 
 
-def split_context(raw: bytes, a: int, b: int, length: int) -> list[tuple[int, int, int, int]]:
-    """(start, end, a, b) of the parts of a context around [a, b): that of the windows with more on the left, and that of the others.
+def split_context(size: int, a: int, b: int, length: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, a, b) of the parts of a context of `size` bytes around [a, b): each has the windows that reach about as far left.
 
-    The longer anchor [a, b) is relative to the part. A window has `rest` bytes beside the anchor: `half` of them or
-    more on the left, or else rest - half + 1 or more on the right.
+    The longer anchor [a, b) is relative to the part.
     """
-    rest, last = length - (b - a), len(raw) - length
-    half = (rest + 1) // 2
+    rest = length - (b - a)  # bytes of a window beside the anchor
+    step = -(-(rest + 1) // PARTS)
     out = []
-    if (stop := min(last, a - half)) >= 0:
-        out.append((0, stop + length, a - half, b))
-    if (start := max(0, a - half + 1)) <= last:
-        out.append((start, len(raw), a - start, b - start + rest - half + 1))
+    for left in range(0, rest + 1, step):
+        most = min(left + step - 1, rest)  # the part's windows hold left to most bytes before the anchor
+        start, last = max(0, a - most), min(size - length, a - left)
+        if start <= last:
+            out.append((start, last + length, a - left - start, b + rest - most - start))
     return out
 
 
+PART = "h long, c long, multi boolean, id {id}, k long, lo long, a long, b long, start long, size long, ph long, pc long"
+PART_FIELDS = [x.split()[0] for x in PART.split(", ")]
+
+
 def _split(length: int):
+    """Contexts (FIELDS) -> a row per part, without its bytes; ph and pc name the context that it is part of."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, h, c, lo, raw, aa, bb = [], [], [], [], [], [], []
+            at, h, c, numbers = [], [], [], []
             for i, (first, text, a, b) in enumerate(zip(*(batch.column(x).to_pylist() for x in (5, 6, 7, 8)), strict=True)):
-                for start, end, x, y in split_context(text, a, b, length):
+                for start, end, x, y in split_context(len(text), a, b, length):
                     part = text[start:end]
                     at.append(i)
-                    h.append(xxhash.xxh64_intdigest(part[x:y], 2 * (y - x) + (start > 0 or x == a)))
+                    h.append(xxhash.xxh64_intdigest(part[x:y], a - start - x))  # the side differs with the bytes taken in on the left
                     c.append(xxhash.xxh64_intdigest(part, x))
-                    lo.append(first + start)
-                    raw.append(part)
-                    aa.append(x)
-                    bb.append(y)
+                    numbers.append((first + start, x, y, start, end - start))
             take = pa.array(at, pa.int64())
             hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (h, c)]
-            numbers = [pa.array(x, pa.int64()) for x in (lo, aa, bb)]
-            yield pa.RecordBatch.from_arrays([*hashes, *(batch.column(x).take(take) for x in (2, 3, 4)), numbers[0], pa.array(raw, pa.binary()), *numbers[1:]], FIELDS)
+            found = np.array(numbers, np.int64).reshape(-1, 5).T
+            yield pa.RecordBatch.from_arrays([*hashes, *(batch.column(x).take(take) for x in (2, 3, 4)), *map(pa.array, found), *(batch.column(x).take(take) for x in (0, 1))], PART_FIELDS)
 
     return scan
 
@@ -414,15 +419,19 @@ def repeat_marks(rows: DataFrame, length: int, kmer: int, block: int, hot: int)
     texts = rows.join(per_row, mine).select("id", "text", "k", "reps")
     cut = map_batches(texts, _cut_contexts(kmer), f"{CONTEXT.format(id=kind)}, n long")
     crowded = not reps.filter(F.col("n") > hot).isEmpty()
-    while crowded:  # anchors grow by half of what they lack in each turn
+    while crowded:
         cut = materialise(cut, "cut")
         marks = marks.unionByName(indexed(cut.filter(F.col("n") <= hot)))
-        parts = materialise(map_batches(cut.filter(F.col("n") > hot).select(FIELDS), _split(length), CONTEXT.format(id=kind)), "parts")
-        # a place may come twice where rows repeat with id and text: those are marked already
-        twice = parts.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        marks = marks.unionByName(parts.join(twice, ["h", "c"], "left_semi").select("id", "k", "lo", (F.col("lo") + F.octet_length("bytes")).alias("hi")))
-        cut = _with_sizes(materialise(_combined(parts, ["id", "k", "lo", "bytes", "a", "b"]), "split")).select(*FIELDS, "n")
-        crowded = not cut.filter(F.col("n") > hot).isEmpty()
+        many = cut.filter(F.col("n") > hot)
+        parts = materialise(map_batches(many.select(FIELDS), _split(length), PART.format(id=kind)), "parts")
+        each = materialise(_combined(parts, [x for x in PART_FIELDS if x not in ("h", "c", "multi")]), "split")
+        fresh = parts.filter("not multi").join(each.filter("multi").select("h", "c"), ["h", "c"], "left_semi")  # the others are marked
+        marks = marks.unionByName(fresh.select("id", "k", "lo", (F.col("lo") + F.col("size")).alias("hi")))
+        met = _with_sizes(each).select(*[F.col(x) for x in PART_FIELDS], "n")
+        crowded = not met.filter(F.col("n") > hot).isEmpty()
+        whole = many.select(F.col("h").alias("ph"), F.col("c").alias("pc"), F.col("bytes").alias("whole"))
+        bytes_ = F.expr("substring(whole, cast(start as int) + 1, cast(size as int))").alias("bytes")
+        cut = met.join(whole, ["ph", "pc"]).select("h", "c", "multi", "id", "k", "lo", bytes_, "a", "b", "n")
     return marks.unionByName(indexed(cut))
 
 

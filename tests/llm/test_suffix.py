@@ -135,7 +135,7 @@ def test_parts_of_a_context_share_its_windows_out():
         if first > len(raw) - length:
             continue
         windows = set()
-        for start, end, x, y in split_context(raw, a, b, length):
+        for start, end, x, y in split_context(len(raw), a, b, length):
             assert y - x > b - a and 0 <= x
             for s in range(start, end - length + 1):
                 if first <= s <= last:
