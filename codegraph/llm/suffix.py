@@ -404,10 +404,12 @@ def repeat_marks(rows: DataFrame, length: int, kmer: int, block: int, hot: int)
     out = f"id {kind}, k long, lo long, hi long"
     found = materialise(map_batches(rows, _emit_anchors(length, kmer), ROW.format(id=kind)), "anchors")
     here = found.filter(F.col("kind") == ANCHOR)
+    # most anchors stand once and go here; the join's large partitions can be split, whatever an anchor's share
+    shared = here.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    here = materialise(here.join(shared, "h", "left_semi").select(NAMES), "shared")
     contexts = materialise(_combined(here, ["id", "k", "off", "lo", "hi"]), "contexts")
-    repeated = contexts.filter("multi").select("h", "c")
-    places = here.join(repeated, ["h", "c"], "left_semi").withColumn("hi", F.col("hi") + length)
-    marks = found.filter(F.col("kind") == MARK).select("id", "k", "lo", "hi").unionByName(places.select("id", "k", "lo", "hi"))
+    fresh = here.filter("not multi").join(contexts.filter("multi").select("h", "c"), ["h", "c"], "left_semi")  # the others are marked
+    marks = found.filter(F.col("kind") == MARK).select("id", "k", "lo", "hi").unionByName(fresh.select("id", "k", "lo", (F.col("hi") + length).alias("hi")))
 
     def indexed(part: DataFrame) -> DataFrame:
         dealt = part.select("h", "c", "multi", "id", "k", "lo", "bytes").repartition(n, "h").sortWithinPartitions("h", "c")
