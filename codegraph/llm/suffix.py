@@ -419,22 +419,20 @@ def repeat_marks(rows: DataFrame, length: int, kmer: int, block: int, hot: int)
     per_row = reps.groupBy("id", "k").agg(F.collect_list(F.struct("h", "c", "multi", "off", "lo", "end", "n")).alias("reps")).select(F.col("id").alias("rid"), F.col("k").alias("rk"), "reps")
     mine = rows["id"].eqNullSafe(per_row["rid"]) & (rows["k"] == per_row["rk"])
     texts = rows.join(per_row, mine).select("id", "text", "k", "reps")
-    cut = map_batches(texts, _cut_contexts(kmer), f"{CONTEXT.format(id=kind)}, n long")
-    crowded = not reps.filter(F.col("n") > hot).isEmpty()
-    while crowded:
-        cut = materialise(cut, "cut")
+    cut = materialise(map_batches(texts, _cut_contexts(kmer), f"{CONTEXT.format(id=kind)}, n long"), "cut")
+    while True:
         marks = marks.unionByName(indexed(cut.filter(F.col("n") <= hot)))
         many = cut.filter(F.col("n") > hot)
+        if many.isEmpty():
+            return marks
         parts = materialise(map_batches(many.select(FIELDS), _split(length), PART.format(id=kind)), "parts")
         each = materialise(_combined(parts, [x for x in PART_FIELDS if x not in ("h", "c", "multi")]), "split")
-        fresh = parts.filter("not multi").join(each.filter("multi").select("h", "c"), ["h", "c"], "left_semi")  # the others are marked
+        fresh = parts.filter("not multi").join(each.filter("multi").select("h", "c"), ["h", "c"], "left_semi")
         marks = marks.unionByName(fresh.select("id", "k", "lo", (F.col("lo") + F.col("size")).alias("hi")))
         met = _with_sizes(each).select(*[F.col(x) for x in PART_FIELDS], "n")
-        crowded = not met.filter(F.col("n") > hot).isEmpty()
         whole = many.select(F.col("h").alias("ph"), F.col("c").alias("pc"), F.col("bytes").alias("whole"))
         bytes_ = F.expr("substring(whole, cast(start as int) + 1, cast(size as int))").alias("bytes")
-        cut = met.join(whole, ["ph", "pc"]).select("h", "c", "multi", "id", "k", "lo", bytes_, "a", "b", "n")
-    return marks.unionByName(indexed(cut))
+        cut = materialise(met.join(whole, ["ph", "pc"]).select("h", "c", "multi", "id", "k", "lo", bytes_, "a", "b", "n"), "cut")
 
 
 def suffix_dedup(
