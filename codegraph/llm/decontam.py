@@ -2,13 +2,15 @@
 
 Training words stream through the automaton, which keeps the length of the longest item passage that ends at each word.
 Where that length reaches a window, the words of the window are hit, and the automaton's state tells which items hold
-it. The automaton is built from a bounded block of items; a larger benchmark takes several, loaded in turn.
+it. The automaton is built from a bounded block of items; a larger benchmark takes several. Tasks build them and write
+them to the shared folder, and scanning tasks load them from there one at a time, each once for a group of texts.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -20,9 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from .shared import map_batches, with_text
+from .shared import filesystem, map_batches, materialise, named, with_text, work_path
 
 WINDOW, BLOCK_CHARS = 13, 1_000_000
+GROUP_BYTES = 64 << 20  # texts held while the blocks of a large benchmark pass
 COVERAGE = 20  # a document is contaminated when COVERAGE * hit words reach its words
 
 # One table lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space; bytes of other characters stay.
@@ -137,17 +140,46 @@ class Automaton:
                         s = self.chain[link[s]]
 
 
-def build_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_chars: int) -> list[bytes]:
-    """Pickled automata, each of the items of one hash block of about block_chars characters; only one block is in memory at a time."""
-    bare = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter("text is not null").distinct()
+def build_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_chars: int) -> list[str]:
+    """Paths in the shared folder of pickled automata, each of the items of one hash block of about block_chars characters.
+
+    A task builds a block and writes it under a name of its own; the written list, committed by Spark, says which count.
+    Nothing but the paths reaches the driver.
+    """
+    spark = benchmark.sparkSession
+    text = named([text_col])[0]
+    bare = benchmark.select(named([id_col])[0].cast("string").alias("id"), text.alias("text")).filter("text is not null").distinct()
     chars = bare.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / block_chars))
-    out = []
-    for b in range(blocks):
-        part = bare if blocks == 1 else bare.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
-        items = sorted(((r.id, words_of(r.text.encode())) for r in part.toLocalIterator()), key=lambda x: (x[0] or "", x[1]))
-        out.append(cloudpickle.dumps(Automaton([x for x in items if x[1]], window)))
-    return out
+    folder = work_path(spark, "automata")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str | None, list[bytes]]] = []
+        at, done = None, []
+
+        def put() -> None:
+            if held:
+                store, top = filesystem(folder)
+                store.create_dir(top, recursive=True)
+                path = f"{folder}/{uuid.uuid4().hex}"
+                with store.open_output_stream(filesystem(path)[1], compression=None) as f:
+                    f.write(cloudpickle.dumps(Automaton(sorted(held, key=lambda x: (x[0] or "", x[1])), window)))
+                done.append(path)
+                held.clear()
+
+        for batch in batches:
+            for block, item, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), map(words_of, batch.column(2).cast(pa.binary()).to_pylist()), strict=True):
+                if block != at:
+                    put()
+                    at = block
+                if words:
+                    held.append((item, words))
+        put()
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["path"])
+
+    dealt = bare.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).select("block", "id", "text")
+    dealt = dealt.repartition(blocks, "block").sortWithinPartitions("block")
+    return sorted(r.path for r in materialise(map_batches(dealt, build, "path string"), "blocks").collect())
 
 
 RESULT = StructType(
@@ -161,56 +193,74 @@ RESULT = StructType(
 )
 
 
-def contamination(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, block_chars: int = BLOCK_CHARS, keep: list[str] | None = None, drop: bool = False,
+def judged(
+    docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, window: int, block_chars: int, keep: list[str], drop: bool
 ) -> DataFrame:
-    """The kept columns of docs and a struct `found`: n_words, n_hit, item_ids (sorted as strings), hits (word ranges), contaminated.
-
-    Null or empty text has no words and no hits and is not contaminated; null or wordless items have no windows; items
-    that repeat an id count once, and an item with a null id can hit words but is not listed. With drop, contaminated
-    rows are left out. An empty benchmark or table gives no hits or no rows.
-    """
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(x) for x in build_blocks(benchmark, item_col, item_text, window, block_chars)]
-    keep = docs.columns if keep is None else keep
+    """A struct `row` of the kept columns and the struct `found`, as contamination says."""
+    blocks = build_blocks(benchmark, item_col, item_text, window, block_chars)
     source, parts = with_text(docs, text_col, keep)
     schema = StructType([source.schema["row"], StructField("found", RESULT)])
     shape = to_arrow_schema(StructType([StructField("found", RESULT)])).field("found").type
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded: dict[int, Automaton] = {}
+    def load(path: str) -> Automaton:
+        store, at = filesystem(path)
+        with store.open_input_stream(at, compression=None) as f:
+            return pickle.loads(f.read())
 
-        def automaton(b: int) -> Automaton:
-            if b not in loaded:
-                loaded.clear()
-                loaded[b] = pickle.loads(blocks[b].value)
-            return loaded[b]
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = load(blocks[0]) if len(blocks) == 1 else None
+        group: list[tuple[pa.Array, list[bytes | None]]] = []
+        held = 0
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            """Each block in turn over the texts held, so that one automaton is in memory and is loaded once for them all."""
+            hits: dict[tuple[int, int], bytearray] = {}
+            owners: dict[tuple[int, int], set] = {}
+            for turn, path in enumerate(blocks or [None]):
+                own = only or (load(path) if path else None)
+                for g, (_, texts) in enumerate(group):
+                    for i, text in enumerate(texts):
+                        words = words_of(text or b"")
+                        if not turn:
+                            hits[g, i], owners[g, i] = bytearray(len(words)), set()
+                        if own:
+                            items: set[int] = set()
+                            own.scan(words, hits[g, i], items)
+                            owners[g, i].update(own.ids[x] for x in items)
+            for g, (row, texts) in enumerate(group):
+                found = []
+                for hit, ids in ((hits[g, i], owners[g, i]) for i in range(len(texts))):
+                    n, n_hit = len(hit), hit.count(1)
+                    edges = np.flatnonzero(np.diff(np.frombuffer(b"\0" + hit + b"\0", np.int8))).reshape(-1, 2).tolist() if n_hit else []
+                    found.append({"n_words": n, "n_hit": n_hit, "item_ids": sorted(ids - {None}), "hits": edges, "contaminated": n_hit > 0 and COVERAGE * n_hit >= n})
+                out = pa.RecordBatch.from_arrays([row, pa.array(found, shape)], ["row", "found"])
+                yield out.filter(pa.array([not x["contaminated"] for x in found], pa.bool_())) if drop else out
+            group.clear()
 
         for batch in batches:
             texts, row = parts(batch)
-            texts = texts.cast(pa.binary()).to_pylist()
-            state = [(bytearray(), set()) for _ in texts]
-            sizes = [0] * len(texts)
-            for b in range(len(blocks)):
-                own = automaton(b)
-                for i, text in enumerate(texts):
-                    words = words_of(text or b"")
-                    sizes[i] = len(words)
-                    hit, ids = bytearray(len(words)) if b == 0 else state[i][0], set()
-                    own.scan(words, hit, ids)
-                    state[i] = (hit, state[i][1] | {own.ids[x] for x in ids})
-            found = []
-            for n, (hit, ids) in zip(sizes, state, strict=True):
-                n_hit = hit.count(1)
-                edges = np.flatnonzero(np.diff(np.frombuffer(b"\0" + hit + b"\0", np.int8))).reshape(-1, 2).tolist() if n_hit else []
-                found.append({"n_words": n, "n_hit": n_hit, "item_ids": sorted(ids - {None}), "hits": edges, "contaminated": n_hit > 0 and COVERAGE * n_hit >= n})
-            out = pa.RecordBatch.from_arrays([row, pa.array(found, shape)], ["row", "found"])
-            if drop:
-                out = out.filter(pa.array([not x["contaminated"] for x in found], pa.bool_()))
-            yield out
-
-    return map_batches(source, scan, schema).select("row.*", "found")
+            group.append((row, texts.cast(pa.binary()).to_pylist()))
+            held += batch.nbytes
+            if len(blocks) <= 1 or held >= GROUP_BYTES:
+                yield from finish()
+                held = 0
+        yield from finish()
+
+    return map_batches(source, scan, schema)
+
+
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    window: int = WINDOW, block_chars: int = BLOCK_CHARS, keep: list[str] | None = None, drop: bool = False,
+) -> DataFrame:
+    """The kept columns of docs and a struct `found`: n_words, n_hit, item_ids (sorted as strings), hits (word ranges), contaminated.
+
+    Null or empty text has no words and no hits and is not contaminated; null or wordless items have no windows; items
+    that repeat an id count once, and an item with a null id can hit words but is not listed. With drop, contaminated
+    rows are left out. An empty benchmark or table gives no hits or no rows. A column named `found` gives way.
+    """
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "found"]
+    return judged(docs, benchmark, text_col, item_col, item_text, window, block_chars, keep, drop).select("row.*", "found")
 
 
 def cut_words(text: str, ranges: list[list[int]]) -> str:
@@ -225,19 +275,24 @@ def cut_words(text: str, ranges: list[list[int]]) -> str:
     return b" ".join([*out, raw[at:].lstrip()] if out else [raw]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", cut: bool = False, **options) -> DataFrame:
-    """docs without the contaminated rows; with cut, hit passages below that coverage are taken out of the others' texts too."""
-    kept = contamination(docs, benchmark, text_col, drop=True, **options)
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", cut: bool = False, item_col: str = "item_id", item_text: str = "text",
+    window: int = WINDOW, block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """docs without the contaminated rows, all columns as they are; with cut, hit passages below that coverage leave the others' texts too.
+
+    Null, empty and wordless texts stay, as does every row if the benchmark is empty; repeated rows fare alike; an empty
+    table stays empty.
+    """
+    kept = judged(docs, benchmark, text_col, item_col, item_text, window, block_chars, docs.columns, drop=True)
     if not cut:
-        return kept.drop("found")
+        return kept.select("row.*")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            ranges = batch.column(names.index("hits")).to_pylist()
-            texts = batch.column(names.index(text_col)).to_pylist()
-            done = pa.array([cut_words(t, r) if r else t for t, r in zip(texts, ranges, strict=True)], pa.string())
-            columns = [done if n == text_col else batch.column(i) for i, n in enumerate(names) if n != "hits"]
-            yield pa.RecordBatch.from_arrays(columns, [n for n in names if n != "hits"])
-
-    return map_batches(kept.select(*[c for c in docs.columns], "found.hits"), clean, docs.schema)
+            row, ranges = batch.column(0), batch.column(1).to_pylist()
+            names = [row.type.field(i).name for i in range(row.type.num_fields)]
+            done = [cut_words(t, r) if r else t for t, r in zip(row.field(text_col).to_pylist(), ranges, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()) if n == text_col else row.field(n) for n in names], names)
+
+    return map_batches(kept.select("row", "found.hits"), clean, docs.schema)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .shared import map_batches, with_text
+from .shared import map_batches, materialise, named, with_text
 
 BITS = (512, 2048, 4096)  # of the presence vectors of 1-, 2- and 3-grams
 PER_LANGUAGE, SAMPLE, LANDMARKS, RIDGE = 400, 20_000, 256, 1e-3
@@ -121,15 +121,17 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language
     """
     own = F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")
     rows = docs.filter(own).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample)
+    # one read for the hashes, a few bytes a row, and one for the texts below a language's limit
+    hashes = materialise(rows.select("lang", "h").distinct(), "hashes")
+    counts = materialise(hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample), "languages")
     languages = counts.count()
     each = max(1, min(per_language, sample // max(1, languages)))
-    # ranks of hashes first: eight bytes a row, cut to `each` in every task and every salt before a language meets
-    hashes = rows.select("lang", "h").distinct().withColumn("salt", F.pmod("h", F.lit(64)))
-    by_salt, by_lang = Window.partitionBy("lang", "salt").orderBy("h"), Window.partitionBy("lang").orderBy("h")
-    cut = hashes.withColumn("rank", F.row_number().over(by_salt)).filter(F.col("rank") <= each)
-    least = cut.withColumn("rank", F.row_number().over(by_lang)).filter(F.col("rank") <= each)
-    limits = least.groupBy("lang").agg(F.max("h").alias("limit")).join(counts.select("lang"), "lang")  # at most `sample` rows
+    # hashes are spread evenly, so the least `each` lie below a share of their range; twice that share leaves a task few rows to rank
+    share = F.least(F.lit(1.0), (2 * each + 100) / F.col("n"))
+    bounds = counts.select("lang", (share * 2.0**64 - 2.0**63).alias("bound"))  # at most `sample` rows
+    low = hashes.join(F.broadcast(bounds), "lang").filter(F.col("h").cast("double") <= F.col("bound"))
+    ranked = low.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    limits = ranked.filter(F.col("rank") <= each).groupBy("lang").agg(F.max("h").alias("limit"))
     below = rows.join(F.broadcast(limits), "lang").filter(F.col("h") <= F.col("limit"))
     once = below.groupBy("lang", "h").agg(F.min("text").alias("text"))  # copies of a text become one before they meet
     chosen = once.select("lang", "text", F.col("h").alias("rank"))
@@ -172,9 +174,21 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select(own.alias(id_col), held_out(own).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the rows that are in no language: null texts and texts without a letter, also where no row can be learned from."""
+def keep_identified(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    languages: list[str] | None = None, least_score: float | None = None,
+) -> DataFrame:
+    """The rows of docs, with all their columns, whose text the model places in a language.
+
+    That is, in one of `languages` (any learned one by default) with a score of least_score or more; by default a score
+    above chance among the learned languages, which leaves out texts that resemble none of them. Null and letterless
+    texts go. Where no row can be learned from (an unlabelled corpus) there is no prediction: every text with a letter
+    stays, or none if languages are named. Repeated rows fare alike; an empty table stays empty.
+    """
     model = fit(docs, id_col, text_col, lang_col)
     if model is None:
-        return docs.filter(F.col(text_col).rlike(r"\p{L}"))
-    return identify(docs, model, text_col).filter(F.col("lang_pred") != UNKNOWN).select("row.*")
+        return docs.filter(named([text_col])[0].rlike(r"\p{L}") & F.lit(languages is None))
+    chance = 1 / len(model.languages)
+    sure = F.col("score") >= least_score if least_score is not None else (F.col("score") > chance * (1 + 1e-6)) | F.lit(chance == 1)
+    known = F.col("lang_pred") != UNKNOWN if languages is None else F.col("lang_pred").isin(languages)
+    return identify(docs, model, text_col).filter(known & sure & (F.col("lang_pred") != UNKNOWN)).select("row.*")

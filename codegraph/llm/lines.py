@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import key_of, materialise, text_of
+from .shared import key_of, materialise, named, text_of
 
 MIN_SITES, MIN_CHARS, BAND, LG_K = 10, 20, 0.35, 12
 
@@ -54,13 +54,13 @@ def line_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
     min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, band: float = BAND, counts: bool = True,
 ) -> DataFrame:
-    """docs with boilerplate lines taken out of text_col; with counts, the columns n_lines and n_removed follow.
+    """docs with boilerplate lines taken out of text_col; with counts, n_lines and n_removed follow (for columns of these names).
 
     Lines end at line feeds; they are compared without outer spaces, and only lines of min_chars characters or more are
     judged. A line found on min_sites distinct sites goes from every document but the one with the smallest id that
     has it, so nothing vanishes from the corpus. Null text stays null with one line and none removed; a null site is
     no site; a line whose ids are all null stays nowhere. Repeated rows are each cleaned. The rest is joined unchanged
-    in order, and a text all of whose lines go is empty.
+    in order, and a text all of whose lines go is empty. An empty table stays empty.
     """
     bare = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(site_col).cast("string").alias("_site"))
     found = boilerplate(bare, min_sites, min_chars, band).select("_h1", "_h2", "_first")
@@ -73,7 +73,8 @@ def line_dedup(
         .agg(F.collect_set(F.struct("_h1", "_h2", "_first")).alias("_hits"))
     )
     hits = materialise(hits, "hits")  # so that the planner may split the rows of a text that many documents share
-    row = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*docs.columns).alias("_row"))
+    others = [c for c in docs.columns if c != text_col]  # the text travels once
+    row = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(F.lit(0).alias("_"), *named(others)).alias("_row"))
     keyed = row.select("*", *key_of(text_of("_text"))).join(hits, ["_k1", "_k2"], "left")
     parts = F.split(text_of("_text"), "\n", -1)
 
@@ -84,7 +85,8 @@ def line_dedup(
 
     done = keyed.withColumn("_kept", F.when(F.col("_hits").isNull(), parts).otherwise(F.filter(parts, stays)))
     clean = F.when(F.col("_text").isNotNull(), F.array_join("_kept", "\n"))
-    columns = [clean.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns]
+    taken = ("n_lines", "n_removed") if counts else ()
+    columns = [clean.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if c not in taken]
     if not counts:
         return done.select(*columns)
     n_lines, n_kept = F.size(parts).cast("long"), F.size("_kept").cast("long")

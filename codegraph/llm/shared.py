@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -18,7 +19,7 @@ _OWN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only where none is set, as in tests) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir, or (only where none is set and all run in one process, as in tests) a temporary one."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if found:
@@ -26,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     at = sc._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="codegraph-")
     sc.setCheckpointDir(made)
     return made
@@ -62,10 +65,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a Hadoop-style path and the path in it, for use in tasks."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    scheme, colon, rest = path.partition("://")
+    if not colon:
+        return fs.LocalFileSystem(), path
+    scheme = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}.get(scheme, scheme)  # the other names of Hadoop's clients
+    return fs.FileSystem.from_uri(f"{scheme}://{rest}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(columns: list[str]) -> list[Column]:
+    """The columns of these names, whatever characters they hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def text_of(column: str | Column = "text") -> Column:
     """The text, null taken as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
@@ -92,7 +111,7 @@ def map_batches(df: DataFrame, f: Callable[[Batches], Batches], schema: StructTy
 
 def with_text(docs: DataFrame, text_col: str, keep: list[str]) -> tuple[DataFrame, Callable[[pa.RecordBatch], tuple[pa.Array, pa.Array]]]:
     """A struct `row` of the kept columns, beside it the text where it isn't kept; and a function from a batch to (texts, rows)."""
-    row = F.struct(*keep).alias("row")
+    row = F.struct(*named(keep)).alias("row")
     if text_col in keep:
         return docs.select(row), lambda batch: (batch.column(0).field(text_col), batch.column(0))
     return docs.select(row, F.col(text_col).alias("text")), lambda batch: (batch.column(1), batch.column(0))

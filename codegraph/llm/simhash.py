@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
-from .shared import key_of, map_batches, materialise, text_of
+from .shared import key_of, map_batches, materialise, named, text_of
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
@@ -243,7 +243,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, with all its columns: that with the smallest id, null ids last, ties going by text hash.
 
-    Of rows equal in id and text, that with the least hash over all columns stays.
+    Of rows equal in id and text, that with the least hash over all columns stays. Null and wordless texts are near
+    each other; an empty table stays empty. Extra columns, whatever their names, stay as they are.
     """
     keyed = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), *key_of(text_of(text_col)))
     marked = materialise(fingerprints(keyed, "_id", "_text", ["_id", "_k1", "_k2"]), "marked")
@@ -255,7 +256,7 @@ def survivors(docs: DataFrame, rooted: DataFrame, id_col: str, text_col: str) ->
     found = rooted.groupBy("root", "row").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(F.col("row._id").isNull().alias("absent"), F.col("row._id").alias("id"), F.col("row._k1").alias("k1"), F.col("row._k2").alias("k2"), F.col("n").alias("n"))
     winners = materialise(found.groupBy("root").agg(F.min(order).alias("w")).select("w.*"), "winners")
-    rows = docs.select(F.col(id_col).alias("_id"), F.struct(*docs.columns).alias("row"), *key_of(text_of(text_col)))
+    rows = docs.select(F.col(id_col).alias("_id"), F.struct(*named(docs.columns)).alias("row"), *key_of(text_of(text_col)))
     mine = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2"))
     kept = rows.join(winners, mine)
     one = kept.filter("n = 1").select("row")

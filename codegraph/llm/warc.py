@@ -15,11 +15,10 @@ from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_batches, materialise, text_of, work_path
+from .shared import filesystem, map_batches, materialise, text_of, work_path
 
 LEAST_BYTES, ARCHIVE_BYTES, CHUNK = 1000, 16 << 20, 1 << 20
 VERSION, GZIP, END = b"WARC/1.", b"\x1f\x8b\x08", b"\r\n\r\n"
@@ -27,13 +26,6 @@ ID = "urn:page:"
 DATE = "1970-01-01T00:00:00Z"  # records carry no clock, so a repeated task writes the same bytes
 
 
-def filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a Hadoop-style path, for use in tasks."""
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 # ---- records
 
 

@@ -75,3 +75,29 @@ def test_stage_keeps_texts_where_nothing_can_be_learned_from(spark):
     docs = spark.createDataFrame(rows, DOCS)
     kept = langid.keep_identified(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, None}
+
+
+def test_model_equals_dense_kernel_ridge():
+    """With every training text a landmark, the folded matrix gives what weighted kernel ridge regression on the dense kernel gives."""
+    rows = corpus(90)
+    texts, labels = [t for _, t, _ in rows[:60]], [x for _, _, x in rows[:60]]
+    bits = langid.presence(texts)
+    model = langid.Model(np.packbits(bits, axis=1), labels, landmarks=60, ridge=0.05)
+    languages = sorted(set(labels))
+    target = np.array([[x == y for y in languages] for x in labels], float)
+    weight = np.array([len(labels) / len(languages) / labels.count(x) for x in labels])
+    train = langid.spectra(bits).astype(float)
+    kernel = train @ train.T
+    alpha = np.linalg.solve(weight[:, None] * kernel + 0.05 * len(labels) * np.eye(60), weight[:, None] * target)
+    fresh = [t for _, t, _ in rows[60:]]
+    want = langid.spectra(langid.presence(fresh)).astype(float) @ train.T @ alpha
+    assert np.abs(model.outputs(fresh) - want).max() < 1e-3
+
+
+def test_nystroem_approximates_the_dense_solution():
+    rows = corpus(400)
+    bits = np.packbits(langid.presence([t for _, t, _ in rows[:300]]), axis=1)
+    labels = [x for _, _, x in rows[:300]]
+    fresh = [t for _, t, _ in rows[300:]]
+    dense, few = langid.Model(bits, labels, landmarks=300), langid.Model(bits, labels, landmarks=100)
+    assert np.mean(dense.outputs(fresh).argmax(1) == few.outputs(fresh).argmax(1)) > 0.95

@@ -2,7 +2,12 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
+from codegraph.llm.decontam import decontaminate
+from codegraph.llm.langid import keep_identified
+from codegraph.llm.lines import line_dedup
 from codegraph.llm.shared import materialise
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -40,3 +45,39 @@ def test_stages(spark, tmp_path):
     assert set(kept["decontaminate"]) == set(kept["simhash"]) - {30}
     assert {x.doc_id for x in docs.collect()} == set(kept["decontaminate"])
     assert sorted(P.run(spark, str(tmp_path)).collect()) == sorted(docs.collect())
+
+
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    """Extra columns, with names that the operators use inside, names with dots and quotes, go through every stage with their values."""
+    build(spark, str(tmp_path))
+    extra = ["found", "hits", "n_lines", "n_removed", "a.b", "c`d", "row", "lang_pred", "score", "_id", "_text", "node", "root", "label", "h"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    docs = docs.select("*", *[F.concat(F.lit(f"{c} "), F.coalesce("doc_id", F.lit(-1)).cast("string")).alias(c) for c in extra])
+    for name, stage in P.STAGES[:-1]:
+        docs = materialise(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns[-len(extra) :] == extra
+        for r in docs.collect():
+            assert list(r)[-len(extra) :] == [f"{c} {r.doc_id}" for c in extra]
+    assert stage is P.STAGES[3][1] and docs.count() > 10
+    assert P.STAGES[4][1](spark, docs, str(tmp_path)).count() >= docs.count()
+    cut = decontaminate(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet"), cut=True)
+    assert cut.columns == docs.columns and all(r.found == f"found {r.doc_id}" for r in cut.collect())
+    counted = line_dedup(docs)
+    assert counted.columns.count("n_lines") == 1 and all(r.n_lines >= 1 and r.found for r in counted.collect())
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    build(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
+    for name, stage in P.STAGES:
+        docs = materialise(stage(spark, docs, str(tmp_path)), name)
+        assert docs.count() == 0
+
+
+def test_language_stage_uses_the_prediction(spark):
+    texts = ["the cat sat on the mat and then it ran", "der hund lief durch den wald und schlief"]
+    rows = [(i, f"{texts[i % 2]} {texts[i % 2][i % 20:]}", ("en", "de")[i % 2], "s", 0) for i in range(60)] + [(90, "\u4e2d\u6587\u5b57", None, "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert {r.doc_id for r in keep_identified(docs).collect()} >= set(range(60))
+    assert {r.doc_id for r in keep_identified(docs, languages=["de"]).collect()} - {90} == set(range(1, 60, 2))
+    assert {r.doc_id for r in keep_identified(docs, least_score=1.01).collect()} == set()
