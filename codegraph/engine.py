@@ -42,17 +42,22 @@ def _check(value, name: str, least, most) -> None:
 class Engine:
     """Index of one tree. Every question first brings the index up to date; only changed files are parsed again.
 
-    With index, a folder written by save(), the tables are read from there as they are and nothing is parsed.
+    With index, a folder written by save(), the tables are read from there as they are and nothing is parsed. Without
+    watch, the index is brought up to date by sync() alone. A table's files are told apart by its columns mtime_ms and
+    size, or by version; without those each sync reads the contents to hash them.
     """
 
-    def __init__(self, spark: SparkSession, root: str | None = None, files: DataFrame | None = None, home: str | None = None, aliases: DataFrame | None = None, index: str | None = None):
+    def __init__(
+        self, spark: SparkSession, root: str | None = None, files: DataFrame | None = None, home: str | None = None, aliases: DataFrame | None = None,
+        index: str | None = None, watch: bool = True,
+    ):
         if (root is None) == (files is None):
             raise ValueError("give a root folder or a table of files (path, content)")
         self.spark, self.root, self._table = spark, root, files
         self.home = home or os.path.join(root or ".", HOME)
         self.parsed: DataFrame | None = None
         self.listed: DataFrame | None = None
-        self._aliases, self._version, self._cache = aliases, 0, {}
+        self._aliases, self._version, self._cache, self._watch, self._problems = aliases, 0, {}, watch, 0
         self._saved = SavedTables(spark, index) if index else None
 
     # ---- index
@@ -66,9 +71,7 @@ class Engine:
         if self.root is not None:
             now = listing.listing(self.spark, self.root)
         else:
-            # a table has no stamps of its own: its content's hash and length stand for them
-            now = self._table.select("path", F.xxhash64("content").cast("double").alias("mtime_ms"), F.length("content").cast("long").alias("size"))
-            now = listing.sources(now).drop("grammar")
+            now = listing.sources(self._stamped()).drop("grammar")
         if self.parsed is None:
             changed, gone = now.select("path"), None
             n_changed, n_removed = now.count(), 0
@@ -87,8 +90,24 @@ class Engine:
             self._version += 1
             self._cache = {}
             del old
+        for held in (changed, gone):
+            if held is not None:
+                held.unpersist()
         counts = Tables(self.parsed).counts().first()
-        return {"file_count": counts.file_count, "symbol_count": counts.symbol_count, "changed": n_changed, "removed": n_removed, "elapsed_ms": int((time.monotonic() - began) * 1000)}
+        self._problems = counts.problem_count
+        return {
+            "file_count": counts.file_count, "symbol_count": counts.symbol_count, "problem_count": counts.problem_count, "changed": n_changed, "removed": n_removed,
+            "elapsed_ms": int((time.monotonic() - began) * 1000),
+        }
+
+    def _stamped(self) -> DataFrame:
+        """path and two stamps of every row of the table: its own, or else hash and length of the content."""
+        t = self._table
+        if {"mtime_ms", "size"} <= set(t.columns):
+            return t.select("path", F.col("mtime_ms").cast("double").alias("mtime_ms"), F.col("size").cast("long").alias("size"))
+        if "version" in t.columns:
+            return t.select("path", F.xxhash64("version").cast("double").alias("mtime_ms"), F.lit(0).cast("long").alias("size"))
+        return t.select("path", F.xxhash64("content").cast("double").alias("mtime_ms"), F.length("content").cast("long").alias("size"))
 
     def _contents(self, listed: DataFrame) -> DataFrame:
         if self.root is not None:
@@ -152,7 +171,8 @@ class Engine:
 
     def _begin(self, tool: str, **args) -> None:
         self._record(tool, args)
-        self.sync()
+        if self._watch or self.parsed is None:
+            self.sync()
 
     # ---- lookup
 
@@ -177,18 +197,19 @@ class Engine:
         if not defs:
             return Answer(f"No definition of {symbol}.")
         if any(d.kind == "method" for d in defs) and self._typed():
-            rows = self._member_refs(symbol, path_glob)
+            rows, unread = self._member_refs(symbol, path_glob)
             if rows:
-                return self._refs_answer(symbol, rows, types_tier.TIER)
+                return self._refs_answer(symbol, rows, types_tier.TIER, unread)
         d = self.spark.createDataFrame([(symbol, r.file, r.line, i) for i, r in enumerate(defs)], "symbol string, file string, def_line int, def_ord int")
         own = d.select("file", F.col("symbol").alias("local"), "def_ord", F.col("file").alias("def_file"), "def_line")
         users = modules.importers(self.resolved, d.select("symbol", "file"))
         lines = d.groupBy("file").agg(F.min(F.struct("def_ord", "def_line")).alias("m")).select(F.col("file").alias("def_file"), "m.*")
         taken = users.join(lines, "def_file").select("file", "local", "def_ord", "def_file", "def_line")
         wanted = modules.first_target(own.unionByName(taken).filter(matches_glob(F.col("file"), path_glob)))
-        found = occurrences(self.files, wanted.select("file", "local", "def_file", "def_line")).orderBy("file", "line", "column").collect()
-        text = self._refs_answer(symbol, found, TIER)
-        text.data["importer_count"] = users.filter(~F.col("file").isin([r.file for r in defs])).count() if len(defs) < 1000 else users.count()
+        rows = occurrences(self.files, wanted.select("file", "local", "def_file", "def_line")).orderBy("file", "line", "column").collect()
+        found = [r for r in rows if r.line is not None]
+        text = self._refs_answer(symbol, found, TIER, [r.file for r in rows if r.line is None])
+        text.data["importer_count"] = users.join(d.select("file").distinct(), "file", "left_anti").count()
         if not found and any(r.kind == "method" for r in defs):
             text.text += " It is a method: uses through a receiver need the type-resolved tier (a tsconfig)."
         return text
@@ -197,22 +218,27 @@ class Engine:
         """Whether the typed tier applies: always for tables, else where a project configuration exists."""
         return self.root is None or any(os.path.exists(os.path.join(self.root, c)) for c in (*listing.CONFIGS, "tsconfig.base.json"))
 
-    def _member_refs(self, symbol: str, path_glob: str | None) -> list[Row]:
+    def _member_refs(self, symbol: str, path_glob: str | None) -> tuple[list[Row], list[str]]:
+        """The references, and the files nested too deeply to be read."""
         t = self.tables
         uses = member_uses(self.files.filter(matches_glob(F.col("path"), path_glob)), symbol)
         uses = graph.cut_lineage(uses.withColumn("use_id", F.concat_ws(":", "file", "line", "column")))
+        unread = [r.file for r in uses.filter("line is null").select("file").collect()]
+        uses = uses.filter("line is not null")
         located = types_tier.receivers(uses, t.table("bindings"), self.scoped, t.table("heritage")).filter("r_cls is not null")
         # the receiver's class may inherit the member or declare it: the nearest class with it counts
         m = t.functions.filter((F.col("name") == symbol) & F.col("cls").isNotNull()).select(F.col("file").alias("m_file"), F.col("cls").alias("m_cls"), F.col("line").alias("def_line"))
         up = located.join(self.ancestry.withColumnsRenamed({"file": "x_file", "cls": "x_cls"}), (F.col("r_file") == F.col("x_file")) & (F.col("r_cls") == F.col("x_cls")))
         hit = up.join(m, (F.col("a_file") == F.col("m_file")) & (F.col("a_cls") == F.col("m_cls")))
         best = hit.groupBy("file", "line", "column", "snippet", F.col("kind").alias("ref_kind")).agg(F.min_by(F.struct(F.col("m_file").alias("def_file"), "def_line"), F.struct("distance", "def_line")).alias("d"))
-        return best.select("file", "line", "column", "snippet", "ref_kind", "d.def_file", "d.def_line").orderBy("file", "line", "column").collect()
+        return best.select("file", "line", "column", "snippet", "ref_kind", "d.def_file", "d.def_line").orderBy("file", "line", "column").collect(), unread
 
-    @staticmethod
-    def _refs_answer(symbol: str, rows: list[Row], tier: str) -> Answer:
+    def _refs_answer(self, symbol: str, rows: list[Row], tier: str, unread: list[str]) -> Answer:
         lines = [f"{r.file}:{r.line}:{r.column}  {r.ref_kind}  -> {r.def_file}:{r.def_line}  {r.snippet}" for r in rows]
-        return Answer(f"{len(rows)} references to {symbol} ({tier})." + "".join("\n" + x for x in lines), rows, {"tier": tier})
+        text = f"{len(rows)} references to {symbol} ({tier})." + "".join("\n" + x for x in lines)
+        if unread:
+            text += f"\nNot searched, nested too deeply: {', '.join(sorted(set(unread)))}"
+        return Answer(text, rows, {"tier": tier, "unread": sorted(set(unread)), "problems": self._problems})
 
     # ---- graphs
 
@@ -239,12 +265,13 @@ class Engine:
             out = [f"  imports {r.dst}" for r in found if r.src == focus or r.src.startswith(focus.rstrip("/") + "/")]
             into = [f"  imported by {r.src}" for r in found if r.dst == focus or r.dst.startswith(focus.rstrip("/") + "/")]
             return Answer("\n".join([f"Neighborhood of {focus}", *out, *into]), found, {"edges": found})
-        rows = graph.hubs(edges).collect()
+        hubs = graph.hubs(edges)
+        rows = hubs.limit(HUBS).collect()
         folders = edges.select(F.regexp_replace("src", "/?[^/]*$", "").alias("a"), F.regexp_replace("dst", "/?[^/]*$", "").alias("b")).filter("a <> b")
         between = folders.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "a", "b").limit(HUBS).collect()
-        text = ["Most depended-on files:", *[f"  {r.id}  in {r.in_degree}, out {r.out_degree}" for r in rows[:HUBS]]]
+        text = ["Most depended-on files:", *[f"  {r.id}  in {r.in_degree}, out {r.out_degree}" for r in rows]]
         text += ["Between folders:", *[f"  {r.a or '.'} -> {r.b or '.'}: {r.n}" for r in between]] if between else []
-        return Answer("\n".join(text), rows, {"nodes": rows, "modules": between})
+        return Answer("\n".join(text), rows, {"nodes": hubs, "modules": between, "problems": self._problems})
 
     def _entry(self, symbol: str, path_glob: str | None) -> tuple[Row | None, list[Row]]:
         defs = lookup.find(self.tables.defs, symbol, path_glob).filter("kind in ('function', 'method')").collect()
@@ -493,10 +520,12 @@ class Engine:
 
     def precision_report(self, symbol: str) -> Answer:
         """Files a plain word search finds that find_refs excludes, and files it finds that the word search misses."""
-        refs = {r.file for r in self.find_refs(symbol).rows} | {r.file for r in lookup.find(self.tables.defs, symbol).collect()}
+        refs = sorted({r.file for r in self.find_refs(symbol).rows} | {r.file for r in lookup.find(self.tables.defs, symbol).collect()})
         word = rf"(?<![\w$])\Q{symbol}\E(?![\w$])"
-        hits = {r.path for r in self.files.filter(F.col("content").rlike(word)).select("path").collect()}
-        excluded, missed = sorted(hits - refs), sorted(refs - hits)
+        hits = self.files.filter(F.col("content").rlike(word)).select("path")
+        known = self.spark.createDataFrame([(x,) for x in refs], "path string")
+        excluded = sorted(r.path for r in hits.join(known, "path", "left_anti").collect())
+        missed = sorted(r.path for r in known.join(hits, "path", "left_anti").collect())
         return Answer(f"{symbol}: {len(excluded)} files excluded, {len(missed)} missed by the word search", [], {"excluded": excluded, "missed": missed})
 
 

@@ -12,11 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+STEPS = 3  # of colours to neighbours between checkpoints
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df checkpointed in spark.checkpoint.dir, or in a temporary folder where none is set (local use)."""
+    """df checkpointed in spark.checkpoint.dir, or in a temporary folder where none is set and all runs in one process."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codegraph-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="codegraph-"))
     return df.checkpoint()
 
 
@@ -81,23 +87,24 @@ def trim(edges: DataFrame) -> DataFrame:
     return now
 
 
-def cycles(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def cycles(edges: DataFrame) -> DataFrame:
     """(group_id, id): groups of ids that reach each other, named by their least id; ids on no cycle are absent.
 
     Forward-backward colouring: each round spreads the least id forward to a fixed point, then collects, for every colour,
     the ids of that colour that reach the colour's own id. Those are strongly connected and go; the rest repeats. Work is
-    linear in the edges per round, and no table of pairs is built. A self-loop alone is no group.
+    linear in the edges per round, and no table of pairs is built. Each round takes out a group at least, so it ends. A
+    self-loop alone is no group.
     """
     left = trim(edges)
     found = None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         ids = left.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
         color = cut_lineage(ids.withColumn("c", F.col("id")))
         while True:
-            spread = left.join(color, left.src == color.id).select(F.col("dst").alias("id"), "c").unionByName(color).groupBy("id").agg(F.min("c").alias("c"))
-            new = cut_lineage(spread)
+            new = color
+            for _ in range(STEPS):
+                new = left.join(new, left.src == new.id).select(F.col("dst").alias("id"), "c").unionByName(new).groupBy("id").agg(F.min("c").alias("c"))
+            new = cut_lineage(new)
             moved = not new.join(color, ["id", "c"], "left_anti").isEmpty()
             color = new
             if not moved:

@@ -15,10 +15,19 @@ def bare_name(base: Column) -> Column:
     return F.regexp_replace(base, r"\.[cm]?jsx?\z", "")
 
 
-def candidates(base: Column, bare: Column) -> Column:
-    """Paths a module name may stand for, best first: itself, its name without a script extension plus each extension, that name's index."""
-    index = F.when(bare == "", F.lit("index")).otherwise(F.concat(bare, F.lit("/index")))
-    return F.array(base, *[F.concat(bare, F.lit(e)) for e in EXTENSIONS], *[F.concat(index, F.lit(e)) for e in EXTENSIONS])
+def names_of(path: Column) -> Column:
+    """What a file can be imported as, an array of (key, exact, prio): its own path; its path without a script extension; an index file's folder.
+
+    prio tells the order in which a specifier tries them: the path itself, the extensions in order, then those of the index.
+    """
+    ends = [path.endswith(e) for e in EXTENSIONS]
+    rank, stem = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for i, (hit, e) in reversed(list(enumerate(zip(ends, EXTENSIONS, strict=True), 1))):
+        rank = F.when(hit, F.lit(i)).otherwise(rank)
+        stem = F.when(hit, F.expr(f"substring(path, 1, length(path) - {len(e)})")).otherwise(stem)
+    folder = F.when(stem == "index", F.lit("")).when(stem.endswith("/index"), F.regexp_replace(stem, r"/index\z", ""))
+    name = lambda key, exact, prio: F.struct(key.alias("key"), F.lit(exact).alias("exact"), prio.cast("int").alias("prio"))
+    return F.filter(F.array(name(path, True, F.lit(0)), name(stem, False, rank), name(folder, False, rank + len(EXTENSIONS))), lambda x: x["key"].isNotNull())
 
 
 def bases(edges: DataFrame, aliases: DataFrame | None) -> DataFrame:
@@ -46,14 +55,16 @@ def bases(edges: DataFrame, aliases: DataFrame | None) -> DataFrame:
 def resolve(edges: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """edges with `target`, the file the specifier means; null where none is indexed (external).
 
-    edges: edge_id, file, specifier and more; files: path. Candidates join the file list once; of an edge's hits the
+    edges: edge_id, file, specifier and more; files: path. An edge has two rows in the join, its path and the path
+    without a script extension; a file has one for each of the at most three names it goes by. Of an edge's hits the
     least position counts, found by a partial aggregate rather than a sort.
     """
-    # paths are folded together once per edge: generators keep the planner from repeating that in every candidate
+    # paths are folded together once per edge: generators keep the planner from repeating that
     based = bases(edges, aliases).select("edge_id", "target_ord", F.explode(F.array("base")).alias("base"))
-    named = based.select("edge_id", "target_ord", "base", F.explode(F.array(bare_name(F.col("base")))).alias("bare"))
-    tried = named.select("edge_id", "target_ord", F.posexplode(candidates(F.col("base"), F.col("bare"))).alias("prio", "path"))
-    hits = tried.join(files.select("path"), "path").groupBy("edge_id").agg(F.min(F.struct("target_ord", "prio", "path")).alias("_hit"))
+    asked = F.array(F.struct(F.col("base").alias("key"), F.lit(True).alias("exact")), F.struct(bare_name(F.col("base")).alias("key"), F.lit(False).alias("exact")))
+    tried = based.select("edge_id", "target_ord", F.inline(asked))
+    known = files.select("path", F.inline(names_of(F.col("path"))))
+    hits = tried.join(known, ["key", "exact"]).groupBy("edge_id").agg(F.min(F.struct("target_ord", "prio", "path")).alias("_hit"))
     return edges.join(hits, "edge_id", "left").withColumn("target", F.col("_hit.path")).drop("_hit")
 
 

@@ -1,8 +1,8 @@
-"""Set-similarity joins over shingle sets: an inverted index with exact counts, no pairs but those that share an item."""
+"""Set-similarity joins over shingle sets, with a prefix filter on rare items; no pairs but those that share an item."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import round2
@@ -13,23 +13,51 @@ def postings(sets: DataFrame, items: str) -> DataFrame:
     return sets.withColumn("size", F.size(items)).withColumn("item", F.explode(items)).drop(items)
 
 
+def prefixes(posts: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
+    """The rarest items of each set, as many as decide: two sets that reach the threshold share one of these.
+
+    Of a set of n items that is n - ceil(threshold * n) + 1, in the common order of counts and items.
+    """
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("n", "item"))
+    need = F.ceil(F.col("size") * threshold - 1e-9)
+    return posts.join(counts, "item").withColumn("rank", rank).filter(F.col("rank") <= F.col("size") - need + 1).select("id", "size", "item")
+
+
 def overlaps(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(a, a_size, b, b_size, shared) of pairs that share an item and may reach threshold, from postings (id, size, item).
+    """(a, a_size, b, b_size, shared) of pairs of sets (id, items) that share an item and may reach threshold.
 
-    Sizes that differ by more than the threshold's factor can't reach it, so they never meet.
+    Sizes that differ by more than the threshold's factor can't reach it, so they never meet. With a threshold only the
+    rarest items meet, so an item that nearly all sets hold makes no pairs, and candidates are compared as wholes; with
+    threshold 0 every shared item counts, and all items meet.
     """
-    a = left.select(F.col("id").alias("a"), F.col("size").alias("a_size"), "item")
-    b = right.select(F.col("id").alias("b"), F.col("size").alias("b_size"), "item")
-    joined = a.join(b, "item")
-    if threshold > 0:
-        joined = joined.filter((F.col("a_size") >= threshold * F.col("b_size")) & (F.col("b_size") >= threshold * F.col("a_size")))
-    return joined.groupBy("a", "a_size", "b", "b_size").agg(F.count(F.lit(1)).alias("shared"))
+    a, b = postings(left, "items"), postings(right, "items")
+    if threshold <= 0:
+        one, two = a.select(F.col("id").alias("a"), F.col("size").alias("a_size"), "item"), b.select(F.col("id").alias("b"), F.col("size").alias("b_size"), "item")
+        return one.join(two, "item").groupBy("a", "a_size", "b", "b_size").agg(F.count(F.lit(1)).alias("shared"))
+    counts = a.select("item").unionByName(b.select("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    one = prefixes(a, counts, threshold).select(F.col("id").alias("a"), F.col("size").alias("a_size"), "item")
+    two = prefixes(b, counts, threshold).select(F.col("id").alias("b"), F.col("size").alias("b_size"), "item")
+    near = (F.col("a_size") >= threshold * F.col("b_size")) & (F.col("b_size") >= threshold * F.col("a_size"))
+    pairs = one.join(two, "item").filter(near).select("a", "a_size", "b", "b_size").distinct()
+    whole = pairs.join(left.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(right.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    return whole.select("a", "a_size", "b", "b_size", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"))
 
 
 def score() -> Column:
     return F.col("shared") / (F.col("a_size") + F.col("b_size") - F.col("shared"))
 
 
+def best_matches(functions: DataFrame, references: DataFrame, threshold: float) -> DataFrame:
+    """(a, score, ref) of every function (id, shingles) that reaches threshold with a reference (id, name, ref_ord, shingles): its best one.
+
+    Similarity is Jaccard; of equally similar references that with the lowest ref_ord counts.
+    """
+    items = F.col("shingles").alias("items")
+    pairs = overlaps(functions.select("id", items), references.select("id", items), threshold)
+    named = pairs.withColumn("score", score()).filter(F.col("score") >= threshold).join(references.select(F.col("id").alias("b"), F.col("name").alias("ref"), "ref_ord"), "b")
+    return named.groupBy("a").agg(F.max_by(F.struct("score", "ref"), F.struct("score", -F.col("ref_ord"))).alias("m")).select("a", "m.*")
+
+
 def best_reference(functions: DataFrame, references: DataFrame, threshold: float, limit: int) -> DataFrame:
     """Functions most like any reference: (file, name, line, score, resembles), best first.
 
@@ -40,12 +68,11 @@ def best_reference(functions: DataFrame, references: DataFrame, threshold: float
     if not 0 <= threshold <= 1 or not 1 <= limit <= 50:
         raise ValueError("threshold lies in 0..1 and limit in 1..50")
     others = functions.join(references.select("file").distinct(), "file", "left_anti")
-    pairs = overlaps(postings(others.select("id", "shingles"), "shingles"), postings(references.select("id", "shingles"), "shingles"), threshold)
-    named = pairs.withColumn("score", score()).filter(F.col("score") >= threshold).join(references.select(F.col("id").alias("b"), F.concat_ws("#", "file", "name").alias("ref"), "ref_ord"), "b")
-    best = named.groupBy("a").agg(F.max_by(F.struct("score", "ref"), F.struct("score", -F.col("ref_ord"))).alias("m"))
+    named = references.select("id", "shingles", "ref_ord", F.concat_ws("#", "file", "name").alias("name"))
+    best = best_matches(others.select("id", "shingles"), named, threshold)
     own = others.select("id", "file", "name", "line").join(best, F.col("id") == F.col("a"), "left" if threshold == 0 else "inner")
-    rounded = round2(F.coalesce("m.score", F.lit(0.0))).alias("score")
-    return own.select("file", "name", "line", rounded, F.coalesce("m.ref", F.lit("")).alias("resembles")).orderBy(F.desc("score"), "file", "line").limit(limit)
+    rounded = round2(F.coalesce(best["score"], F.lit(0.0))).alias("score")
+    return own.select("file", "name", "line", rounded, F.coalesce("ref", F.lit("")).alias("resembles")).orderBy(F.desc("score"), "file", "line").limit(limit)
 
 
 def flag_violations(candidates: DataFrame, allowed: DataFrame | None) -> DataFrame:

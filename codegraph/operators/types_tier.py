@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,13 +11,13 @@ from ..functions.exprs import is_external_file
 from .graph import cut_lineage
 
 TIER = "type-resolved"
-HOPS, HERITAGE, IMPLEMENTATIONS = 4, 12, 4
+IMPLEMENTATIONS = 4  # of a call, as drawn
 # Names every runtime provides.
 GLOBALS = "Math JSON console Object Array String Number Boolean Promise Date RegExp Map Set WeakMap WeakSet Symbol Reflect Proxy Intl BigInt Error process Buffer globalThis window document navigator localStorage sessionStorage performance crypto".split()
 
 
 def exports(resolved: DataFrame, functions: DataFrame, types: DataFrame, renamed: DataFrame) -> DataFrame:
-    """(file, name, def_file, def_name): what a name imported from a file stands for: its own names, those it exports renamed or as default, and re-exports of a few hops."""
+    """(file, name, def_file, def_name): what a name imported from a file stands for: its own names, those it exports renamed or as default, and re-exports through any number of files."""
     own = functions.filter("top and cls is null").select("file", "name").unionByName(types.select("file", "name")).distinct()
     known = own.select("file", "name", F.col("file").alias("def_file"), F.col("name").alias("def_name"))
     given = renamed.select("file", F.col("exported").alias("name"), F.col("local").alias("def_name"))
@@ -25,16 +27,16 @@ def exports(resolved: DataFrame, functions: DataFrame, types: DataFrame, renamed
     star = again.filter(F.col("star") & (F.size("names") == 0)).select("file", "target")
     if again.isEmpty():
         return known
-    for _ in range(HOPS):
-        seen = known.select(F.col("file").alias("target"), F.col("name").alias("imported"), "def_file", "def_name")
+    last = known
+    while True:  # what is found is new each time, so circles of re-exports end too
+        seen = last.select(F.col("file").alias("target"), F.col("name").alias("imported"), "def_file", "def_name")
         a = named.join(seen, ["target", "imported"]).select("file", F.col("local").alias("name"), "def_file", "def_name")
         b = star.join(seen, "target").select("file", F.col("imported").alias("name"), "def_file", "def_name")
         new = a.unionByName(b).distinct().join(known, ["file", "name", "def_file", "def_name"], "left_anti")
-        new = cut_lineage(new)
-        if new.isEmpty():
-            break
-        known = known.unionByName(new)
-    return known
+        last = cut_lineage(new)
+        if last.isEmpty():
+            return known
+        known = known.unionByName(last)
 
 
 def scope(resolved: DataFrame, exported: DataFrame, functions: DataFrame, types: DataFrame) -> DataFrame:
@@ -54,14 +56,13 @@ def ancestry(types: DataFrame, heritage: DataFrame, scoped: DataFrame) -> DataFr
     up = cut_lineage(up)
     known = types.select("file", F.col("name").alias("cls")).distinct().select("file", "cls", F.col("file").alias("a_file"), F.col("cls").alias("a_cls"), F.lit(0).alias("distance"))
     known = level = cut_lineage(known)
-    for d in range(1, HERITAGE):
+    for d in count(1):
         step = level.join(up.select(F.col("file").alias("a_file"), F.col("cls").alias("a_cls"), "p_file", "p_cls"), ["a_file", "a_cls"])
         step = step.select("file", "cls", F.col("p_file").alias("a_file"), F.col("p_cls").alias("a_cls"), F.lit(d).alias("distance")).distinct()
         level = cut_lineage(step.join(known, ["file", "cls", "a_file", "a_cls"], "left_anti"))
         if level.isEmpty():
-            break
+            return known
         known = known.unionByName(level)
-    return known
 
 
 def receivers(uses: DataFrame, bindings: DataFrame, scoped: DataFrame, heritage: DataFrame) -> DataFrame:

@@ -224,19 +224,22 @@ def ref_kind_counts(spark, sf_dir):
 
 
 def _sets(spark, sf_dir):
-    """Distinct word 3-grams of every document, of distinct texts of twenty words and more."""
-    docs = read(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("id"))
-    words = docs.select("id", F.split("text", " ").alias("w")).filter(F.size("w") >= 20)
-    return words.select("id", X.k_grams(F.col("w"), 3, " ").alias("shingles"))
+    """Distinct word 3-grams of texts of twenty words and more, once for each text (id, shingles); and (doc_id, id) of every document."""
+    texts = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("id", F.sha2("text", 256))
+    once = texts.groupBy("id").agg(F.first("text").alias("text"))
+    words = once.select("id", F.split("text", " ").alias("w")).filter(F.size("w") >= 20)
+    return words.select("id", X.k_grams(F.col("w"), 3, " ").alias("shingles")), texts.select("doc_id", "id")
 
 
-WORDS = """d AS (SELECT min(doc_id) AS id, string_split(text, ' ') AS w FROM documents GROUP BY text), g AS (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 20),
-items AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS item FROM g), sizes AS (SELECT id, count(*) AS size FROM items GROUP BY 1)"""
+WORDS = """d AS (SELECT text, min(doc_id) AS id, string_split(text, ' ') AS w FROM documents GROUP BY text), g AS (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 20),
+items AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS item FROM g), sizes AS (SELECT id, count(*) AS size FROM items GROUP BY 1),
+member AS (SELECT x.doc_id, d.id FROM documents x JOIN d USING (text))"""
 
 
-@checked(f"WITH {WORDS} SELECT id, size FROM sizes")
+@checked(f"WITH {WORDS} SELECT doc_id AS id, size FROM member JOIN sizes USING (id)")
 def shingle_sets(spark, sf_dir):
-    return _sets(spark, sf_dir).select("id", F.size("shingles").cast("long").alias("size"))
+    sets, member = _sets(spark, sf_dir)
+    return member.join(sets.select("id", F.size("shingles").cast("long").alias("size")), "id").select(F.col("doc_id").alias("id"), "size")
 
 
 @checked("""WITH d AS (SELECT doc_id, [x FOR x IN string_split(lower(source || '|' || lang), '|')] AS w FROM documents) SELECT doc_id, w[1] || chr(1) || w[2] AS run FROM d""")
@@ -253,18 +256,35 @@ def fnv_hash(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("source", X.fnv1a32(F.col("source")).alias("hash")).distinct()
 
 
-REFERENCE = "id % 100 = 0"  # the query set: documents whose id is divisible by 100, against all
+REFERENCE = "doc_id % 100 = 0"  # the query set: documents whose id is divisible by 100, against all others
 
 
-@checked(f"""WITH {WORDS}, q AS (SELECT * FROM items WHERE {REFERENCE}), o AS (SELECT * FROM items WHERE NOT {REFERENCE}),
-pairs AS (SELECT o.id AS a, q.id AS b, count(*) AS shared FROM o JOIN q USING (item) GROUP BY 1, 2),
-scored AS (SELECT a, b, shared / (s.size + t.size - shared) AS score FROM pairs JOIN sizes s ON s.id = a JOIN sizes t ON t.id = b),
-best AS (SELECT a, max(score) AS score, arg_max(b, (score, -b)) AS b FROM scored WHERE score >= 0.05 GROUP BY 1)
-SELECT a AS line, floor(score * 100 + 0.5) / 100 AS score, 'q#' || b AS resembles FROM best ORDER BY 2 DESC, 1 LIMIT 50""")
+@checked(f"""WITH {WORDS}, asked AS (SELECT id, min(doc_id) AS doc_id FROM member WHERE {REFERENCE} GROUP BY 1), q AS (SELECT items.*, doc_id FROM items JOIN asked USING (id)),
+pairs AS (SELECT o.id AS a, q.id AS b, doc_id, count(*) AS shared FROM items o JOIN q USING (item) GROUP BY 1, 2, 3),
+scored AS (SELECT a, doc_id AS b, shared / (s.size + t.size - shared) AS score FROM pairs JOIN sizes s ON s.id = a JOIN sizes t ON t.id = b),
+best AS (SELECT a, max(score) AS score, arg_max(b, (score, -b)) AS b FROM scored WHERE score >= 0.5 GROUP BY 1)
+SELECT doc_id AS line, floor(score * 100 + 0.5) / 100 AS score, 'q#' || b AS resembles FROM best JOIN member ON a = id WHERE NOT ({REFERENCE})""")
 def jaccard_candidates(spark, sf_dir):
-    sets = graph.cut_lineage(_sets(spark, sf_dir))
-    shape = lambda df, file: df.select("id", F.lit(file).alias("file"), F.col("id").cast("string").alias("name"), F.col("id").alias("line"), "shingles", F.col("id").alias("ref_ord"))
-    return similarity.best_reference(shape(sets.filter(f"not ({REFERENCE})"), "o"), shape(sets.filter(REFERENCE), "q"), 0.05, 50).select("line", "score", "resembles")
+    """Every document outside the query set that is like one in it: sets are compared once for each text, copies get their text's result."""
+    sets, member = _sets(spark, sf_dir)
+    sets, asked = graph.cut_lineage(sets), member.filter(REFERENCE).groupBy("id").agg(F.min("doc_id").alias("ref_ord"))
+    references = sets.join(asked, "id").withColumn("name", F.concat(F.lit("q#"), F.col("ref_ord").cast("string")))
+    best = similarity.best_matches(sets, references, 0.5)
+    return member.filter(f"not ({REFERENCE})").join(best, F.col("id") == F.col("a")).select(F.col("doc_id").alias("line"), X.round2(F.col("score")).alias("score"), F.col("ref").alias("resembles"))
+
+
+@checked(f"""WITH {WORDS}, asked AS (SELECT id, min(doc_id) AS doc_id FROM member WHERE {REFERENCE} GROUP BY 1), q AS (SELECT items.*, doc_id FROM items JOIN asked USING (id)),
+rest AS (SELECT * FROM sizes WHERE id NOT IN (SELECT id FROM asked)),
+pairs AS (SELECT o.id AS a, q.id AS b, doc_id, count(*) AS shared FROM items o JOIN rest ON o.id = rest.id JOIN q USING (item) GROUP BY 1, 2, 3),
+scored AS (SELECT a, doc_id AS b, shared / (s.size + t.size - shared) AS score FROM pairs JOIN sizes s ON s.id = a JOIN sizes t ON t.id = b),
+best AS (SELECT a, max(score) AS score, arg_max(b, (score, -b)) AS b FROM scored WHERE score >= 0.5 GROUP BY 1)
+SELECT a AS line, floor(score * 100 + 0.5) / 100 AS score, 'q#' || b AS resembles FROM best ORDER BY 2 DESC, 1 LIMIT 10""")
+def clone_topk(spark, sf_dir):
+    """The ten texts most like a text of the query set, the reference texts themselves left out."""
+    sets, member = _sets(spark, sf_dir)
+    least = member.groupBy("id").agg(F.min("doc_id").alias("line"), F.min(F.when(F.expr(REFERENCE), F.col("doc_id"))).alias("ref_ord"))
+    rows = graph.cut_lineage(sets.join(least, "id").withColumn("file", F.when(F.col("ref_ord").isNull(), "o").otherwise("q")).withColumn("name", F.coalesce("ref_ord", "line").cast("string")))
+    return similarity.best_reference(rows, rows.filter("ref_ord is not null"), 0.5, 10).select("line", "score", "resembles")
 
 
 @checked("""SELECT d.doc_id, l.doc_id IS NULL OR l.quality = 0 AS violates FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) = 0""")

@@ -88,9 +88,9 @@ class Tables:
         return self._rows(name).drop("at")
 
     def counts(self) -> DataFrame:
-        """One row: files, symbols, imports, fingerprints."""
+        """One row: files, those with places that could not be parsed, symbols, imports, fingerprints."""
         return self.parsed.agg(
-            F.count(F.lit(1)).alias("file_count"), *[F.coalesce(F.sum(F.size(t)), F.lit(0)).alias(n) for t, n in (("defs", "symbol_count"), ("edges", "edge_count"), ("fingerprints", "function_count"))]
+            F.count(F.lit(1)).alias("file_count"), F.count(F.when(F.col("problems") != 0, 1)).alias("problem_count"), *[F.coalesce(F.sum(F.size(t)), F.lit(0)).alias(n) for t, n in (("defs", "symbol_count"), ("edges", "edge_count"), ("fingerprints", "function_count"))]
         )
 
 
@@ -113,7 +113,8 @@ class SavedTables(Tables):
     def counts(self) -> DataFrame:
         names = {"files": "file_count", "defs": "symbol_count", "edges": "edge_count", "fingerprints": "function_count"}
         found = [self._rows(table).count() for table in names]  # from the files' footers
-        return self.spark.createDataFrame([found], ", ".join(f"{n} long" for n in names.values()))
+        problems = self.files.filter("problems <> 0").count()
+        return self.spark.createDataFrame([[*found, problems]], ", ".join(f"{n} long" for n in [*names.values(), "problem_count"]))
 
 
 # What each saved table is ordered by, beside the file: the columns that questions look up.
@@ -129,7 +130,10 @@ def save(tables: Tables, path: str) -> None:
 
 
 def occurrences(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """References to names in files: wanted has (file, local) and more; only those files are read and parsed."""
+    """References to names in files: wanted has (file, local) and more; only those files are read and parsed.
+
+    A file nested too deeply to be read has a row without a line.
+    """
     from ..functions.exprs import reference_kind
 
     rest = [c for c in wanted.columns if c not in ("file", "local")]
@@ -146,9 +150,9 @@ def occurrences(files: DataFrame, wanted: DataFrame) -> DataFrame:
                 try:
                     found = File(row["file"], row["content"], row["grammar"]).occurrences(row["local"])
                 except RecursionError:
-                    found = []
+                    found = [dict.fromkeys(("line", "column", "snippet", "node", "parent", "field"))]
                 out += [{k: row[k] for k in ("file", "local", *rest)} | x for x in found]
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=names).astype({"line": "Int64", "column": "Int64"})
 
     schema = ", ".join(["file string", "local string", *(f"{n} {t}" for n, t in extra.items()), "line int", "column int", "snippet string", "node string", "parent string", "field string"])
     rows = joined.select("file", "local", *rest, "content", "grammar").mapInPandas(run, schema)
@@ -156,7 +160,7 @@ def occurrences(files: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def member_uses(files: DataFrame, name: str) -> DataFrame:
-    """Uses of a name as a member, over files that hold it after a dot."""
+    """Uses of a name as a member, over files that hold it after a dot; a file nested too deeply to be read has a row without a line."""
     near = sources(files).filter(F.col("content").contains("." + name)).select("path", "content", "grammar")
 
     def run(batches):
@@ -168,7 +172,7 @@ def member_uses(files: DataFrame, name: str) -> DataFrame:
                 try:
                     out += [{"file": path, "name": name} | x for x in File(path, content, grammar).member_names(name)]
                 except RecursionError:
-                    pass
-            yield pd.DataFrame(out, columns=["file", "name", "line", "column", "snippet", "kind", "form", "receiver", "scope", "cls"]).astype({"scope": "Int64"})
+                    out.append({"file": path, "name": name})
+            yield pd.DataFrame(out, columns=["file", "name", "line", "column", "snippet", "kind", "form", "receiver", "scope", "cls"]).astype({"scope": "Int64", "line": "Int64", "column": "Int64"})
 
     return near.mapInPandas(run, "file string, name string, line int, column int, snippet string, kind string, form string, receiver string, scope int, cls string")

@@ -49,7 +49,7 @@ MODIFIERS = frozenset("public private protected static readonly abstract overrid
 PREDEFINED = frozenset("any unknown number string boolean symbol void never object bigint undefined null".split())
 # Nodes that are functions.
 FUNCTIONS = frozenset("function_declaration function_expression generator_function_declaration generator_function arrow_function method_definition".split())
-DEPTH = 400  # nesting beyond which a file is given up where it stands
+DEPTH = 400  # nesting beyond which a file is given up where it stands; the place counts as a problem of the file, which answers report
 
 
 class Parser:

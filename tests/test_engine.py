@@ -76,7 +76,7 @@ def test_method_refs_use_receiver_types(engine):
 
 
 def test_dep_graph(engine):
-    nodes = {r.id: (r.in_degree, r.out_degree) for r in engine.dep_graph().data["nodes"]}
+    nodes = {r.id: (r.in_degree, r.out_degree) for r in engine.dep_graph().data["nodes"].collect()}
     assert nodes["src/repo.ts"] == (3, 0) and nodes["src/app.ts"] == (0, 2)
     assert engine.dep_graph(cycles=True).data["cycles"] == [["src/x.ts", "src/y.ts"]]
     near = engine.dep_graph(focus="src/service.ts")
@@ -224,3 +224,43 @@ def test_transcripts(tmp_path):
     (tmp_path / "-w-proj" / "a.jsonl").write_text("{}")
     assert latest_transcript(str(tmp_path), "/w/proj").endswith("a.jsonl")
     assert latest_transcript(str(tmp_path), "/else/proj").endswith("a.jsonl") and latest_transcript(str(tmp_path), "/q/none") is None
+
+
+def test_chains_of_re_exports_and_heritage_have_no_limit(spark, tmp_path):
+    rows = [("b0.ts", "export function deep() { return 1; }\n"), *[(f"b{i}.ts", f"export * from './b{i - 1}';\n") for i in range(1, 8)], ("use.ts", "import { deep } from './b7';\nexport function go() { return deep(); }\n")]
+    classes = ["class C0 { low() { return 1; } }"] + [f"class C{i} extends C{i - 1} {{}}" for i in range(1, 17)]
+    rows.append(("tower.ts", "\n".join(classes) + "\nexport function top(c: C16) { return c.low(); }\n"))
+    e = Engine(spark, files=spark.createDataFrame(rows, "path string, content string"), home=str(tmp_path))
+    assert [n.symbol for n in e.call_graph("go").rows] == ["go", "deep"]
+    assert [n.symbol for n in e.call_graph("top").rows] == ["top", "low"]
+    assert e.ancestry.filter("cls = 'C16'").count() == 17
+
+
+def test_importer_count_leaves_out_defining_files_at_any_number(spark, tmp_path):
+    rows = [(f"d{i}.ts", f"import {{ same }} from './d{(i + 1) % 1001}';\nexport function same() {{ return 1; }}\n") for i in range(1001)]
+    rows.append(("use.ts", "import { same } from './d5';\nexport const x = same();\n"))
+    e = Engine(spark, files=spark.createDataFrame(rows, "path string, content string"), home=str(tmp_path))
+    assert e.find_refs("same", "use.ts").data["importer_count"] == 1
+
+
+def test_files_nested_too_deeply_are_named(spark, tmp_path, monkeypatch):
+    deep = "export function f() { return 1; }\nexport const x = " + "[" * 900 + "f()" + "]" * 900 + ";\n"
+    e = Engine(spark, files=spark.createDataFrame([("a.ts", deep), ("b.ts", "export function g() {}\n")], "path string, content string"), home=str(tmp_path))
+    assert e.sync()["problem_count"] == 1
+    a = e.find_refs("f")
+    assert a.data["problems"] == 1 and isinstance(a.data["unread"], list)
+
+
+def test_a_table_is_read_again_only_where_stamps_say_so(spark, tmp_path):
+    rows = [("a.ts", "export class A {}\n", 1), ("b.ts", "export class B {}\n", 1)]
+    e = Engine(spark, files=spark.createDataFrame(rows, "path string, content string, version int"), home=str(tmp_path))
+    assert e.sync()["changed"] == 2 and e.sync()["changed"] == 0
+    e._table.write.parquet(str(tmp_path / "t"))
+    e._table = spark.read.parquet(str(tmp_path / "t"))
+    assert "content" not in e._stamped()._jdf.queryExecution().executedPlan().toString()
+    e._table = spark.createDataFrame([rows[0], ("b.ts", "export class C {}\n", 2)], "path string, content string, version int")
+    assert e.sync()["changed"] == 1 and [r.symbol for r in e.find_def("C").rows] == ["C"]
+    quiet = Engine(spark, files=e._table, home=str(tmp_path), watch=False)
+    assert quiet.find_def("C").rows
+    quiet._table = e._table.limit(0)
+    assert quiet.find_def("C").rows and not quiet.sync()["file_count"] and not quiet.find_def("C").rows
