@@ -1,9 +1,11 @@
 """License scan by diagonal voting: word bigrams of every text joined to template positions.
 
-Each joined pair votes for the diagonal (position in the text less position in the template); votes are a bit mask of
-template positions, so repeated texts or words cannot inflate them. Neighbouring diagonals of longer templates merge,
-which allows for a word put in or left out, and a span counts when enough of its template's positions voted. The join
-compares the words themselves beside their hash, so spans hold no hash collisions. DataFrame operations only.
+Each joined pair votes for the diagonal (position in the text less position in the template); votes are sets of
+template positions, so repeated texts or words cannot inflate them. Diagonals of longer templates merge with those up
+to DRIFT beside them, which allows for words put in or left out and keeps the template's order, however many diagonals
+a long text has in a row. A merged span is verified: enough of its template's pairs stand there, and all that decide
+(those with a number, as of a version, or with a word that tells the licence from its relatives). The join compares the
+words themselves beside their hash, so spans hold no hash collisions. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -22,19 +24,29 @@ PHRASES = [
     ("general public license", "gpl"),
     ("all rights reserved", "reserved"),
 ]
-# Wordings of public licences, found where most of their word pairs stand in order.
+# Wordings of public licences, found where most of their word pairs stand in order. Words in capitals decide.
 TEMPLATES = [
-    ("licensed under the apache license version 2 0", "apache-2.0"),
+    ("licensed under the APACHE license version 2 0", "apache-2.0"),
     ("you may not use this file except in compliance with the license", "apache-2.0"),
-    ("released under the mit license", "mit"),
+    ("released under the MIT license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
-    ("licensed under the gnu general public license version 3", "gpl-3.0"),
+    ("licensed under the GNU GENERAL public license version 3", "gpl-3.0"),
     ("either version 3 of the license or at your option any later version", "gpl-3.0"),
+    ("licensed under the GNU GENERAL public license version 2", "gpl-2.0"),
+    ("either version 2 of the license or at your option any later version", "gpl-2.0"),
+    ("licensed under the gnu LESSER general public license version 3", "lgpl-3.0"),
+    ("licensed under the gnu AFFERO general public license version 3", "agpl-3.0"),
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software"
+        " to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"
+        " and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+        "mit",
+    ),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that", "bsd"),
-    ("this source code form is subject to the terms of the mozilla public license", "mpl-2.0"),
+    ("this source code form is subject to the terms of the MOZILLA public license", "mpl-2.0"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
-    ("licensed under a creative commons attribution 4 0 international license", "cc-by-4.0"),
-    ("licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa-4.0"),
+    ("licensed under a creative commons ATTRIBUTION 4 0 international license", "cc-by-4.0"),
+    ("licensed under a creative commons attribution SHAREALIKE 4 0 international license", "cc-by-sa-4.0"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 ]
 COVERAGE, DRIFT = 0.75, 2
@@ -51,19 +63,30 @@ def words_of(text: Column) -> Column:
 
 
 def templates(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """Word pairs (_a, _b, _tid, _tpos) and one row per template (_tid, _need, _label, _base, _size): constants of a few hundred rows."""
+    """Word pairs (_a, _b, _tid, _tpos) and one row per template (_tid, _need, _label, _base, _size, _must): constants of a few hundred rows.
+
+    Words in capitals and numbers decide. _must holds sets of pairs of which one has to stand: the pair of two such words
+    side by side, and either pair of one that stands alone.
+    """
     pairs, heads = [], []
+
+    def must(decides: list[bool]) -> list[list[int]]:
+        last = len(decides) - 1
+        alone = [i for i, d in enumerate(decides) if d and not any(decides[max(0, i - 1) : i] + decides[i + 1 : i + 2])]
+        return [[i] for i in range(last) if decides[i] and decides[i + 1]] + [[j for j in (i - 1, i) if 0 <= j < last] for i in alone]
+
     for tid, (phrase, label) in enumerate(PHRASES + TEMPLATES):
-        words, base = phrase.split(), tid < len(PHRASES)
+        said, base = phrase.split(), tid < len(PHRASES)
+        words, decides = phrase.lower().split(), [w.isupper() or w.isdigit() for w in said]
         size = len(words) - 1
         pairs += [(a, b, tid, i) for i, (a, b) in enumerate(zip(words, words[1:]))]
-        heads.append((tid, size if base else math.ceil(COVERAGE * size), label, base, size))
+        heads.append((tid, size if base else math.ceil(COVERAGE * size), label, base, size, [] if base else must(decides)))
 
     def constant(rows: list[tuple], names: str) -> DataFrame:
-        each = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(row, names.split())]) for row in rows])
+        each = F.array(*[F.struct(*[(F.array(*[F.array(*map(F.lit, y)) for y in x]).cast("array<array<int>>") if isinstance(x, list) else F.lit(x)).alias(n) for x, n in zip(row, names.split())]) for row in rows])
         return spark.range(1, numPartitions=1).select(F.explode(each).alias("r")).select("r.*")
 
-    return constant(pairs, "_a _b _tid _tpos").withColumn("_gram", F.xxhash64("_a", "_b")), constant(heads, "_tid _need _label _base _size")
+    return constant(pairs, "_a _b _tid _tpos").withColumn("_gram", F.xxhash64("_a", "_b")), constant(heads, "_tid _need _label _base _size _must")
 
 
 def license_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -78,26 +101,26 @@ def license_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     votes = (
         grams.join(F.broadcast(known), hit)
         .withColumn("_diag", F.col("_pos") - F.col("_tpos"))
-        .withColumn("_bit", F.expr("shiftleft(1L, _tpos)"))
         .groupBy("_k1", "_k2", "_tid", "_diag")
-        .agg(F.bit_or("_bit").alias("_mask"))
+        .agg(F.collect_set("_tpos").alias("_seen"))  # at most the template's positions
         .join(F.broadcast(heads), "_tid")
     )
-    base = votes.filter(F.col("_base") & (F.bit_count("_mask") == F.col("_need")))
+    base = votes.filter(F.col("_base") & (F.size("_seen") == F.col("_need")))
     free = votes.filter(~F.col("_base"))
     order = Window.partitionBy("_k1", "_k2", "_tid").orderBy("_diag")
-    merged = (
-        free.withColumn("_gap", F.col("_diag") - F.lag("_diag").over(order))
+    own, all_ = F.size("_seen"), F.size("_all")
+    sound = (
+        free.withColumn("_all", F.array_distinct(F.flatten(F.collect_list("_seen").over(order.rangeBetween(-DRIFT, DRIFT)))))
+        .filter((all_ >= F.col("_need")) & F.forall("_must", lambda m: F.arrays_overlap(m, F.col("_all"))))
+        .withColumn("_gap", F.col("_diag") - F.lag("_diag").over(order))
         .withColumn("_run", F.sum(F.when(F.col("_gap") <= DRIFT, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("_k1", "_k2", "_tid", "_run")
-        .agg(F.bit_or("_mask").alias("_mask"), F.min("_diag").alias("_diag"))
+        .agg(F.max(all_).alias("votes"), F.max_by("_diag", F.struct(own, -F.col("_diag"))).cast("long").alias("start"))
         .join(F.broadcast(heads), "_tid")
-        .filter(F.bit_count("_mask") >= F.col("_need"))
-    )
-    columns = ["_k1", "_k2", "_tid", "_label", "_base", F.col("_diag").cast("long").alias("start"), F.bit_count("_mask").alias("votes")]
-    return base.select(*columns, F.lit(1.0).alias("coverage")).unionByName(
-        merged.select(*columns, (F.bit_count("_mask") / F.col("_size")).alias("coverage"))
     )
+    columns = ["_k1", "_k2", "_tid", "_label", "_base", "start", "votes"]
+    whole = base.withColumn("start", F.col("_diag").cast("long")).withColumn("votes", own)
+    return whole.select(*columns, F.lit(1.0).alias("coverage")).unionByName(sound.select(*columns, (F.col("votes") / F.col("_size")).alias("coverage")))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

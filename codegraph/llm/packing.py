@@ -8,6 +8,7 @@ The plan speaks of ranks within a length, so a join on length and rank range pla
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from bisect import bisect_right
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .shared import map_batches, materialise, text_of
 
-WINDOW, EOS, SALTS, SLACK, DEPTH, SWEEPS = 2048, 1, 64, 4, 4, 60
+WINDOW, EOS, SLACK, DEPTH, SWEEPS = 2048, 1, 4, 4, 60
 # Text in which both tokenizer libraries split words alike beyond doubt: Latin letters, punctuation, plain white space.
 PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-¬®-ɏ–—‘-„•…€]")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the vocabulary's word pattern
@@ -192,15 +193,18 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     A null or empty text is the end token alone. Documents are independent, so repeated rows and null ids make pieces of
     their own; an empty table gives no pieces. No piece is longer than the window and none is split further, so each id
-    lies in one piece; a length that a third of the rows share is ranked in SALTS parts.
+    lies in one piece. A length with n pieces is ranked in about sqrt(n) parts of about sqrt(n) pieces, so neither a
+    part nor the list of parts grows large where most pieces share a length, as the full ones do.
     """
     spark = docs.sparkSession
     pieces = materialise(cut(docs, tokenizer, id_col, text_col, window, eos, with_ids), "pieces")
-    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)))
-    sizes = pieces.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))  # at most window * SALTS rows
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `window` rows
+    salts = spark.createDataFrame([(k, math.isqrt(n - 1) + 1) for k, n in counts.items()], "_of long, _salts long")
+    salted = pieces.join(F.broadcast(salts), F.col("length") == F.col("_of")).drop("_of")
+    pieces = salted.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("_salts"))).drop("_salts")
+    sizes = pieces.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     by_length = Window.partitionBy("length").orderBy("_salt")
     before = sizes.select("length", "_salt", (F.sum("_n").over(by_length) - F.col("_n")).alias("_before"))
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     slots = plan(counts, window)
     table = spark.createDataFrame(slots, "_length long, _lo long, _hi long, _sequence long, _offset long, _times long")
     in_part = Window.partitionBy("length", "_salt").orderBy("doc_id", "start", "ids_crc32")

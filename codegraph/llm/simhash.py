@@ -9,8 +9,11 @@ shares one segment exactly and an index of another. In the second, two segments
 pair has even parity and gives the index of itself, the other gives those of its neighbours; and of the third segment,
 cut in three parts, one part is equal. Joining on these keys therefore loses no link; every candidate is verified.
 
-Keys are 31 to 34 bits wide, so chance candidates stay rare. A bucket never gives all its pairs: it gives a spanning
-forest of the links within it, at most one edge per member, which leaves the components as they are.
+Keys are 31 to 34 bits wide, so chance candidates stay rare. A bucket never gives all its pairs: it gives spanning
+forests of the links within it, which leave the components as they are. Members of a large bucket meet only in parts:
+four differing bits leave two of six groups of the bits that vary in the bucket equal, so those that share two groups
+are compared, fifteen times over. A bucket holds distinct fingerprints, sixteen bytes each: copies and a tight cluster
+of any number of documents are few of them, and a crowd far apart is cut small by the parts.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 GENERATOR = 0xC75  # fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 FEW = 8  # buckets up to this size compare all members at once
+LARGE, GROUPS = 2048, 6  # buckets beyond this size meet in parts, by pairs of so many groups of bits
 
 
 # ---- fingerprints
@@ -163,8 +167,16 @@ def forest(fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(a) if a else none).view(np.int64), (np.concatenate(b) if b else none).view(np.int64)
 
 
-def bucket_links(keys: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links within buckets; keys are sorted."""
+def parts_of(fp: np.ndarray) -> Iterator[np.ndarray]:
+    """For each pair of groups of the bits that vary: the fingerprints' bits in them. Those within RADIUS bits agree in one such pair."""
+    varying = int(np.bitwise_or.reduce(fp ^ fp[0]))
+    groups = [sum(1 << int(i) for i in part) for part in np.array_split([i for i in range(64) if varying >> i & 1], GROUPS)]
+    for a, b in combinations(groups, 2):
+        yield fp & np.uint64(a | b)
+
+
+def bucket_links(keys: np.ndarray, fp: np.ndarray, radius: int = RADIUS, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links within buckets; keys are sorted. Large buckets meet in parts unless whole."""
     edge = np.flatnonzero(np.diff(keys)) + 1
     starts = np.concatenate(([0], edge))
     sizes = np.diff(np.concatenate((starts, [len(keys)])))
@@ -176,9 +188,17 @@ def bucket_links(keys: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tupl
         a.append(x[hit].view(np.int64))
         b.append(x[hit + lag].view(np.int64))
     for at, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
-        one, two = forest(fp[at : at + n], radius)
-        a.append(one)
-        b.append(two)
+        own = fp[at : at + n]
+        if whole or n <= LARGE:
+            found = [forest(own, radius)]
+        else:
+            found = []
+            for part in parts_of(own.view(np.uint64)):
+                order = np.argsort(part)
+                found.append(bucket_links(part[order].view(np.int64), own[order], radius, whole=True))
+        for one, two in found:
+            a.append(one)
+            b.append(two)
     a, b = np.concatenate(a), np.concatenate(b)
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]

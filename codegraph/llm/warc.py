@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .shared import filesystem, map_batches, materialise, text_of, work_path
 
 LEAST_BYTES, ARCHIVE_BYTES, CHUNK = 1000, 16 << 20, 1 << 20
+PIECE, HEADER = 1 << 14, 1 << 20  # compressed bytes inflated at a time; longest header of a record
 VERSION, GZIP, END = b"WARC/1.", b"\x1f\x8b\x08", b"\r\n\r\n"
 ID = "urn:page:"
 DATE = "1970-01-01T00:00:00Z"  # records carry no clock, so a repeated task writes the same bytes
@@ -73,72 +74,126 @@ def _headers(raw: bytes) -> dict[str, str]:
     return out
 
 
-def parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """The record that begins at `at`: headers, block, end. Damaged if its frame or payload digest doesn't hold."""
-    head_end = raw.find(END, at)
-    if head_end < 0:
-        raise Damaged("header not ended")
-    headers = _headers(raw[at:head_end])
-    try:
-        size = int(headers["content-length"])
-    except (KeyError, ValueError):
-        raise Damaged("no content length") from None
-    start = head_end + 4
-    if size < 0 or raw[start + size : start + size + 4] != END:
-        raise Damaged("block not ended")
-    block = raw[start : start + size]
+def parse(headers: dict[str, str], block: bytes) -> None:
+    """Damaged if the block isn't what the headers tell of its payload."""
     if headers.get("warc-type") == "response" and (told := headers.get("warc-payload-digest")):
         if payload_digest(block.partition(END)[2]) != told:
             raise Damaged("payload digest")
-    return headers, block, start + size + 4
-
-
-def _inflate(read_at: ReadAt, at: int, size: int) -> tuple[bytes, int]:
-    """The gzip member at `at`, checked, and its end."""
-    packer, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not packer.eof:
-            if not (chunk := read_at(pos, min(CHUNK, size - pos)) if pos < size else b""):
-                raise Damaged("member not ended")
-            pos += len(chunk)
-            out.append(packer.decompress(chunk))
-    except zlib.error as e:
-        raise Damaged(f"gzip: {str(e)[:60]}") from None
-    return b"".join(out), pos - len(packer.unused_data)
-
-
-def _plain(read_at: ReadAt, at: int, size: int) -> tuple[bytes, int]:
-    """The uncompressed record at `at`, read as far as its own length says."""
-    raw = b""
-    while END not in raw and at + len(raw) < size:
-        raw += read_at(at + len(raw), min(CHUNK, size - at - len(raw)))
+
+
+class Member:
+    """The bytes of the gzip member at `at`, inflated as they are asked for; those before `base` are forgotten."""
+
+    def __init__(self, read_at: ReadAt, at: int, size: int):
+        self._read, self._pos, self._size = read_at, at, size
+        self._packer, self._raw = zlib.decompressobj(31), b""
+        self.held, self.base, self.end, self.error = bytearray(), 0, at, ""
+
+    def more(self) -> bool:
+        """Inflate some more; False once the member has ended, soundly or with an error."""
+        if self.error or self._packer.eof:
+            return False
+        if not self._raw:
+            self._raw = self._read(self._pos, min(CHUNK, self._size - self._pos)) if self._pos < self._size else b""
+            self._pos += len(self._raw)
+            if not self._raw:
+                self.error = "member not ended"
+                return False
+        piece, self._raw = self._raw[:PIECE], self._raw[PIECE:]
+        try:
+            self.held += self._packer.decompress(piece)
+        except zlib.error as e:
+            self.error = f"gzip: {str(e)[:60]}"
+            return False
+        if self._packer.eof:
+            self.end = self._pos - len(self._raw) - len(self._packer.unused_data)
+        return True
+
+    def drop(self, to: int) -> None:
+        del self.held[: to - self.base]
+        self.base = to
+
+
+def _record(source: Member, at: int) -> tuple[dict[str, str], bytes, int]:
+    """The record at `at` of the inflated bytes: headers, block, end. Damaged if its frame or payload digest doesn't hold."""
+
+    def until(n: int) -> bool:
+        while source.base + len(source.held) < n and source.more():
+            pass
+        return source.base + len(source.held) >= n
+
+    until(at + len(VERSION))
+    here = at - source.base
+    if not source.held.startswith(VERSION, here):
+        raise Damaged("no version line")
+    while (head := source.held.find(END, here, here + HEADER)) < 0:
+        if len(source.held) - here >= HEADER or not source.more():
+            raise Damaged("header not ended")
+    headers = _headers(bytes(source.held[here:head]))
+    told = headers.get("content-length", "")
+    if not told.isdigit():
+        raise Damaged("no content length")
+    start = source.base + head + len(END)
+    end = start + int(told) + len(END)
+    if not until(end) or source.held[end - len(END) - source.base : end - source.base] != END:
+        raise Damaged("block not ended")
+    block = bytes(source.held[start - source.base : end - len(END) - source.base])
+    parse(headers, block)
+    return headers, block, end
+
+
+def _members_records(source: Member) -> Iterator[tuple[str, int, int, object]]:
+    """Records and gaps of the inflated bytes. After a failed check the next version line is searched for; what follows the last sound record of a broken member is left to the caller."""
+    at, gap, reason = 0, -1, ""
+    while True:
+        while source.base + len(source.held) <= at and source.more():
+            pass
+        if source.base + len(source.held) <= at:
+            break
+        try:
+            headers, block, end = _record(source, at)
+        except Damaged as e:
+            if gap < 0:
+                gap, reason = at, str(e)
+            at += 1
+            while (found := source.held.find(VERSION, at - source.base)) < 0:
+                # all but a version line's beginning is done with
+                at = max(at, source.base + len(source.held) - len(VERSION) + 1)
+                source.drop(at)
+                if not source.more():
+                    break
+            at = source.base + (found if found >= 0 else len(source.held))
+            continue
+        if gap >= 0:
+            yield "gap", gap, at, reason
+            gap = -1
+        yield "record", at, end, (headers, block)
+        at = end
+        source.drop(at)
+    if gap >= 0 and not source.error:
+        yield "gap", gap, at, reason
+
+
+def _plain(read_at: ReadAt, at: int, size: int) -> tuple[dict[str, str], bytes, int]:
+    """The uncompressed record at `at`, read as far as its own length says: headers, block, end."""
+    raw = read_at(at, min(HEADER, size - at))
     head_end = raw.find(END)
     if head_end < 0:
         raise Damaged("header not ended")
-    told = _headers(raw[:head_end]).get("content-length", "")
+    headers = _headers(raw[:head_end])
+    told = headers.get("content-length", "")
     if not told.isdigit():
         raise Damaged("no content length")
-    end = head_end + 4 + int(told) + 4
+    end = head_end + len(END) + int(told) + len(END)
     if at + end > size:
         raise Damaged("record not ended")
     while len(raw) < end:
         raw += read_at(at + len(raw), end - len(raw))
-    return raw[:end], at + end
-
-
-def _records(read_at: ReadAt, at: int, size: int) -> tuple[list[tuple[dict, bytes]], int]:
-    first = read_at(at, min(7, size - at))
-    if first.startswith(GZIP):
-        raw, end = _inflate(read_at, at, size)
-    elif first == VERSION:
-        raw, end = _plain(read_at, at, size)
-    else:
-        raise Damaged("neither member nor version line")
-    out, pos = [], 0
-    while pos < len(raw):
-        headers, block, pos = parse(raw, pos)
-        out.append((headers, block))
-    return out, end
+    if raw[end - len(END) : end] != END:
+        raise Damaged("block not ended")
+    block = raw[head_end + len(END) : end - len(END)]
+    parse(headers, block)
+    return headers, block, at + end
 
 
 def _next_start(read_at: ReadAt, at: int, size: int) -> int:
@@ -154,29 +209,59 @@ def _next_start(read_at: ReadAt, at: int, size: int) -> int:
     return size
 
 
-def salvage(read_at: ReadAt, size: int) -> Iterator[tuple[str, int, int, object]]:
-    """('record', start, end, (headers, block)) for each sound record and ('gap', start, end, reason) for each quarantined range.
+def salvage(read_at: ReadAt, size: int) -> Iterator[tuple[str, int, int, object, tuple[int, int] | None]]:
+    """('record', start, end, (headers, block), inner) for each sound record and ('gap', start, end, reason, inner) for each quarantined range.
 
-    After a failed check the search goes on from the next byte at which a gzip member or a version line begins; a
-    candidate counts only if it passes the checks itself, so gaps end exactly where sound records begin again.
+    start and end are bytes of the file; inner is the range in the inflated bytes of a member, null for plain records and
+    for gaps between members. Records of one member share its range. After a failed check the search goes on: within a
+    member from the next version line of its inflated bytes, else from the next byte at which a gzip member or a version
+    line begins. A candidate counts only if it passes the checks itself, so gaps end exactly where sound records begin
+    again. Of a member that breaks off or fails its checksum the sound records before that are kept, and its gap tells
+    with inner where the rest begins.
     """
     at, gap, reason = 0, -1, ""
     while at < size:
+        first = read_at(at, min(len(VERSION), size - at))
+        found: list[tuple[str, int, int, object]] = []
+        start, end, last = at, at, 0
         try:
-            found, end = _records(read_at, at, size)
+            if first.startswith(GZIP):
+                source = Member(read_at, at, size)
+                for one in _members_records(source):
+                    # one is held back, so that the last of a sound member can tell the member's end
+                    if gap >= 0:
+                        yield "gap", gap, at, reason, None
+                        gap = -1
+                    for kind, a, b, what in found:
+                        yield kind, start, source.end if source.end > start else min(size, source._pos), what, (a, b)
+                    found = [one]
+                    last = one[2]
+                if source.error:
+                    raise Damaged(source.error)
+                end = source.end
+            elif first == VERSION:
+                headers, block, end = _plain(read_at, at, size)
+                found = [("record", 0, 0, (headers, block))]
+            else:
+                raise Damaged("neither member nor version line")
         except Damaged as e:
-            if gap < 0:
+            after = _next_start(read_at, at + 1, size)
+            for kind, a, b, what in found:
+                yield kind, start, after, what, (a, b)
+            if found:
+                yield "gap", at, after, str(e), (last, last)
+            elif gap < 0:
                 gap, reason = at, str(e)
-            at = _next_start(read_at, at + 1, size)
+            at = after
             continue
         if gap >= 0:
-            yield "gap", gap, at, reason
+            yield "gap", gap, at, reason, None
             gap = -1
-        for one in found:
-            yield "record", at, end, one
+        for kind, a, b, what in found:
+            yield kind, start, end, what, (a, b) if b else None
         at = end
     if gap >= 0:
-        yield "gap", gap, size, reason
+        yield "gap", gap, size, reason, None
 
 
 # ---- Spark
@@ -227,7 +312,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return materialise(listed.withColumn("path", F.concat(F.lit(prefix), "path")), "archives")
 
 
-READ = "path string, kind string, start long, end long, reason string, record_type string, page_id long, refers_to long, payload_bytes long, payload_digest string, payload binary"
+READ = "path string, kind string, start long, end long, inner_start long, inner_end long, reason string, record_type string, page_id long, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
 def read_archives(listed: DataFrame, payloads: bool = False) -> DataFrame:
@@ -238,16 +323,17 @@ def read_archives(listed: DataFrame, payloads: bool = False) -> DataFrame:
     """
     spark = listed.sparkSession
     names = [x.split()[0] for x in READ.split(", ")]
-    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
     def number(value: str | None) -> int | None:
         bare = (value or "").strip("<>").removeprefix(ID)
         return int(bare) if bare.lstrip("-").isdigit() else None
 
     def row(path: str, what: tuple) -> tuple | None:
-        kind, start, end, found = what
+        kind, start, end, found, inner = what
+        where = (path, kind, start, end, *(inner or (None, None)))
         if kind == "gap":
-            return (path, kind, start, end, found, *[None] * 6)
+            return (*where, found, *[None] * 6)
         headers, block = found
         if (record_type := headers.get("warc-type")) not in ("response", "revisit"):
             return None
@@ -260,7 +346,7 @@ def read_archives(listed: DataFrame, payloads: bool = False) -> DataFrame:
             told = payload_digest(payload)
         digest = base64.b32decode(told[5:]).hex() if told.startswith("sha1:") and len(told) == 37 else told.removeprefix("sha1:").lower()
         refers = number(headers.get("warc-refers-to")) if record_type == "revisit" else None
-        return (path, kind, start, end, None, record_type, number(headers.get("warc-record-id")), refers, size, digest, payload if payloads and record_type == "response" else None)
+        return (*where, None, record_type, number(headers.get("warc-record-id")), refers, size, digest, payload if payloads and record_type == "response" else None)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -52,6 +52,54 @@ def test_salvage_recovers_after_damage_and_logs_exact_gaps(plain):
     assert read(b"") == []
 
 
+@pytest.mark.parametrize("cut", [0, 20])
+def test_records_inside_a_damaged_member_are_kept(cut):
+    """Ten records in one member: one damaged before packing, or the member cut short, loses that one record alone."""
+    parts = records(10, plain=True)
+    if not cut:
+        parts[4] = parts[4].replace(b"<p>4</p>", b"<p>x</p>", 1)
+    raw = warc.member(b"".join(parts))
+    found = read(raw[: len(raw) - cut] if cut else raw)
+    ids = [x[3][0]["warc-record-id"] for x in found if x[0] == "record"]
+    gaps = [x for x in found if x[0] == "gap"]
+    assert ids == [f"<urn:page:{i}>" for i in range(10) if i != (9 if cut else 4)] and len(gaps) == 1
+    at = np.cumsum([0, *map(len, parts)]).tolist()
+    assert gaps[0][4] == ((at[9], at[9]) if cut else (at[4], at[5])) and (gaps[0][1], gaps[0][2]) == (0, len(raw) - cut)
+    tail = warc.member(parts[0])
+    assert [x[0] for x in read((raw[: len(raw) - cut] if cut else raw) + tail)].count("record") == 10
+
+
+def test_damage_in_packed_bytes_keeps_what_inflated_before(monkeypatch):
+    import random
+
+    monkeypatch.setattr(warc, "PIECE", 64)
+    r = random.Random(1)
+    parts = []
+    for i in range(40):
+        body = bytes(r.choices(range(256), k=2000))
+        parts.append(warc.record("response", i, "u", warc.payload_digest(body), len(body), body))
+    raw = bytearray(warc.member(b"".join(parts)))
+    raw[len(raw) // 2] ^= 0x55
+    found = read(bytes(raw))
+    ids = [int(x[3][0]["warc-record-id"][10:-1]) for x in found if x[0] == "record"]
+    assert ids[:19] == list(range(19)) and len(ids) < 40 and any(x[0] == "gap" for x in found)
+    assert len(set(ids)) == len(ids)
+
+
+def test_a_long_tail_without_header_end_is_read_in_bounds():
+    asked = []
+    raw = b"WARC/1.1\r\nx: y\r\n" * 300_000
+
+    def read_at(at, n):
+        asked.append(n)
+        return raw[at : at + n]
+
+    import itertools
+
+    assert len(list(itertools.islice(warc.salvage(read_at, len(raw[:200_000])), 5))) == 1
+    assert max(asked) <= max(warc.CHUNK, warc.HEADER)
+
+
 def test_round_trip(spark, tmp_path):
     same = "<p>" * 400
     rows = [(1, "http://a", same), (7, "http://b", same), (3, None, same), (4, "u\r\nx", "short"), (5, "u", "short"), (6, "u", None), (None, "u", same), (7, "http://b", same)]
@@ -120,3 +168,16 @@ def test_fast_and_slow_encoders_agree():
     for t in ["It's a  test\n\n\tof: things… “quoted” 12,345.67€ éàü ñ¿?", " lead", "trail  ", "\r\n x", "a" * 300, "it'll 'VE 've"]:
         assert not packing.PLAIN.search(t), t
         assert e(t).tolist() == e.slow.encode(t, add_special_tokens=False).ids, t
+
+
+def test_full_windows_are_ranked_in_many_parts(spark, monkeypatch):
+    """A million full pieces: every one in a sequence of its own, in about a thousand parts."""
+    from pyspark.sql import functions as F
+
+    made = spark.range(1_000_000).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.lit(2048).cast("long").alias("length"), F.xxhash64("id").alias("ids_crc32"), F.lit(2048).cast("long").alias("doc_tokens"))
+    monkeypatch.setattr(packing, "cut", lambda *a, **k: made)
+    out = packing.pack(spark.createDataFrame([(1, "x")], "doc_id long, text string"), TOK)
+    r = out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sequence_id").alias("s"), F.max("sequence_id").alias("m"), F.max("offset").alias("o")).first()
+    assert (r.n, r.s, r.m, r.o) == (1_000_000, 1_000_000, 999_999, 0)
+    parts = made.groupBy(F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(1000))).count()
+    assert parts.agg(F.max("count")).first()[0] < 1300

@@ -118,3 +118,33 @@ def test_components_of_documents(spark):
     assert len(kept) == len(set(root.values()))
     assert sorted(str(r.doc_id) for r in kept) == sorted(str(least.get(x)) for x in set(root.values()))
     assert simhash.near_dedup(docs.limit(0)).count() == 0
+
+
+def test_large_bucket_meets_in_parts():
+    """A bucket of 100,000 distinct fingerprints, far apart but for planted neighbours: all links, without comparing all pairs."""
+    r = np.random.default_rng(3)
+    fp = np.unique(r.integers(0, 1 << 63, 100_000, np.int64) | 0x3FFFFF).view(np.uint64)
+    base = fp[:3000]
+    near = base.copy()
+    for k in range(len(near)):
+        for bit in r.choice(np.arange(22, 63), r.integers(1, 5), replace=False):
+            near[k] ^= np.uint64(1 << int(bit))
+    everyone = np.unique(np.concatenate([fp, near])).view(np.int64)
+    a, b = simhash.bucket_links(np.zeros(len(everyone), np.int64), everyone)
+    assert (np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= 4).all()
+    found = set(zip(a.tolist(), b.tolist(), strict=True))
+    planted = {(min(x, y), max(x, y)) for x, y in zip(base.view(np.int64).tolist(), near.view(np.int64).tolist(), strict=True)}
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for x, y in found:
+        root[top(x)] = top(y)
+    assert all(top(x) == top(y) for x, y in planted) and len(found) < 4 * len(planted)
+    cluster = np.unique(np.uint64(5) ^ sum((np.uint64(1) << r.integers(0, 64, 6000).astype(np.uint64)) for _ in range(2))).view(np.int64)
+    a, b = simhash.bucket_links(np.zeros(len(cluster), np.int64), cluster)
+    want = simhash.forest(cluster)
+    assert len(np.unique(np.concatenate([a, b]))) == len(np.unique(np.concatenate(want)))

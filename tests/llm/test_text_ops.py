@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from codegraph.llm import decontam, pii
+from codegraph.llm import decontam, license, pii
 from codegraph.llm.exact import exact_dedup, text_classes
 from codegraph.llm.license import license_scan
 from codegraph.llm.lines import line_dedup
@@ -202,3 +202,49 @@ def test_license_votes_count_on_the_merged_run(spark):
     texts = ["released under the permissive MIT License", "licensed under the apache license version number 2 0", "under the license", "released under a permissive license"]
     got = {r.doc_id: r.labels for r in license_scan(docs(spark, texts)).collect()}
     assert got == {0: "mit", 1: "apache-2.0", 2: "", 3: ""}
+
+
+def brute_labels(text):
+    """Labels and score by the rule, pair by pair: positions that stand on a diagonal or up to DRIFT beside it."""
+    w = WORD.findall(lower(text or ""))
+    labels, score = set(), 0.0
+    for phrase, label in license.PHRASES:
+        p = phrase.split()
+        if any(w[k : k + len(p)] == p for k in range(len(w))):
+            labels.add(label)
+            score = 1.0
+    for phrase, label in license.TEMPLATES:
+        said = phrase.split()
+        p = [x.lower() for x in said]
+        pairs = list(zip(p, p[1:]))
+        decides = [x.isupper() or x.isdigit() for x in said] + [False]
+        must = [{i} if decides[i + 1] else {i - 1, i} for i in range(len(said)) if decides[i] and (decides[i + 1] or not (i and decides[i - 1]))]
+        seen = {}
+        for pos, pair in enumerate(zip(w, w[1:])):
+            for i, q in enumerate(pairs):
+                if pair == q:
+                    seen.setdefault(pos - i, set()).add(i)
+        for d in seen:
+            near = set().union(*(s for e, s in seen.items() if abs(e - d) <= license.DRIFT))
+            if len(near) >= -(-3 * len(pairs) // 4) and all(m & near for m in must):
+                labels.add(label)
+                score = max(score, len(near) / len(pairs))
+    return ",".join(sorted(labels)), score
+
+
+def test_license_labels_and_score_equal_brute_force(spark):
+    import random
+
+    r = random.Random(5)
+    texts = ["Licensed under the GNU General Public License, version 2", "licensed under the gnu general public license version 3", "GNU Lesser General Public License, licensed under the version 3"]
+    for phrase, _ in license.TEMPLATES * 4:
+        w = phrase.split()
+        for _ in range(r.randrange(4)):
+            i = r.randrange(len(w))
+            w[i : i + 1] = r.choice([[], [w[i], "really"], ["other"], [w[i], w[i]]])
+        texts.append(" ".join(["so"] * r.randrange(5) + w + ["and"] + r.choice(license.TEMPLATES)[0].split()[: r.randrange(9)]))
+    texts.append("the software of the license to the version " * 200)
+    got = {x.doc_id: (x.labels, round(x.score, 9)) for x in license_scan(docs(spark, texts)).collect()}
+    assert got == {i: (a, round(b, 9)) for i, (a, b) in enumerate(map(brute_labels, texts))}
+    assert got[0][0].split(",") == ["gpl", "gpl-2.0"] and "gpl-3.0" in got[1][0] and "gpl-3.0" not in got[2][0].split(",")
+    assert max(len(t.split()) for t, _ in license.TEMPLATES) > 64  # votes are not bound to the bits of a word
