@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _OWN: list[tuple[SparkSession, str]] = []
 
