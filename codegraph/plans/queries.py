@@ -6,10 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions import exprs as X
-from ..operators import graph, knowledge, lookup, modules, similarity, usage
+from ..operators import graph, knowledge, lookup, modules, similarity, types_tier, usage
 from ..sources import snapshot
 from .relations import DEFS, EDGES, REACH, TRADE, defs, edges, read, trade
 
@@ -331,10 +330,14 @@ def drift_membership(spark, sf_dir):
     return knowledge.membership_drift(o.filter(CUT_OLD.replace("o_orderkey", "key")), o.filter(CUT_NEW.replace("o_orderkey", "key")))
 
 
-@checked("""WITH v AS (SELECT o_custkey AS file, o_orderpriority AS hash, o_orderkey AS ord FROM orders) SELECT file, arg_max(hash, ord) AS hash FROM v GROUP BY 1""")
+@checked("""SELECT o_custkey || '#x' AS key, substr(sha1(arg_max(o_orderpriority, o_orderkey) || ' sig'), 1, 16) AS hash FROM orders GROUP BY o_custkey""")
 def anchor_last_wins(spark, sf_dir):
-    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderpriority").alias("hash"), F.col("o_orderkey").alias("ord"))
-    return rows.groupBy("file").agg(F.max_by("hash", "ord").alias("hash"))
+    """Orders as locations of one symbol in their customer's file: of equal keys the last location counts."""
+    rows = read(spark, sf_dir, "orders").select(
+        F.lit("symbol").alias("via"), F.col("o_custkey").cast("string").alias("file"), F.lit("x").alias("symbol"), F.col("o_orderpriority").alias("kind"), F.lit("sig").alias("signature"),
+        F.lit(0).alias("locator_ord"), F.lit(None).cast("int").alias("line"), F.col("o_orderkey").alias("ord"),
+    )
+    return knowledge.anchors(rows)
 
 
 @checked("""SELECT count(*) AS total, count(*) FILTER (WHERE ok) AS conforming, count(*) FILTER (WHERE NOT ok) AS violating
@@ -369,10 +372,10 @@ def usage_top_args(spark, sf_dir):
     return usage.top_values(_usage(spark, sf_dir), F.try_variant_get("args", "$.k", "string"))
 
 
-@checked("SELECT user_id, arg_min(event_type, event_id) AS first_ts, arg_max(event_type, event_id) AS last_ts, count(*) AS calls FROM events GROUP BY 1")
+@checked("SELECT arg_min(event_type || user_id, event_id) AS first_ts, arg_max(event_type || user_id, event_id) AS last_ts, count(*) AS calls FROM events")
 def usage_first_last(spark, sf_dir):
-    u = read(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("ts"), "event_id")
-    return u.groupBy("user_id").agg(F.min_by("ts", "event_id").alias("first_ts"), F.max_by("ts", "event_id").alias("last_ts"), F.count(F.lit(1)).alias("calls"))
+    u = read(spark, sf_dir, "events").select(F.concat("event_type", F.col("user_id").cast("string")).alias("ts"), "event_id")
+    return usage.first_last(u, "event_id")
 
 
 TYPES = "list_sort(list_distinct(list(event_type)))"
@@ -455,9 +458,17 @@ def member_first_location(spark, sf_dir):
 
 @checked("""WITH r AS (SELECT o_custkey AS iface, o_orderkey AS impl, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) SELECT iface, impl FROM r WHERE n <= 4""")
 def impls_at_most_four(spark, sf_dir):
-    order = Window.partitionBy("iface").orderBy("impl")
-    r = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("iface"), F.col("o_orderkey").alias("impl"))
-    return r.withColumn("n", F.row_number().over(order)).filter("n <= 4").drop("n")
+    """Customers as interfaces, their orders as classes that implement them: a call on the interface may run four of these."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("o"))
+    faces = o.select("c").distinct()
+    face, impl = F.concat(F.lit("I"), F.col("c").cast("string")), F.concat(F.lit("C"), F.col("o").cast("string"))
+    body = lambda df, file, cls, id_, has, line: df.select(F.lit(file).alias("file"), cls.alias("cls"), F.lit("m").alias("name"), id_.cast("string").alias("id"), F.lit(has).alias("has_body"), line.cast("int").alias("line"))
+    functions = body(faces, "i", face, face, False, F.lit(1)).unionByName(body(o, "o", impl, F.col("o"), True, F.col("o")))
+    up = lambda df, file, cls, a_file, a_cls, d: df.select(F.lit(file).alias("file"), cls.alias("cls"), F.lit(a_file).alias("a_file"), a_cls.alias("a_cls"), F.lit(d).alias("distance"))
+    ancestors = up(faces, "i", face, "i", face, 0).unionByName(up(o, "o", impl, "o", impl, 0)).unionByName(up(o, "o", impl, "i", face, 1))
+    located = faces.select(F.col("c").alias("use_id"), F.lit("i").alias("r_file"), face.alias("r_cls"), F.lit("m").alias("name"))
+    found = types_tier.members(located, functions, ancestors)
+    return found.select(F.col("use_id").alias("iface"), F.col("id").cast(o.schema["o"].dataType).alias("impl"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,9 +6,9 @@ import duckdb
 import pytest
 
 from codegraph.plans import queries as plans
-from codegraph.plans import sources
+from codegraph.plans import sources, trees
 
-QUERIES, SQL = plans.queries() | sources.queries(), plans.oracle_sql() | sources.oracle_sql()
+QUERIES, SQL = plans.queries() | sources.queries() | trees.queries(), plans.oracle_sql() | sources.oracle_sql() | trees.oracle_sql()
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
