@@ -13,8 +13,10 @@ FNV_OFFSET, FNV_PRIME = 0x811C9DC5, 0x01000193
 # Commands that count as a text search.
 SEARCH_COMMANDS = "grep rg ripgrep fgrep egrep ag ack"
 # Patterns of source, declaration and test files.
-SOURCE_FILE = r"\A.*\.(?:[mc]?ts|tsx|[mc]?js|jsx)\z"
-DECLARATION_FILE = r"\.d\.[mc]?ts\z"
+# The extensions of source files, and of those among them that only declare.
+SOURCE_EXTENSIONS, DECLARATION_EXTENSIONS = "ts tsx mts cts js jsx mjs cjs".split(), "d.ts d.mts d.cts".split()
+SOURCE_FILE = rf"\A.*\.(?:{'|'.join(SOURCE_EXTENSIONS)})\z"
+DECLARATION_FILE = rf"\.(?:{'|'.join(x.replace('.', chr(92) + '.') for x in DECLARATION_EXTENSIONS)})\z"
 TEST_FILE = r"(?i)\.(?:spec|test)\.|(?:^|/)__(?:mocks|tests)__/|(?:^|/)testing/|(?:^|[/._-])mock"
 
 
@@ -41,9 +43,14 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def fnv1a32(column: Column) -> Column:
-    """Unsigned 32-bit FNV-1a of an ASCII string, as a long."""
-    codes = F.transform(F.split(column, ""), F.ascii)
-    return F.aggregate(F.filter(codes, lambda c: c > 0), F.lit(FNV_OFFSET).cast("long"), lambda h, c: (h.bitwiseXOR(c.cast("long")) * FNV_PRIME).bitwiseAND(F.lit(0xFFFFFFFF)))
+    """Unsigned 32-bit FNV-1a over a string's UTF-16 code units, as a long; null for null."""
+    plain = F.filter(F.transform(F.split(column, ""), lambda c: F.ascii(c).cast("long")), lambda c: c > 0)
+    raw = F.hex(F.encode(column, "UTF-16BE"))
+    at = F.when(F.length(raw) > 0, F.sequence(F.lit(0), F.length(raw).cast("int") - 1, F.lit(4))).otherwise(F.array().cast("array<int>"))
+    units = F.transform(at, lambda i: F.conv(F.substr(raw, i + 1, F.lit(4)), 16, 10).cast("long"))
+    ascii_only = (F.octet_length(column) == F.length(column)) & (F.instr(column, "\0") == 0)  # no unit beyond a byte, and none that splitting drops
+    fold = lambda codes: F.aggregate(codes, F.lit(FNV_OFFSET).cast("long"), lambda h, c: (h.bitwiseXOR(c) * FNV_PRIME).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.when(column.isNull(), F.lit(None).cast("long")).when(ascii_only, fold(plain)).otherwise(fold(units))
 
 
 def k_grams(items: Column, k: int, separator: str = "\x01") -> Column:

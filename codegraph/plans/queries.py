@@ -255,6 +255,16 @@ def fnv_hash(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("source", X.fnv1a32(F.col("source")).alias("hash")).distinct()
 
 
+UNITS = FNV.replace("source", "left(text, 60)")
+
+
+@checked(f"SELECT DISTINCT left(text, 60) AS head, {UNITS} AS hash FROM documents WHERE text IS NOT NULL")
+def fnv_hash_units(spark, sf_dir):
+    """Of texts in several languages, whose letters beyond ASCII are one code unit each."""
+    head = F.left("text", F.lit(60))
+    return read(spark, sf_dir, "documents").filter("text is not null").select(head.alias("head"), X.fnv1a32(head).alias("hash")).distinct()
+
+
 REFERENCE = "doc_id % 100 = 0"  # the query set: documents whose id is divisible by 100, against all others
 
 

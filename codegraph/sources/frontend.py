@@ -19,6 +19,7 @@ KINDS = {
     "interface_declaration": "interface", "type_alias_declaration": "type", "enum_declaration": "enum",
     "internal_module": "module", "module": "module",
 }
+# Nodes that are functions as values, branches, error handling, and classes.
 FUNCTION_VALUES = frozenset("arrow_function function_expression generator_function".split())
 BRANCHES = frozenset("if_statement ternary_expression switch_case".split())
 ERRORS = frozenset("try_statement throw_statement".split())

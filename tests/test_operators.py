@@ -147,3 +147,16 @@ def test_stream_of_changes(spark, tmp_path):
             put(rows)
     now = changelog.current(spark.read.parquet(target))
     assert [(r.file, [d.symbol for d in r.defs]) for r in now.collect()] == [("a.ts", ["A2"])]
+
+
+def test_fnv_runs_over_utf16_code_units(spark):
+    def plain(text):
+        h, raw = 2166136261, text.encode("utf-16-be")
+        for i in range(0, len(raw), 2):
+            h = (h ^ int.from_bytes(raw[i : i + 2], "big")) * 16777619 & 0xFFFFFFFF
+        return h
+
+    texts = ["", "abc", "a\0b", "ü", "日本", "\U0001f600x", "é" * 50]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = {r.t: r.h for r in df.select("t", X.fnv1a32(F.col("t")).alias("h")).collect()}
+    assert got == {t: plain(t) for t in texts} | {None: None}
