@@ -34,6 +34,7 @@ def overlaps(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     if threshold <= 0:
         one, two = a.select(F.col("id").alias("a"), F.col("size").alias("a_size"), "item"), b.select(F.col("id").alias("b"), F.col("size").alias("b_size"), "item")
         return one.join(two, "item").groupBy("a", "a_size", "b", "b_size").agg(F.count(F.lit(1)).alias("shared"))
+    a, b = (x.withColumn("item", F.xxhash64("item")) for x in (a, b))  # equal items have equal hashes, and others only add candidates
     counts = a.select("item").unionByName(b.select("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     one = prefixes(a, counts, threshold).select(F.col("id").alias("a"), F.col("size").alias("a_size"), "item")
     two = prefixes(b, counts, threshold).select(F.col("id").alias("b"), F.col("size").alias("b_size"), "item")
