@@ -1,4 +1,5 @@
-"""The type-resolved tier: receivers by declared types, dispatch over heritage. No inference; what isn't declared stays unresolved."""
+"""The type-resolved tier: receivers by declared types, `new`, casts and what calls and members of known classes give; dispatch
+over heritage. Generics and overloads are not told apart; what has no named type stays unresolved."""
 
 from __future__ import annotations
 
@@ -65,25 +66,72 @@ def ancestry(types: DataFrame, heritage: DataFrame, scoped: DataFrame) -> DataFr
         known = known.unionByName(level)
 
 
-def receivers(uses: DataFrame, bindings: DataFrame, scoped: DataFrame, heritage: DataFrame) -> DataFrame:
-    """uses (use_id, file, cls, scope, form, receiver, name) with the class of the receiver: r_file, r_cls, null if unknown.
+def placed(rows: DataFrame, scoped: DataFrame, file: str, local: str) -> DataFrame:
+    """rows with t_file and t_cls, what the name in `local` means in the file in `file`; those without a meaning go."""
+    s = scoped.select(F.col("file").alias("s_file"), F.col("local").alias("s_local"), F.col("def_file").alias("t_file"), F.col("def_name").alias("t_cls"))
+    return rows.join(s, (F.col(file) == F.col("s_file")) & (F.col(local) == F.col("s_local"))).drop("s_file", "s_local")
 
-    The nearest declaration counts: in the use's own function, at file level, then anywhere in the file.
+
+def typed_bindings(bindings: DataFrame, functions: DataFrame, scoped: DataFrame, heritage: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """(file, scope, cls, name, t_file, t_cls): bindings whose class is known.
+
+    Those with a type of their own come first. One that comes from a call or a member has the class which that gives: a
+    function's declared or plain return, the declared type of a field, found through the class of the receiver, which may
+    be such a binding itself. So rounds follow until one finds nothing new; what was found first stays. Of overloads the
+    first counts.
     """
-    b = bindings.select(F.col("file").alias("b_file"), F.col("scope").alias("b_scope"), F.col("cls").alias("b_cls"), F.col("name").alias("b_name"), "type")
-    field = uses.filter("form = 'field'").join(b, (F.col("file") == F.col("b_file")) & (F.col("receiver") == F.col("b_name")) & (F.col("cls") == F.col("b_cls")))
-    field = field.select("use_id", "file", F.lit(0).alias("prio"), F.col("type").alias("local"))
+    columns = ["file", "scope", "cls", "name", "t_file", "t_cls"]
+    known = cut_lineage(placed(bindings.filter("type is not null"), scoped, "file", "type").select(columns).distinct())
+    due = bindings.filter("type is null and via_name is not null").distinct()
+    key = F.concat_ws("@", "file", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("scope", "cls", "name", "via_kind", "via_form", "via_receiver", "via_name")])
+    due = cut_lineage(due.withColumn("use_id", key))
+    if due.isEmpty():
+        return known
+    gives = functions.filter("returns is not null")
+    # plain names: functions the file can use, else those within it
+    free = gives.filter("cls is null").select(F.col("file").alias("f_file"), F.col("name").alias("f_name"), F.col("top").alias("f_top"), F.col("line").alias("f_line"), "returns")
+    plain = due.filter("via_kind = 'call' and via_form = 'name'").select("use_id", "file", "via_name")
+    outer = placed(plain, scoped, "file", "via_name").join(free.filter("f_top"), (F.col("t_file") == F.col("f_file")) & (F.col("t_cls") == F.col("f_name"))).select("use_id", "f_file", "f_line", "returns", F.lit(0).alias("p"))
+    inner = plain.join(free.filter("not f_top"), (F.col("file") == F.col("f_file")) & (F.col("via_name") == F.col("f_name"))).select("use_id", "f_file", "f_line", "returns", F.lit(1).alias("p"))
+    by_name = outer.unionByName(inner).groupBy("use_id").agg(F.min_by(F.struct("f_file", "returns"), F.struct("p", "f_line", "f_file", "returns")).alias("g")).select("use_id", "g.*")
+    by_name = placed(by_name, scoped, "f_file", "returns").select("use_id", "t_file", "t_cls")
+    m = gives.filter("cls is not null").select(F.col("file").alias("m_file"), F.col("cls").alias("m_cls"), F.col("name").alias("via_name"), F.col("line").alias("m_line"), "returns")
+    above = ancestors.withColumnsRenamed({"file": "r_file", "cls": "r_cls"})
+    while True:
+        uses = due.filter("via_form <> 'name'").select("use_id", "file", F.col("via_cls").alias("cls"), "scope", F.col("via_form").alias("form"), F.col("via_receiver").alias("receiver"), "via_name", "via_kind")
+        up = receivers(uses, known, scoped, heritage, ancestors).filter("r_cls is not null").select("use_id", "r_file", "r_cls", "via_name", "via_kind").join(above, ["r_file", "r_cls"])
+        called = up.filter("via_kind = 'call'").join(m.withColumnsRenamed({"m_file": "a_file", "m_cls": "a_cls"}), ["a_file", "a_cls", "via_name"])
+        called = called.groupBy("use_id").agg(F.min_by(F.struct("a_file", "returns", "r_file", "r_cls"), F.struct("distance", "m_line", "a_file", "returns")).alias("g")).select("use_id", "g.*")
+        itself = called.filter("returns = 'this'").select("use_id", F.col("r_file").alias("t_file"), F.col("r_cls").alias("t_cls"))
+        given = placed(called.filter("returns <> 'this'"), scoped, "a_file", "returns").select("use_id", "t_file", "t_cls")
+        fields = known.filter("cls is not null").select(F.col("file").alias("a_file"), F.col("cls").alias("a_cls"), F.col("name").alias("via_name"), "t_file", "t_cls")
+        held = up.filter("via_kind = 'access'").join(fields, ["a_file", "a_cls", "via_name"])
+        held = held.groupBy("use_id").agg(F.min(F.struct("distance", "t_file", "t_cls")).alias("g")).select("use_id", "g.t_file", "g.t_cls")
+        found = by_name.unionByName(itself).unionByName(given).unionByName(held).groupBy("use_id").agg(F.min(F.struct("t_file", "t_cls")).alias("g")).select("use_id", "g.*")
+        last = cut_lineage(due.join(found, "use_id").select("use_id", *columns))
+        if last.isEmpty():
+            return known
+        known = known.unionByName(last.select(columns))
+        due = due.join(last.select("use_id"), "use_id", "left_anti")
+
+
+def receivers(uses: DataFrame, typed: DataFrame, scoped: DataFrame, heritage: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """uses (use_id, file, cls, scope, form, receiver and more) with the class of the receiver: r_file, r_cls, null if unknown.
+
+    typed: see typed_bindings. The nearest declaration counts: in the use's own function, at file level, then anywhere in
+    the file; a field's in its class, then in the nearest ancestor.
+    """
+    b = typed.select(F.col("file").alias("b_file"), F.col("scope").alias("b_scope"), F.col("cls").alias("b_cls"), F.col("name").alias("b_name"), F.col("t_file").alias("def_file"), F.col("t_cls").alias("def_name"))
+    up = uses.filter("form = 'field'").join(ancestors, ["file", "cls"])
+    field = up.join(b, (F.col("a_file") == F.col("b_file")) & (F.col("a_cls") == F.col("b_cls")) & (F.col("receiver") == F.col("b_name"))).select("use_id", F.col("distance").alias("prio"), "def_file", "def_name")
     near = F.when(F.col("scope").eqNullSafe(F.col("b_scope")), 0).when(F.col("b_scope").isNull(), 1).otherwise(2)
-    variable = uses.filter("form = 'variable'").join(b, (F.col("file") == F.col("b_file")) & (F.col("receiver") == F.col("b_name")) & F.col("b_cls").isNull())
-    variable = variable.select("use_id", "file", near.alias("prio"), F.col("type").alias("local"))
+    variable = uses.filter("form = 'variable'").join(b, (F.col("file") == F.col("b_file")) & (F.col("receiver") == F.col("b_name")) & F.col("b_cls").isNull()).select("use_id", near.alias("prio"), "def_file", "def_name")
     direct = uses.filter("form in ('variable', 'typed')").select("use_id", "file", F.lit(5).alias("prio"), F.col("receiver").alias("local"))
-    above = heritage.filter("kind = 'extends'").select(F.col("file").alias("h_file"), F.col("name").alias("h_cls"), "parent")
-    parent = uses.filter("form = 'super'").join(above, (F.col("file") == F.col("h_file")) & (F.col("cls") == F.col("h_cls"))).select("use_id", "file", F.lit(0).alias("prio"), F.col("parent").alias("local"))
-    named = field.unionByName(variable).unionByName(direct).unionByName(parent)
-    s = scoped.select(F.col("file").alias("s_file"), F.col("local").alias("s_local"), "def_file", "def_name")
-    placed = named.join(s, (F.col("file") == F.col("s_file")) & (F.col("local") == F.col("s_local"))).select("use_id", "prio", "def_file", "def_name")
+    extends = heritage.filter("kind = 'extends'").select(F.col("file").alias("h_file"), F.col("name").alias("h_cls"), "parent")
+    parent = uses.filter("form = 'super'").join(extends, (F.col("file") == F.col("h_file")) & (F.col("cls") == F.col("h_cls"))).select("use_id", "file", F.lit(0).alias("prio"), F.col("parent").alias("local"))
+    by_name = placed(direct.unionByName(parent), scoped, "file", "local").select("use_id", "prio", F.col("t_file").alias("def_file"), F.col("t_cls").alias("def_name"))
     own = uses.filter("form = 'this' and cls is not null").select("use_id", F.lit(0).alias("prio"), F.col("file").alias("def_file"), F.col("cls").alias("def_name"))
-    best = placed.unionByName(own).groupBy("use_id").agg(F.min(F.struct("prio", "def_file", "def_name")).alias("r"))
+    best = field.unionByName(variable).unionByName(by_name).unionByName(own).groupBy("use_id").agg(F.min(F.struct("prio", "def_file", "def_name")).alias("r"))
     return uses.join(best.select("use_id", F.col("r.def_file").alias("r_file"), F.col("r.def_name").alias("r_cls")), "use_id", "left")
 
 
@@ -104,11 +152,12 @@ def members(located: DataFrame, functions: DataFrame, ancestors: DataFrame) -> D
     return direct.unionByName(ranked.filter(F.col("impl_ord") < IMPLEMENTATIONS).select("use_id", "id", "impl_ord"))
 
 
-def call_edges(calls: DataFrame, functions: DataFrame, bindings: DataFrame, resolved: DataFrame, scoped: DataFrame, heritage: DataFrame, ancestors: DataFrame) -> DataFrame:
+def call_edges(calls: DataFrame, functions: DataFrame, bindings: DataFrame, typed: DataFrame, resolved: DataFrame, scoped: DataFrame, heritage: DataFrame, ancestors: DataFrame) -> DataFrame:
     """(caller, call_ord, outcome, callee, impl_ord, text): every call once per possible callee; outcome in-repo, external or unresolved."""
+    bindings = bindings.filter("type is not null")
     owner = functions.select(F.col("id").alias("caller"), F.col("cls"), F.col("start").alias("scope"))
     uses = cut_lineage(calls.join(owner, "caller").withColumn("use_id", F.concat_ws("@", "caller", "ord")))
-    located = receivers(uses.filter("form <> 'name'"), bindings, scoped, heritage)
+    located = receivers(uses.filter("form <> 'name'"), typed, scoped, heritage, ancestors)
     by_member = members(located.select("use_id", "r_file", "r_cls", "name"), functions, ancestors)
     s = scoped.select(F.col("file").alias("s_file"), F.col("local").alias("s_local"), "def_file", "def_name")
     free = functions.filter("cls is null and has_body").select(F.col("file").alias("f_file"), F.col("name").alias("f_name"), "id", F.col("top").alias("f_top"), F.col("line").alias("f_line"))

@@ -24,6 +24,7 @@ FUNCTION_VALUES = frozenset("arrow_function function_expression generator_functi
 BRANCHES = frozenset("if_statement ternary_expression switch_case".split())
 ERRORS = frozenset("try_statement throw_statement".split())
 CLASSES = frozenset("class_declaration abstract_class_declaration class".split())
+NO_ORIGIN = dict.fromkeys(("via_kind", "via_form", "via_receiver", "via_name", "via_cls"))
 
 Row = dict
 
@@ -191,6 +192,7 @@ class File:
             fn = {
                 "start": node.start, "name": name, "shown": shown, "cls": cls, "kind": kind, "has_body": node.get("body") is not None,
                 "line": self.line((own or node).start), "branches": 0, "errors": 0, "awaits": 0, "top": self.is_top(node),
+                "returns": self.returned(node),
             }
             functions.append(fn)
             body = node.get("body")
@@ -216,27 +218,72 @@ class File:
         target = call.get("function") or call.get("constructor")
         text = BLANKS.sub(" ", self.text(target))[:CALLEE]
         kind = "new" if call.type == "new_expression" else "call"
-        form, receiver, name = "other", None, None
-        if target.type == "identifier":
-            form, name = "name", self.text(target)
-        elif target.type == "super":
-            form, name = "super", "constructor"
-        elif target.type == "member_expression":
-            obj, name = target.get("object"), self.text(target.get("property"))
-            while obj.type in ("non_null_expression", "parenthesized_expression") and obj.kids:
-                obj = obj.kids[0]
-            if obj.type in ("this", "super"):
-                form = obj.type if obj.type == "this" else "super"
-            elif obj.type == "identifier":
-                form, receiver = "variable", self.text(obj)
-            elif obj.type == "member_expression" and obj.get("object").type == "this":
-                form, receiver = "field", self.text(obj.get("property"))
-            elif obj.type == "new_expression" and obj.get("constructor").type == "identifier":
-                form, receiver = "typed", self.text(obj.get("constructor"))
+        form, receiver, name = self.access(target)
         return {"kind": kind, "form": form, "receiver": receiver, "name": name, "text": text}
 
+    def access(self, target: Node) -> tuple[str, str | None, str | None]:
+        """How an expression names a function or member: form, receiver and name. What comes of a call or a longer chain is
+        held under a name of its own, "#" and its end (see bindings)."""
+        if target.type == "identifier":
+            return "name", None, self.text(target)
+        if target.type == "super":
+            return "super", None, "constructor"
+        if target.type != "member_expression":
+            return "other", None, None
+        obj, name = self.bare(target.get("object")), self.text(target.get("property"))
+        if obj.type in ("this", "super"):
+            return obj.type, None, name
+        if obj.type == "identifier":
+            return "variable", self.text(obj), name
+        if obj.type == "member_expression" and obj.get("object").type == "this":
+            return "field", self.text(obj.get("property")), name
+        if (made := self.type_name(obj)) is not None:
+            return "typed", made, name
+        if obj.type in ("call_expression", "member_expression"):
+            return "variable", f"#{obj.end}", name
+        return "other", None, name
+
+    def bare(self, node: Node | None) -> Node | None:
+        """An expression without parentheses, `!` and await around it."""
+        while node is not None and node.type in ("non_null_expression", "parenthesized_expression", "await_expression") and node.kids:
+            node = node.kids[0]
+        return node
+
+    def origin(self, node: Node | None) -> Row | None:
+        """The call or member whose class an expression has."""
+        node = self.bare(node)
+        if node is None or node.type not in ("call_expression", "member_expression"):
+            return None
+        target = node.get("function") if node.type == "call_expression" else node
+        form, receiver, name = self.access(target)
+        if form == "other" or target.type == "super":
+            return None
+        return {"via_kind": "call" if target is not node else "access", "via_form": form, "via_receiver": receiver, "via_name": name, "via_cls": self.this_class(node) if form in ("this", "field", "super") else None}
+
     # ---- types
 
+    def returned(self, node: Node) -> str | None:
+        """The class a function gives: declared, or the one that all its returns name; "this" for its own object."""
+        declared = node.get("return_type")
+        if declared is not None:
+            kinds = [k.type for k in declared.kids]
+            return "this" if kinds == ["this_type"] else self.type_name(declared)
+        body = node.get("body")
+        if body is None:
+            return None
+        given = [body] if body.type != "statement_block" else [k.kids[0] if k.kids else None for k in self.own(body) if k.type == "return_statement"]
+        found = {"this" if k is not None and k.type == "this" else self.type_name(k) for k in map(self.bare, given)}
+        return found.pop() if len(found) == 1 else None
+
+    def own(self, node: Node):
+        """The nodes below one, without those of functions in it."""
+        left = list(node.kids)
+        while left:
+            k = left.pop()
+            yield k
+            if k.type not in FUNCTIONS:
+                left += k.kids
+
     def type_name(self, node: Node | None) -> str | None:
         """The one named type of an annotation or of a `new` expression."""
         if node is None:
@@ -276,24 +323,34 @@ class File:
         return types, parents
 
     def bindings(self) -> list[Row]:
-        """Variables, parameters and fields with a known type: scope is the start of the function, or null for the file; cls for fields."""
+        """Variables, parameters and fields with a type, or with the call or member their type comes from: scope is the start
+        of the function, or null for the file; cls for fields. Calls and chains that are receivers themselves have rows too."""
         out = []
 
-        def put(name: Node | None, type_: str | None, scope: int | None, cls: str | None) -> None:
-            if name is not None and type_:
-                out.append({"scope": scope, "cls": cls, "name": self.text(name), "type": type_})
+        def put(name: str, type_: str | None, value: Node | None, scope: int | None, cls: str | None) -> None:
+            via = self.origin(value) if not type_ else None
+            if name and (type_ or via):
+                out.append({"scope": scope, "cls": cls, "name": name, "type": type_, **(via or NO_ORIGIN)})
 
         for node in self.root.walk():
+            annotation, value = node.get("type"), node.get("value")
+            if node.type == "member_expression":
+                held = self.bare(node.get("object"))
+                if self.access(node)[1] == f"#{held.end}":
+                    put(f"#{held.end}", None, held, self.scope(node), None)
+                continue
+            if node.type not in ("variable_declarator", "required_parameter", "optional_parameter", "public_field_definition", "field_definition", "property_signature"):
+                continue
+            type_ = self.type_name(annotation) or self.type_name(self.bare(value))
+            value = value if annotation is None else None  # what is declared isn't traced
             if node.type == "variable_declarator":
-                put(node.get("name"), self.type_name(node.get("type")) or self.type_name(node.get("value")), self.scope(node), None)
+                put(self.text(node.get("name")), type_, value, self.scope(node), None)
             elif node.type in ("required_parameter", "optional_parameter"):
-                type_ = self.type_name(node.get("type")) or self.type_name(node.get("value"))
-                scope = self.scope(node)
-                put(node.get("pattern"), type_, scope, None)
+                put(self.text(node.get("pattern")), type_, value, self.scope(node), None)
                 if node.get("modifier") is not None:
-                    put(node.get("pattern"), type_, None, self.class_of(node.parent.parent))
-            elif node.type in ("public_field_definition", "field_definition", "property_signature"):
-                put(node.get("name") or node.get("property"), self.type_name(node.get("type")) or self.type_name(node.get("value")), None, self.class_of(node))
+                    put(self.text(node.get("pattern")), type_, value, None, self.class_of(node.parent.parent))
+            else:
+                put(self.text(node.get("name") or node.get("property")), type_, value, None, self.class_of(node))
         return out
 
     def scope(self, node: Node) -> int | None:
@@ -332,12 +389,8 @@ class File:
             use, member = node.parent.parent, node.parent
             called = use is not None and use.type in ("call_expression", "new_expression") and member.field in ("function", "constructor")
             kind = "access" if not called else "new" if use.type == "new_expression" else "call"
-            probe = Node("call_expression", member.start, member.end)
-            probe.kids = [member]
-            field, member.field = member.field, "function"
-            form = self.callee(probe)
-            member.field = field
-            out.append({"line": self.line(node.start), "column": self.column(node.start), "snippet": self.snippet(node.start), "kind": kind, "form": form["form"], "receiver": form["receiver"], "scope": self.scope(node), "cls": self.this_class(node)})
+            form, receiver, _ = self.access(member)
+            out.append({"line": self.line(node.start), "column": self.column(node.start), "snippet": self.snippet(node.start), "kind": kind, "form": form, "receiver": receiver, "scope": self.scope(node), "cls": self.this_class(node)})
         return out
 
     def this_class(self, node: Node) -> str | None:

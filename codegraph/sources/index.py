@@ -16,12 +16,12 @@ TABLES = {
     "defs": "symbol string, kind string, line int, signature string, ord int",
     "edges": "specifier string, kind string, star boolean, names array<struct<imported: string, local: string>>, line int",
     "fingerprints": "name string, line int, types array<string>",
-    "functions": "start int, name string, shown string, cls string, kind string, has_body boolean, line int, branches int, errors int, awaits int, top boolean",
+    "functions": "start int, name string, shown string, cls string, kind string, has_body boolean, line int, branches int, errors int, awaits int, top boolean, returns string",
     "calls": "caller int, ord int, kind string, form string, receiver string, name string, text string",
     "types": "name string, kind string, line int",
     "heritage": "name string, parent string, kind string",
     "exports": "exported string, local string",
-    "bindings": "scope int, cls string, name string, type string",
+    "bindings": "scope int, cls string, name string, type string, via_kind string, via_form string, via_receiver string, via_name string, via_cls string",
 }
 PARSED = "file string, " + ", ".join(f"{t} array<struct<{', '.join(f'{n}: {k}' for n, k in (c.split(' ', 1) for c in cols.split(', ')))}>>" for t, cols in TABLES.items() if t != "edges")
 PARSED += ", edges array<struct<specifier: string, kind: string, star: boolean, names: array<struct<imported: string, local: string>>, line: int>>, problems int"

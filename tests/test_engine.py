@@ -236,6 +236,26 @@ def test_chains_of_re_exports_and_heritage_have_no_limit(spark, tmp_path):
     assert e.ancestry.filter("cls = 'C16'").count() == 17
 
 
+def test_receivers_known_by_returns_casts_and_chains(spark, tmp_path):
+    rows = [
+        ("repo.ts", "export class Row { drop() {} }\nexport class Repo {\n  save(): this { return this; }\n  first(): Promise<Row> { return null as any; }\n  all() { return new Row(); }\n}\n"),
+        ("ctx.ts", "import { Repo } from './repo';\nexport interface Ctx { repo: Repo }\nexport class Base { protected repo: Repo; }\nexport const open = (): Repo => new Repo();\n"),
+        ("use.ts", "import { open, Ctx, Base } from './ctx';\nimport { Repo } from './repo';\n"
+         "export async function a() { const r = open(); const row = await r.save().first(); row.drop(); }\n"
+         "export function b(x: unknown) { (x as Repo).all().drop(); }\n"
+         "export function c(ctx: Ctx) { ctx.repo.save(); const k = ctx.repo; k.all(); }\n"
+         "export class D extends Base { go() { this.repo.save(); return other().save(); } }\n"
+         "function other() { const r = new Repo(); return r; }\n"),
+    ]
+    e = Engine(spark, files=spark.createDataFrame(rows, "path string, content string"), home=str(tmp_path))
+    assert [n.symbol for n in e.call_graph("a").rows] == ["a", "open", "first", "save", "drop"]
+    assert [n.symbol for n in e.call_graph("b").rows] == ["b", "drop", "all"]
+    assert [n.symbol for n in e.call_graph("c").rows] == ["c", "save", "all"]
+    assert [(r.file, r.line) for r in e.find_refs("drop").rows] == [("use.ts", 3), ("use.ts", 4)]
+    d = e.call_graph("go")
+    assert [n.symbol for n in d.rows] == ["go", "save", "other"] and d.data["tree"].unresolved == 1
+
+
 def test_importer_count_leaves_out_defining_files_at_any_number(spark, tmp_path):
     rows = [(f"d{i}.ts", f"import {{ same }} from './d{(i + 1) % 1001}';\nexport function same() {{ return 1; }}\n") for i in range(1001)]
     rows.append(("use.ts", "import { same } from './d5';\nexport const x = same();\n"))
