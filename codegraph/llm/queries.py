@@ -17,6 +17,7 @@ from .pii import pii_scan
 from .shared import table, text_of
 from .simhash import simhash_components
 from .suffix import suffix_dedup
+from .trie import prefix_trie, rebuild
 from .warc import roundtrip
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -79,6 +80,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(text_of(), 256).alias("kept_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*rebuild(table(spark, sf_dir, "conversations")))
+
+
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -112,6 +117,48 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE goes) AS n_removed,
 FROM judged GROUP BY doc_id
 """
 
+# a turn in a path is its lengths, role and text, so paths are equal only where all turns are
+OP11_SQL = """
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT c, count(*) AS own, c - c % 100 AS base,
+         xor(list_reduce(list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+             lambda a, b: list_reduce(list_concat([xor(a, b)], [1, 2, 3, 4, 5, 6, 7, 8]), lambda d, i: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295) % 6 AS h
+  FROM t GROUP BY c
+), plan AS (
+  SELECT i.c, i.base, i.h, least(i.h, coalesce(b.own, 0)) AS taken, least(i.h, coalesce(b.own, 0)) + greatest(i.own - i.h, 0) AS n
+  FROM ids i LEFT JOIN ids b ON b.c = i.base
+), turns AS (
+  SELECT p.c, t.pos, t.role, t.text FROM plan p JOIN t ON t.c = p.base AND t.pos < p.taken
+  UNION ALL
+  SELECT p.c, t.pos - p.h + p.taken, t.role, t.text FROM plan p JOIN t ON t.c = p.c AND t.pos >= p.h
+), members AS (
+  SELECT c, pos + 1 AS depth, length(text) AS chars,
+         string_agg(length(role) || ':' || length(text) || ':' || role || text, '' ORDER BY pos)
+           OVER (PARTITION BY c ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path FROM turns
+  UNION ALL SELECT c, 0, 0, '' FROM plan
+), nodes AS (
+  SELECT depth, path, min(m.c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+         sha256(coalesce(string_agg(m.c::VARCHAR, ',' ORDER BY m.c) FILTER (WHERE p.n = m.depth), '')) AS ends_sha256
+  FROM members m JOIN plan p USING (c) GROUP BY depth, path
+), named AS (
+  SELECT m.c, m.depth, n.conv_id FROM members m JOIN nodes n USING (depth, path)
+), up AS (
+  SELECT n.*, a.conv_id AS parent_conv_id FROM nodes n LEFT JOIN named a ON a.c = n.conv_id AND a.depth = n.depth - 1
+), children AS (
+  SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM up WHERE depth > 0 GROUP BY ALL
+), full_ AS (
+  SELECT u.*, coalesce(k.n_children, 0) AS n_children FROM up u LEFT JOIN children k USING (conv_id, depth)
+), below AS (
+  SELECT a.conv_id, a.depth, count(*) FILTER (WHERE f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.chars)::BIGINT AS saved_tokens
+  FROM full_ f JOIN named a ON a.c = f.conv_id AND a.depth <= f.depth GROUP BY ALL
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM full_ JOIN below USING (conv_id, depth)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
@@ -119,4 +166,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op10_line_dedup": OP10_SQL, "op11_prefix_trie": OP11_SQL}

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", list(oracle_sql()))
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries()[name](spark, SF)
     columns = sorted(df.columns)
@@ -22,4 +22,4 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_operator_has_its_query():
-    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 12)]
