@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontam import contamination
 from .exact import exact_dedup
+from .fmindex import LENGTH, passage_dedup
 from .langid import language_id
 from .license import license_scan
 from .lines import MIN_CHARS, MIN_SITES, line_dedup
@@ -84,6 +85,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*rebuild(table(spark, sf_dir, "conversations")))
 
 
+def op12_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -159,6 +164,24 @@ WITH t AS (
 SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM full_ JOIN below USING (conv_id, depth)
 """
 
+OP12_SQL = f"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS words FROM documents
+), placed AS (
+  SELECT doc_id, words, unnest(range(len(words))) AS i FROM w
+), seen AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY words[i + 1 : i + {LENGTH}] ORDER BY doc_id, i) AS nth FROM placed WHERE i + {LENGTH} <= len(words)
+), judged AS (
+  SELECT a.doc_id, a.i, a.words[a.i + 1] AS word,
+         coalesce(max(s.nth) OVER (PARTITION BY a.doc_id ORDER BY a.i ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW), 1) > 1 AS goes
+  FROM placed a LEFT JOIN seen s USING (doc_id, i)
+), kept AS (
+  SELECT doc_id, count(*) FILTER (WHERE goes) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT goes) AS text FROM judged GROUP BY doc_id
+)
+SELECT w.doc_id, len(w.words) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept k USING (doc_id)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
@@ -166,4 +189,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op10_line_dedup": OP10_SQL, "op11_prefix_trie": OP11_SQL}
+    return {"op2_warc": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op10_line_dedup": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_passage_dedup": OP12_SQL}

@@ -22,4 +22,4 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_operator_has_its_query():
-    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 12)]
+    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 13)]
