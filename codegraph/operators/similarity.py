@@ -1,47 +1,64 @@
-"""Set-similarity joins over shingle sets, with a prefix filter on rare items; no pairs but those that share an item."""
+"""Set-similarity joins over shingle sets, with a prefix filter on the references' rare items; no pairs but those that share one.
+
+Items travel as 64-bit hashes. Sets are compared whole, so a hash only matters where two of its few hundred items collide.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import round2
+from .graph import cut_lineage
+
+
+BROADCAST_ROWS = 500_000  # of two numbers and an id: some tens of megabytes
+
+
+def hashed(sets: DataFrame, items: str) -> DataFrame:
+    """(id, size, hs): each set's items as hashes."""
+    return sets.select("id", F.size(items).alias("size"), F.transform(items, lambda x: F.xxhash64(x)).alias("hs"))
 
 
-def postings(sets: DataFrame, items: str) -> DataFrame:
-    """A row per item of each set, with the set's size."""
-    return sets.withColumn("size", F.size(items)).withColumn("item", F.explode(items)).drop(items)
+def sized(rows: DataFrame) -> DataFrame:
+    """rows with their lineage cut, to be broadcast if a count shows that they are few; else the join shuffles."""
+    rows = cut_lineage(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def prefixes(posts: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
-    """The rarest items of each set, as many as decide: two sets that reach the threshold share one of these.
+def prefixes(sets: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
+    """(id, size, item): the rarest items of each set, as many as decide: what reaches the threshold with a set holds one of these.
 
-    Of a set of n items that is n - ceil(threshold * n) + 1, in the common order of counts and items.
+    A set that reaches it holds at least ceil(threshold * n) of the n items, so one of any n - ceil(threshold * n) + 1.
     """
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("n", "item"))
-    need = F.ceil(F.col("size") * threshold - 1e-9)
-    return posts.join(counts, "item").withColumn("rank", rank).filter(F.col("rank") <= F.col("size") - need + 1).select("id", "size", "item")
+    ranked = sets.select("id", "size", F.explode("hs").alias("item")).join(counts, "item", "left").groupBy("id", "size")
+    order = ranked.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "item"))).alias("order"))
+    need = F.ceil(F.col("size") * threshold - 1e-9).cast("int")
+    return order.select("id", "size", F.explode(F.slice("order", 1, F.col("size") - need + 1)).alias("o")).select("id", "size", "o.item")
 
 
 def overlaps(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(a, a_size, b, b_size, shared) of pairs of sets (id, items) that share an item and may reach threshold.
 
     Sizes that differ by more than the threshold's factor can't reach it, so they never meet. With a threshold only the
-    rarest items meet, so an item that nearly all sets hold makes no pairs, and candidates are compared as wholes; with
-    threshold 0 every shared item counts, and all items meet.
+    rarest items of the right sets meet the left ones, so an item that nearly all sets hold makes no pairs, and
+    candidates are compared as wholes; with threshold 0 every shared item counts, and all items meet. The right sets are
+    the fewer ones: only they are ranked, and only their items are counted. While they are few, the left items are not
+    shuffled. Both sides are read more than once: cut their lineage where they are dear.
     """
-    a, b = postings(left, "items"), postings(right, "items")
+    a, b = hashed(left, "items"), hashed(right, "items")
+    one = a.select(F.col("id").alias("a"), F.col("size").alias("a_size"), F.explode("hs").alias("item"))
     if threshold <= 0:
-        one, two = a.select(F.col("id").alias("a"), F.col("size").alias("a_size"), "item"), b.select(F.col("id").alias("b"), F.col("size").alias("b_size"), "item")
+        two = b.select(F.col("id").alias("b"), F.col("size").alias("b_size"), F.explode("hs").alias("item"))
         return one.join(two, "item").groupBy("a", "a_size", "b", "b_size").agg(F.count(F.lit(1)).alias("shared"))
-    a, b = (x.withColumn("item", F.xxhash64("item")) for x in (a, b))  # equal items have equal hashes, and others only add candidates
-    counts = a.select("item").unionByName(b.select("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    one = prefixes(a, counts, threshold).select(F.col("id").alias("a"), F.col("size").alias("a_size"), "item")
-    two = prefixes(b, counts, threshold).select(F.col("id").alias("b"), F.col("size").alias("b_size"), "item")
+    asked = sized(b.select(F.explode("hs").alias("item")).distinct())
+    counts = one.select("item").join(asked, "item", "left_semi").groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    two = sized(prefixes(b, counts, threshold).select(F.col("id").alias("b"), F.col("size").alias("b_size"), "item"))
     near = (F.col("a_size") >= threshold * F.col("b_size")) & (F.col("b_size") >= threshold * F.col("a_size"))
-    pairs = one.join(two, "item").filter(near).select("a", "a_size", "b", "b_size").distinct()
-    whole = pairs.join(left.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(right.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    return whole.select("a", "a_size", "b", "b_size", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"))
+    pairs = one.join(two, "item").filter(near).select("a", "b").distinct()
+    sides = [x.select(F.col("id").alias(n), F.col("size").alias(f"{n}_size"), F.col("hs").alias(f"{n}_hs")) for x, n in ((a, "a"), (b, "b"))]
+    whole = pairs.join(sides[0], "a").join(sides[1], "b")
+    return whole.select("a", "a_size", "b", "b_size", F.size(F.array_intersect("a_hs", "b_hs")).cast("long").alias("shared"))
 
 
 def score() -> Column:
