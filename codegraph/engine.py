@@ -157,12 +157,12 @@ class Engine:
     def typed(self) -> DataFrame:
         """Bindings whose class is known."""
         t = self.tables
-        return self._once("typed", lambda: types_tier.typed_bindings(t.table("bindings"), t.functions, self.scoped, t.table("heritage"), self.ancestry))
+        return self._once("typed", lambda: types_tier.typed_bindings(t.table("bindings"), t.functions, t.table("types"), self.scoped, t.table("heritage"), self.ancestry))
 
     @property
     def call_edges(self) -> DataFrame:
         t = self.tables
-        make = lambda: graph.cut_lineage(types_tier.call_edges(t.calls, t.functions, t.table("bindings"), self.typed, self.resolved, self.scoped, t.table("heritage"), self.ancestry))
+        make = lambda: graph.cut_lineage(types_tier.call_edges(t.calls, t.functions, t.table("bindings"), self.typed, t.table("types"), self.resolved, self.scoped, t.table("heritage"), self.ancestry))
         return self._once("calls", make)
 
     def _record(self, tool: str, args: dict) -> None:
@@ -231,7 +231,7 @@ class Engine:
         uses = graph.cut_lineage(uses.withColumn("use_id", F.concat_ws(":", "file", "line", "column")))
         unread = [r.file for r in uses.filter("line is null").select("file").collect()]
         uses = uses.filter("line is not null")
-        located = types_tier.receivers(uses, self.typed, self.scoped, t.table("heritage"), self.ancestry).filter("r_cls is not null")
+        located = types_tier.receivers(uses, t.table("bindings"), self.typed, t.table("types"), self.scoped, t.table("heritage"), self.ancestry).filter("r_cls is not null")
         # the receiver's class may inherit the member or declare it: the nearest class with it counts
         m = t.functions.filter((F.col("name") == symbol) & F.col("cls").isNotNull()).select(F.col("file").alias("m_file"), F.col("cls").alias("m_cls"), F.col("line").alias("def_line"))
         up = located.join(self.ancestry.withColumnsRenamed({"file": "x_file", "cls": "x_cls"}), (F.col("r_file") == F.col("x_file")) & (F.col("r_cls") == F.col("x_cls")))

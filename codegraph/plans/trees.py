@@ -6,6 +6,7 @@ The SQL builds its rows from the table alone, by the rules of the language; it k
 
 from __future__ import annotations
 
+import string
 import tempfile
 from collections.abc import Callable
 
@@ -44,12 +45,20 @@ FIRST = "(SELECT min(p_partkey) FROM part)"
 def checked(sql: str):
     def put(f):
         QUERIES[f.__name__] = f
-        SQL[f.__name__] = f"WITH {PARTS} {sql}"
+        SQL[f.__name__] = f"WITH {sql}" if sql.startswith("t AS") else f"WITH {PARTS} {sql}"
         return f
 
     return put
 
 
+def _filled(text: str, known: dict[str, F.Column]) -> F.Column:
+    """A template with columns in the place of its names."""
+    pieces = []
+    for literal, name, _, _ in string.Formatter().parse(text):
+        pieces += [F.lit(literal)] * bool(literal) + ([known[name]] if name else [])
+    return F.concat(*pieces)
+
+
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content) of the whole tree, by string expressions."""
     parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), (F.col("p_partkey") + 1).alias("t"), F.col("p_size").alias("s"))
@@ -58,16 +67,8 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = {"p": F.col("p").cast("string"), "t": F.col("t").cast("string"), "s": F.col("s").cast("string"), "spec": spec}
     known["body"] = F.when(F.col("s") % 2 == 0, F.concat(F.lit("n > 1 ? work"), known["t"], F.lit("(n - 1) : missing"), known["p"], F.lit(".go()"))).otherwise(F.concat(F.lit("work"), known["t"], F.lit("(n - 1)")))
 
-    def filled(text: str) -> F.Column:
-        import string
-
-        pieces = []
-        for literal, name, _, _ in string.Formatter().parse(text):
-            pieces += [F.lit(literal)] * bool(literal) + ([known[name]] if name else [])
-        return F.concat(*pieces)
-
     def file(path: str, content: str, where: str = "true") -> DataFrame:
-        return parts.filter(where).select(filled(path).alias("path"), filled(content).alias("content"))
+        return parts.filter(where).select(_filled(path, known).alias("path"), _filled(content, known).alias("content"))
 
     own = file("src/parts/p{p}.ts", PART_FILE)
     barrels = file("src/barrels/b{p}.ts", "export * from '../parts/p{p}';\nexport {{ work{p} as job{p} }} from '../parts/p{p}';\n", "p % 10 = 0")
@@ -184,6 +185,76 @@ def tree_clones(spark, sf_dir):
     return similarity.best_reference(p, p.filter(F.col("file") == file), 1.0, 20).select("file", "name", "score", "resembles")
 
 
+# ---- receivers: one file for every part, whose types depend on its size
+
+TYPED_FILE = """export class A{p} {{ save() {{ return 1; }} }}
+export class B{p} {{ save() {{ return 2; }} }}
+export class Box{p}<T> {{ constructor(private held: T) {{}} get(): T {{ return this.held; }} all(): T[] {{ return [this.held]; }} }}
+export class Crate{p} extends Box{p}<{kind}{p}> {{ first() {{ this.get().save(); }} }}
+export function pick{p}(x: number): A{p};
+export function pick{p}(x: string): B{p};
+export function pick{p}(x: any): any {{ return x; }}
+export function same{p}<T>(x: T): T {{ return x; }}
+export function shadow{p}(r: A{p}, list: {kind}{p}[], by: Map<string, B{p}>) {{
+  r.save();
+  for (const r of list) {{ r.save(); }}
+  list.forEach(r => r.save());
+  {{ const r = outside(); r.save(); }}
+  by.forEach((r, key) => r['save']());
+  try {{ r.save(); }} catch (r) {{ r.save(); }}
+}}
+export function loose{p}(r) {{ r.save(); }}
+export function boxed{p}(b: Box{p}<{kind}{p}>, c: Crate{p}, d: Box{p}<Box{p}<A{p}>>) {{ b.get().save(); c.get().save(); d.all()[0].get().save(); }}
+export function chosen{p}() {{ pick{p}({value}).save(); same{p}(new {kind}{p}()).save(); }}
+"""
+
+
+def typed_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("p"), F.col("p_size").alias("s"))
+    known = {"p": F.col("p"), "kind": F.when(F.col("s") % 2 == 0, "A").otherwise("B"), "value": F.when(F.col("s") % 3 == 0, F.lit("'x'")).otherwise(F.col("s").cast("string"))}
+    return parts.select(_filled("src/typed/t{p}.ts", known).alias("path"), _filled(TYPED_FILE, known).alias("content"))
+
+
+def typed_engine(spark: SparkSession, sf_dir: str) -> Engine:
+    made = Engine(spark, files=typed_tree(spark, sf_dir), home=tempfile.mkdtemp(prefix="codegraph-"), watch=False)
+    made.sync()
+    return made
+
+
+def saves(*callers: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, caller, call_ord, outcome, callee): the calls of save in functions of these names."""
+    e = typed_engine(spark, sf_dir)
+    f = e.tables.functions
+    edges = e.call_edges.join(f.select(F.col("id").alias("caller"), F.regexp_replace("name", r"\d+$", "").alias("by"), "file"), "caller").filter(F.col("by").isin(*callers) & F.col("text").rlike(r"save('\])?$"))
+    named = edges.join(f.select(F.col("id").alias("callee"), F.concat_ws(".", F.regexp_replace("cls", r"\d+$", ""), "name").alias("to")), "callee", "left")
+    return named.select("file", F.col("by").alias("caller"), "call_ord", "outcome", F.col("to").alias("callee"))
+
+
+TYPED = "t AS (SELECT 'src/typed/t' || p_partkey || '.ts' AS file, CASE WHEN p_size % 2 = 0 THEN 'A.save' ELSE 'B.save' END AS kind, CASE WHEN p_size % 3 = 0 THEN 'B.save' ELSE 'A.save' END AS picked FROM part)"
+IN, OUT = "'in-repo' AS outcome", "'unresolved' AS outcome, NULL AS callee"
+
+
+@checked(f"""{TYPED} SELECT file, 'shadow' AS caller, o AS call_ord, CASE WHEN what = 'none' THEN 'unresolved' ELSE 'in-repo' END AS outcome,
+  CASE what WHEN 'kind' THEN kind WHEN 'A' THEN 'A.save' WHEN 'B' THEN 'B.save' END AS callee
+FROM t, (VALUES (0, 'A'), (1, 'kind'), (3, 'kind'), (5, 'none'), (7, 'B'), (8, 'A'), (9, 'none')) x (o, what) UNION ALL SELECT file, 'loose', 0, {OUT} FROM t""")
+def tree_scopes(spark, sf_dir):
+    """One name declared in seven places: each use means the nearest, and nothing where that has no type."""
+    return saves("shadow", "loose", spark=spark, sf_dir=sf_dir)
+
+
+@checked(f"""{TYPED} SELECT file, 'boxed' AS caller, 0 AS call_ord, {IN}, kind AS callee FROM t UNION ALL SELECT file, 'boxed', 2, {IN}, kind FROM t
+UNION ALL SELECT file, 'boxed', 4, {IN}, 'A.save' FROM t UNION ALL SELECT file, 'first', 0, {IN}, kind FROM t""")
+def tree_generics(spark, sf_dir):
+    """Members of type parameters: of a type with arguments, of a class that extends one, and nested."""
+    return saves("boxed", "first", spark=spark, sf_dir=sf_dir)
+
+
+@checked(f"""{TYPED} SELECT file, 'chosen' AS caller, 0 AS call_ord, {IN}, picked AS callee FROM t UNION ALL SELECT file, 'chosen', 2, {IN}, kind FROM t""")
+def tree_overloads(spark, sf_dir):
+    """Results of the first signature that takes the argument, and of a function's own type parameter."""
+    return saves("chosen", spark=spark, sf_dir=sf_dir)
+
+
 # ---- the tools
 
 

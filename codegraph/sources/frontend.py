@@ -24,7 +24,14 @@ FUNCTION_VALUES = frozenset("arrow_function function_expression generator_functi
 BRANCHES = frozenset("if_statement ternary_expression switch_case".split())
 ERRORS = frozenset("try_statement throw_statement".split())
 CLASSES = frozenset("class_declaration abstract_class_declaration class".split())
-NO_ORIGIN = dict.fromkeys(("via_kind", "via_form", "via_receiver", "via_name", "via_cls"))
+# Nodes that names are declared in, and types whose one argument stands for them.
+SCOPES = FUNCTIONS | {"statement_block", "for_statement", "for_in_statement", "catch_clause", "switch_body", "class_static_block"}
+TRANSPARENT = frozenset("Promise Readonly Partial Required".split())
+# Methods that hand their elements to the first parameter of a function.
+EACH = frozenset("forEach map filter find findIndex findLast some every flatMap".split())
+LITERALS = {"number": "number", "string": "string", "template_string": "string", "true": "boolean", "false": "boolean", "null": "null"}
+NO_ORIGIN = dict.fromkeys(("via_kind", "via_form", "via_receiver", "via_name", "via_cls", "via_args"))
+PARAMETERS = 8  # of a type or function that are told apart
 
 Row = dict
 
@@ -47,6 +54,11 @@ class File:
     def text(self, node: Node | None) -> str:
         return self.source[node.start : node.end] if node else ""
 
+    def bare_text(self, node: Node | None) -> str:
+        """The text of a name without type arguments that follow it."""
+        args = node.get("type_arguments") if node else None
+        return self.source[node.start : args.start].strip() if args is not None else self.text(node)
+
     def snippet(self, pos: int) -> str:
         line = self.line(pos)
         a = self.breaks[line - 2] + 1 if line > 1 else 0
@@ -192,7 +204,7 @@ class File:
             fn = {
                 "start": node.start, "name": name, "shown": shown, "cls": cls, "kind": kind, "has_body": node.get("body") is not None,
                 "line": self.line((own or node).start), "branches": 0, "errors": 0, "awaits": 0, "top": self.is_top(node),
-                "returns": self.returned(node),
+                "returns": self.returned(node), "gives": self.given(node), "params": self.parameters(node),
             }
             functions.append(fn)
             body = node.get("body")
@@ -219,30 +231,46 @@ class File:
         text = BLANKS.sub(" ", self.text(target))[:CALLEE]
         kind = "new" if call.type == "new_expression" else "call"
         form, receiver, name = self.access(target)
-        return {"kind": kind, "form": form, "receiver": receiver, "name": name, "text": text}
+        return {"kind": kind, "form": form, "receiver": receiver, "name": name, "text": text, "pos": target.start}
+
+    def arguments(self, call: Node) -> list[str]:
+        """Type terms of a call's arguments: of literals and `new`, "?" for any other."""
+        list_ = call.get("arguments")
+        kids = list_.kids if list_ is not None and list_.type == "arguments" else []
+        if any(k.type == "spread_element" for k in kids):
+            return ["..."]
+        return [LITERALS.get(k.type) or (self.term(k) if k.type == "new_expression" else "number" if k.type == "unary_expression" and k.kids and k.kids[-1].type == "number" else "?") for k in kids]
 
     def access(self, target: Node) -> tuple[str, str | None, str | None]:
         """How an expression names a function or member: form, receiver and name. What comes of a call or a longer chain is
         held under a name of its own, "#" and its end (see bindings)."""
         if target.type == "identifier":
-            return "name", None, self.text(target)
+            return "name", None, self.bare_text(target)
         if target.type == "super":
             return "super", None, "constructor"
-        if target.type != "member_expression":
+        name = self.member(target)
+        if name is None:
             return "other", None, None
-        obj, name = self.bare(target.get("object")), self.text(target.get("property"))
+        obj = self.bare(target.get("object"))
         if obj.type in ("this", "super"):
             return obj.type, None, name
         if obj.type == "identifier":
             return "variable", self.text(obj), name
-        if obj.type == "member_expression" and obj.get("object").type == "this":
-            return "field", self.text(obj.get("property")), name
+        if (field := self.member(obj)) is not None and obj.get("object").type == "this":
+            return "field", field, name
         if (made := self.type_name(obj)) is not None:
             return "typed", made, name
-        if obj.type in ("call_expression", "member_expression"):
+        if obj.type in ("call_expression", "member_expression", "subscript_expression"):
             return "variable", f"#{obj.end}", name
         return "other", None, name
 
+    def member(self, node: Node) -> str | None:
+        """The name of a member access: after a dot, or a plain string in brackets."""
+        if node.type == "member_expression":
+            return self.text(node.get("property"))
+        index = node.get("index") if node.type == "subscript_expression" else None
+        return self.text(index)[1:-1] if index is not None and index.type == "string" else None
+
     def bare(self, node: Node | None) -> Node | None:
         """An expression without parentheses, `!` and await around it."""
         while node is not None and node.type in ("non_null_expression", "parenthesized_expression", "await_expression") and node.kids:
@@ -250,15 +278,30 @@ class File:
         return node
 
     def origin(self, node: Node | None) -> Row | None:
-        """The call or member whose class an expression has."""
+        """The call, member or element whose type an expression has."""
         node = self.bare(node)
-        if node is None or node.type not in ("call_expression", "member_expression"):
+        if node is not None and node.type == "subscript_expression" and self.member(node) is None:
+            return self.element(node.get("object"))
+        if node is None or node.type not in ("call_expression", "member_expression", "subscript_expression"):
             return None
         target = node.get("function") if node.type == "call_expression" else node
         form, receiver, name = self.access(target)
         if form == "other" or target.type == "super":
             return None
-        return {"via_kind": "call" if target is not node else "access", "via_form": form, "via_receiver": receiver, "via_name": name, "via_cls": self.this_class(node) if form in ("this", "field", "super") else None}
+        args = self.arguments(node) if target is not node else None
+        return {"via_kind": "call" if target is not node else "access", "via_form": form, "via_receiver": receiver, "via_name": name, "via_cls": self.this_class(node) if form in ("this", "field", "super") else None, "via_args": args}
+
+    def element(self, node: Node | None, kind: str = "element") -> Row | None:
+        """The elements of what an expression holds."""
+        node = self.bare(node)
+        if node is None:
+            return None
+        held = {"via_kind": kind, "via_name": None, "via_cls": None, "via_args": None}
+        if node.type == "identifier":
+            return held | {"via_form": "variable", "via_receiver": self.text(node)}
+        if (name := self.member(node)) is not None and node.get("object").type == "this":
+            return held | {"via_form": "field", "via_receiver": name, "via_cls": self.this_class(node)}
+        return held | {"via_form": "variable", "via_receiver": f"#{node.end}"} if node.type in ("call_expression", "member_expression", "subscript_expression") else None
 
     # ---- types
 
@@ -290,7 +333,7 @@ class File:
             return None
         if node.type == "new_expression":
             made = node.get("constructor")
-            return self.text(made) if made.type == "identifier" else None
+            return self.bare_text(made) if made.type == "identifier" else None
         if node.type == "type_annotation":
             node = node.kids[0] if node.kids else None
         while node is not None and node.type in ("generic_type", "parenthesized_type", "as_expression"):
@@ -304,6 +347,68 @@ class File:
             node = named[0] if len(named) == 1 else None
         return self.text(node) if node is not None and node.type == "type_identifier" else None
 
+    def term(self, node: Node | None) -> str | None:
+        """A type as a term: its name and, in angles, the terms of its arguments; "?" for what has no name.
+
+        Parameters of the class around it are ^0, ^1, ..., those of the function ~0, ~1, ...; T[] is Array<T>.
+        """
+        if node is None:
+            return None
+        if node.type in ("type_annotation", "parenthesized_type", "as_expression", "readonly_type"):
+            return self.term(node.kids[-1]) if node.kids else None
+        if node.type == "array_type":
+            return f"Array<{self.term(node.kids[0])}>" if node.kids else "Array<?>"
+        if node.type == "union_type":
+            named = [k for k in node.kids if k.type in ("type_identifier", "generic_type", "array_type")]
+            plain = [k for k in node.kids if self.text(k) in ("null", "undefined")]
+            return self.term(named[0]) if len(named) == 1 and len(named) + len(plain) == len(node.kids) else "?"
+        if node.type == "predefined_type":
+            return self.text(node)
+        if node.type in ("type_identifier", "identifier", "generic_type", "new_expression"):
+            held = node.get("constructor") if node.type == "new_expression" else node
+            args = held.get("type_arguments") or node.get("type_arguments")
+            named = held.get("name") if held.type == "generic_type" else held
+            if named.type not in ("type_identifier", "identifier"):
+                return "?"
+            name = self.bare_text(named)
+            terms = [self.term(k) for k in args.kids] if args is not None else []
+            if name in TRANSPARENT and len(terms) == 1:
+                return terms[0]
+            return self.parameter(node, name) or name + (f"<{','.join(terms)}>" if terms else "")
+        return "?"
+
+    def parameter(self, node: Node, name: str) -> str | None:
+        """^i or ~i where a name is a type parameter of the class or function around a place."""
+        at = node.parent
+        while at is not None:
+            held = at.get("type_parameters")
+            names = [self.text(k.get("name")) for k in held.kids if k.type == "type_parameter"] if held is not None else []
+            if name in names:
+                i = names.index(name)
+                return "?" if i >= PARAMETERS else f"{'^' if at.type in CLASSES or at.type == 'interface_declaration' else '~'}{i}"
+            at = at.parent
+        return None
+
+    def given(self, node: Node) -> str | None:
+        """The term of what a function gives: declared, or as its returns name it; `this` for its own object."""
+        if self.returned(node) == "this":
+            return "this"
+        declared = node.get("return_type")
+        return self.term(declared) if declared is not None else self.returned(node)
+
+    def parameters(self, node: Node) -> list[str]:
+        """Terms of a function's parameters, optional ones with "=", the rest with "..." before them."""
+        held = node.get("parameters")
+        out = []
+        for k in held.kids if held is not None else [node.get("parameter")] if node.get("parameter") is not None else []:
+            if k.type not in ("required_parameter", "optional_parameter"):
+                out.append("?")
+                continue
+            rest = k.get("pattern") is not None and k.get("pattern").type == "rest_pattern"
+            loose = k.type == "optional_parameter" or k.get("value") is not None
+            out.append(("..." if rest else "=" if loose else "") + (self.term(k.get("type")) or "?"))
+        return out
+
     def heritage(self) -> tuple[list[Row], list[Row]]:
         """Classes and interfaces, and their parents."""
         types, parents = [], []
@@ -314,49 +419,102 @@ class File:
             if not name:
                 continue
             interface = node.type == "interface_declaration"
-            types.append({"name": name, "kind": "interface" if interface else "class", "line": self.line(node.get("name").start)})
+            held = node.get("type_parameters")
+            types.append({"name": name, "kind": "interface" if interface else "class", "line": self.line(node.get("name").start), "params": min(PARAMETERS, len(held.kids)) if held is not None else 0})
             clauses = node.get("heritage")
             for k in (clauses.walk() if clauses is not None else ()):
                 if k.type in ("type_identifier", "identifier") and (k.parent.type in ("extends_clause", "implements_clause", "extends_type_clause", "class_heritage") or k.parent.type == "generic_type" and k.field == "name"):
                     at = k.parent if k.parent.type != "generic_type" else k.parent.parent
-                    parents.append({"name": name, "parent": self.text(k), "kind": "implements" if at.type == "implements_clause" else "extends"})
+                    args = k.parent.get("type_arguments") if k.parent.type == "generic_type" else k.get("type_arguments") or k.parent.get("type_arguments")
+                    parents.append({"name": name, "parent": self.bare_text(k), "args": [self.term(x) for x in args.kids] if args is not None else [], "kind": "implements" if at.type == "implements_clause" else "extends"})
         return types, parents
 
     def bindings(self) -> list[Row]:
-        """Variables, parameters and fields with a type, or with the call or member their type comes from: scope is the start
-        of the function, or null for the file; cls for fields. Calls and chains that are receivers themselves have rows too."""
+        """Names declared in a file, with a type or with the call, member or element their type comes from, or with neither.
+
+        scope and until bound the place where a name is seen, null for the whole file; cls is set for fields. Names of the
+        whole file are listed only with a type. Calls and chains that are receivers themselves have rows too.
+        """
         out = []
 
-        def put(name: str, type_: str | None, value: Node | None, scope: int | None, cls: str | None) -> None:
-            via = self.origin(value) if not type_ else None
-            if name and (type_ or via):
-                out.append({"scope": scope, "cls": cls, "name": name, "type": type_, **(via or NO_ORIGIN)})
+        def put(name: str, annotation: Node | None, value: Node | None, scope: Node | None, cls: str | None, via: Row | None = None) -> None:
+            type_, term = self.type_name(annotation), self.term(annotation)
+            if annotation is None and (held := self.bare(value)) is not None:
+                type_, term = self.type_name(held), self.term(held) if held.type in ("new_expression", "as_expression") else None
+            via = (via or self.origin(value)) if annotation is None and not type_ else None  # what is declared isn't traced
+            term = None if term == "?" else term
+            if name and (term or via or scope is not None):
+                at = value or annotation or scope
+                out.append({"scope": scope.start if scope else None, "until": scope.end if scope else None, "cls": cls, "name": name, "type": type_, "term": term, "pos": at.start if at else 0, **(via or NO_ORIGIN)})
 
         for node in self.root.walk():
-            annotation, value = node.get("type"), node.get("value")
-            if node.type == "member_expression":
+            annotation, value, kind = node.get("type"), node.get("value"), node.type
+            if kind in ("member_expression", "subscript_expression"):
                 held = self.bare(node.get("object"))
-                if self.access(node)[1] == f"#{held.end}":
-                    put(f"#{held.end}", None, held, self.scope(node), None)
-                continue
-            if node.type not in ("variable_declarator", "required_parameter", "optional_parameter", "public_field_definition", "field_definition", "property_signature"):
-                continue
-            type_ = self.type_name(annotation) or self.type_name(self.bare(value))
-            value = value if annotation is None else None  # what is declared isn't traced
-            if node.type == "variable_declarator":
-                put(self.text(node.get("name")), type_, value, self.scope(node), None)
-            elif node.type in ("required_parameter", "optional_parameter"):
-                put(self.text(node.get("pattern")), type_, value, self.scope(node), None)
+                if self.access(node)[1] == f"#{held.end}" or self.member(node) is None and (self.element(held) or {}).get("via_receiver") == f"#{held.end}":
+                    put(f"#{held.end}", None, held, None, None)
+            elif kind == "variable_declarator":
+                loop = node.parent.parent if node.parent is not None else None
+                each = self.element(loop.get("right")) if loop is not None and loop.type == "for_in_statement" and " of " in self.source[node.end : loop.get("right").start].join("  ") else None
+                if each is not None and each["via_receiver"].startswith("#"):
+                    put(each["via_receiver"], None, self.bare(loop.get("right")), None, None)
+                self.declare(put, node.get("name"), annotation, value, self.scope_of(node, node.parent.type == "variable_declaration"), each)
+            elif kind in ("required_parameter", "optional_parameter"):
+                owner = node.parent.parent
+                if owner.type not in FUNCTIONS:
+                    continue
+                self.declare(put, node.get("pattern"), annotation, value, owner, self.handed(owner, node))
                 if node.get("modifier") is not None:
-                    put(self.text(node.get("pattern")), type_, value, None, self.class_of(node.parent.parent))
-            else:
-                put(self.text(node.get("name") or node.get("property")), type_, value, None, self.class_of(node))
+                    put(self.text(node.get("pattern")), annotation, value, None, self.class_of(owner))
+            elif kind == "arrow_function" and node.get("parameter") is not None:
+                self.declare(put, node.get("parameter"), None, None, node, self.handed(node, node.get("parameter")))
+            elif kind == "catch_clause" and node.get("parameter") is not None:
+                self.declare(put, node.get("parameter"), None, None, node, None)
+            elif kind in ("function_declaration", "generator_function_declaration"):
+                self.declare(put, node.get("name"), None, None, self.scope_of(node, False), None)
+            elif kind in ("public_field_definition", "field_definition", "property_signature"):
+                put(self.text(node.get("name") or node.get("property")), annotation, value, None, self.class_of(node))
         return out
 
-    def scope(self, node: Node) -> int | None:
+    def declare(self, put, pattern: Node | None, annotation: Node | None, value: Node | None, scope: Node | None, via: Row | None) -> None:
+        """Put the names of a pattern; only a plain name has the type of the whole."""
+        if pattern is None:
+            return
+        if pattern.type == "identifier":
+            put(self.text(pattern), annotation, value, scope, None, via)
+        elif pattern.type == "rest_pattern" and pattern.kids and pattern.kids[-1].type == "identifier":
+            put(self.text(pattern.kids[-1]), annotation, None, scope, None)
+        else:
+            for name in self.names_in(pattern):
+                put(name, None, None, scope, None)
+
+    def names_in(self, pattern: Node):
+        if pattern.type in ("identifier", "shorthand_property_identifier_pattern"):
+            yield self.text(pattern)
+        for k in pattern.kids:
+            if not (pattern.type == "pair_pattern" and k.field == "key" or pattern.type == "assignment_pattern" and k.field == "right" or k.type == "type_annotation"):
+                yield from self.names_in(k)
+
+    def handed(self, function: Node, parameter: Node) -> Row | None:
+        """The container whose elements a method hands to the first parameter of a function."""
+        held = function.parent
+        call = held.parent if held is not None and held.type == "arguments" else None
+        target = call.get("function") if call is not None and call.type == "call_expression" else None
+        first = function.get("parameter") or (function.get("parameters").kids[0] if function.get("parameters") is not None and function.get("parameters").kids else None)
+        if target is None or target.type != "member_expression" or held.kids[0] is not function or first is not parameter or self.text(target.get("property")) not in EACH:
+            return None
+        via = self.element(target.get("object"), "handed")
+        return via and via | {"pos": target.start}
+
+    def scope_of(self, node: Node, whole: bool) -> Node | None:
+        """The nearest node around one that its name is declared in: a function where `whole`, else any scope."""
         at = node.parent
-        while at is not None and at.type not in FUNCTIONS:
+        while at is not None and at.type not in (FUNCTIONS if whole else SCOPES):
             at = at.parent
+        return at
+
+    def scope(self, node: Node) -> int | None:
+        at = self.scope_of(node, True)
         return at.start if at is not None else None
 
     # ---- occurrences
@@ -384,13 +542,13 @@ class File:
         if name not in self.source:
             return out
         for node in self.root.walk():
-            if node.type != "property_identifier" or node.parent is None or node.parent.type != "member_expression" or node.field != "property" or self.text(node) != name:
+            if node.parent is None or node.field not in ("property", "index") or self.member(node.parent) != name:
                 continue
             use, member = node.parent.parent, node.parent
             called = use is not None and use.type in ("call_expression", "new_expression") and member.field in ("function", "constructor")
             kind = "access" if not called else "new" if use.type == "new_expression" else "call"
             form, receiver, _ = self.access(member)
-            out.append({"line": self.line(node.start), "column": self.column(node.start), "snippet": self.snippet(node.start), "kind": kind, "form": form, "receiver": receiver, "scope": self.scope(node), "cls": self.this_class(node)})
+            out.append({"line": self.line(node.start), "column": self.column(node.start), "snippet": self.snippet(node.start), "kind": kind, "form": form, "receiver": receiver, "pos": member.start, "cls": self.this_class(node)})
         return out
 
     def this_class(self, node: Node) -> str | None:

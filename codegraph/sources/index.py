@@ -16,12 +16,12 @@ TABLES = {
     "defs": "symbol string, kind string, line int, signature string, ord int",
     "edges": "specifier string, kind string, star boolean, names array<struct<imported: string, local: string>>, line int",
     "fingerprints": "name string, line int, types array<string>",
-    "functions": "start int, name string, shown string, cls string, kind string, has_body boolean, line int, branches int, errors int, awaits int, top boolean, returns string",
-    "calls": "caller int, ord int, kind string, form string, receiver string, name string, text string",
-    "types": "name string, kind string, line int",
-    "heritage": "name string, parent string, kind string",
+    "functions": "start int, name string, shown string, cls string, kind string, has_body boolean, line int, branches int, errors int, awaits int, top boolean, returns string, gives string, params array<string>",
+    "calls": "caller int, ord int, kind string, form string, receiver string, name string, text string, pos int",
+    "types": "name string, kind string, line int, params int",
+    "heritage": "name string, parent string, args array<string>, kind string",
     "exports": "exported string, local string",
-    "bindings": "scope int, cls string, name string, type string, via_kind string, via_form string, via_receiver string, via_name string, via_cls string",
+    "bindings": "scope int, until int, cls string, name string, type string, term string, pos int, via_kind string, via_form string, via_receiver string, via_name string, via_cls string, via_args array<string>",
 }
 PARSED = "file string, " + ", ".join(f"{t} array<struct<{', '.join(f'{n}: {k}' for n, k in (c.split(' ', 1) for c in cols.split(', ')))}>>" for t, cols in TABLES.items() if t != "edges")
 PARSED += ", edges array<struct<specifier: string, kind: string, star: boolean, names: array<struct<imported: string, local: string>>, line: int>>, problems int"
@@ -161,7 +161,7 @@ def occurrences(files: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def member_uses(files: DataFrame, name: str) -> DataFrame:
     """Uses of a name as a member, over files that hold it after a dot; a file nested too deeply to be read has a row without a line."""
-    near = sources(files).filter(F.col("content").contains("." + name)).select("path", "content", "grammar")
+    near = sources(files).filter(F.col("content").contains("." + name) | F.col("content").contains(f"'{name}'") | F.col("content").contains(f'"{name}"')).select("path", "content", "grammar")
 
     def run(batches):
         import pandas as pd
@@ -173,6 +173,6 @@ def member_uses(files: DataFrame, name: str) -> DataFrame:
                     out += [{"file": path, "name": name} | x for x in File(path, content, grammar).member_names(name)]
                 except RecursionError:
                     out.append({"file": path, "name": name})
-            yield pd.DataFrame(out, columns=["file", "name", "line", "column", "snippet", "kind", "form", "receiver", "scope", "cls"]).astype({"scope": "Int64", "line": "Int64", "column": "Int64"})
+            yield pd.DataFrame(out, columns=["file", "name", "line", "column", "snippet", "kind", "form", "receiver", "pos", "cls"]).astype({"pos": "Int64", "line": "Int64", "column": "Int64"})
 
-    return near.mapInPandas(run, "file string, name string, line int, column int, snippet string, kind string, form string, receiver string, scope int, cls string")
+    return near.mapInPandas(run, "file string, name string, line int, column int, snippet string, kind string, form string, receiver string, pos int, cls string")
