@@ -84,6 +84,18 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
     return made
 
 
+_SHARED: dict[tuple[str, str, str], Engine] = {}
+
+
+def shared(spark: SparkSession, sf_dir: str, make: Callable[[SparkSession, str], Engine] | None = None) -> Engine:
+    """One engine per session and folder for all queries that only read it; its index and derived tables are made once."""
+    make = make or engine
+    key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
+    if key not in _SHARED:
+        _SHARED[key] = make(spark, sf_dir)
+    return _SHARED[key]
+
+
 def first_key(spark: SparkSession, sf_dir: str) -> int:
     return read(spark, sf_dir, "part").agg(F.min("p_partkey")).first()[0] or 0
 
@@ -104,7 +116,7 @@ UNION ALL SELECT file, 7, 'function', 'work' || p, 'function work' || p || '(n:
 UNION ALL SELECT file, 11, 'constant', 'LIMIT' || p, 'export const LIMIT' || p || ' = ' || s || ';' FROM v
 UNION ALL SELECT 'src/use/u' || p || '.ts', 2, 'function', 'go' || p, 'go' || p || ' = () => work' || p || '(' || s || ')' FROM v WHERE p % 10 = 0""")
 def tree_defs(spark, sf_dir):
-    return engine(spark, sf_dir).tables.defs.select("file", "line", "kind", "symbol", "signature")
+    return shared(spark, sf_dir).tables.defs.select("file", "line", "kind", "symbol", "signature")
 
 
 @checked("""SELECT file, 'import' AS kind, CASE s % 3 WHEN 0 THEN './p' || t WHEN 1 THEN './p' || t || '.js' ELSE '@parts/p' || t END AS specifier, false AS star,
@@ -115,13 +127,13 @@ UNION ALL SELECT 'src/use/u' || p || '.ts', 'import', '../barrels/b' || p, false
 def tree_imports(spark, sf_dir):
     """Imports and re-exports, resolved by relative paths, script extensions and a wildcard alias."""
     names = F.array_join(F.transform("names", lambda n: F.concat_ws(">", n["imported"], n["local"])), ",")
-    return engine(spark, sf_dir).resolved.select("file", "kind", "specifier", "star", names.alias("names"), "target")
+    return shared(spark, sf_dir).resolved.select("file", "kind", "specifier", "star", names.alias("names"), "target")
 
 
 @checked("""SELECT 'work' || t AS symbol, 'src/parts/p' || t || '.ts' AS def_file, file FROM v WHERE n AND t % 10 = 0
 UNION ALL SELECT 'work' || p, file, 'src/use/u' || p || '.ts' FROM v WHERE p % 10 = 0""")
 def tree_importers(spark, sf_dir):
-    e = engine(spark, sf_dir)
+    e = shared(spark, sf_dir)
     targets = e.tables.defs.filter(r"symbol rlike '^work\\d*0$'").select("symbol", "file")
     return modules.importers(e.resolved, targets).select("symbol", "def_file", "file")
 
@@ -133,7 +145,7 @@ UNION ALL SELECT 'work' || p, file, CASE WHEN n THEN 'in-repo' ELSE 'external' E
 UNION ALL SELECT 'work' || p, file, 'unresolved', NULL, 'missing' || p || '.go' FROM v WHERE s % 2 = 0
 UNION ALL SELECT 'go' || p, 'src/use/u' || p || '.ts', 'in-repo', 'work' || p, 'work' || p FROM v WHERE p % 10 = 0""")
 def tree_calls(spark, sf_dir):
-    e = engine(spark, sf_dir)
+    e = shared(spark, sf_dir)
     f = e.tables.functions
     edges = e.call_edges.join(f.select(F.col("id").alias("caller"), F.col("name").alias("by"), "file"), "caller")
     named = edges.join(f.select(F.col("id").alias("callee"), F.col("name").alias("to")), "callee", "left")
@@ -142,20 +154,20 @@ def tree_calls(spark, sf_dir):
 
 @checked("SELECT 'work' || p AS name, 1 + CASE WHEN s % 2 = 0 THEN 1 ELSE 0 END AS branches, 1 AS errors, 0 AS awaits FROM v")
 def tree_edge_cases(spark, sf_dir):
-    return engine(spark, sf_dir).tables.functions.filter("branches + errors + awaits > 0").select("name", "branches", "errors", "awaits")
+    return shared(spark, sf_dir).tables.functions.filter("branches + errors + awaits > 0").select("name", "branches", "errors", "awaits")
 
 
 @checked("""SELECT file, 'Unit' || p AS cls, 'Unit' || p AS a_cls, 0 AS distance FROM v UNION ALL SELECT file, 'Shape' || p, 'Shape' || p, 0 FROM v
 UNION ALL SELECT file, 'Unit' || p, 'Shape' || p, 1 FROM v""")
 def tree_heritage(spark, sf_dir):
-    return engine(spark, sf_dir).ancestry.select("file", "cls", "a_cls", "distance")
+    return shared(spark, sf_dir).ancestry.select("file", "cls", "a_cls", "distance")
 
 
 @checked("""SELECT file, line, ref_kind FROM (SELECT file, 5 AS line, 'call' AS ref_kind, p AS q FROM v UNION ALL SELECT file, 1, 'import', t FROM v WHERE n UNION ALL SELECT file, 9, 'call', t FROM v WHERE n
 UNION ALL SELECT 'src/use/u' || p || '.ts', 1, 'import', p FROM v WHERE p % 10 = 0 UNION ALL SELECT 'src/use/u' || p || '.ts', 2, 'call', p FROM v WHERE p % 10 = 0) r""")
 def tree_references(spark, sf_dir):
     """All references to all work functions, each in the files that can mean it."""
-    e = engine(spark, sf_dir)
+    e = shared(spark, sf_dir)
     d = e.tables.defs.filter("symbol like 'work%'").select("symbol", "file")
     users = modules.importers(e.resolved, d).select("file", "local")
     return occurrences(e.files, d.select("file", F.col("symbol").alias("local")).unionByName(users).distinct()).select("file", "line", "ref_kind")
@@ -165,13 +177,13 @@ def tree_references(spark, sf_dir):
 WHERE n OR p % 10 = 0 OR EXISTS (SELECT 1 FROM v w WHERE w.t = v.p)
 UNION ALL SELECT 'src/barrels/b' || p || '.ts', 1, 1 FROM v WHERE p % 10 = 0 UNION ALL SELECT 'src/use/u' || p || '.ts', 0, 1 FROM v WHERE p % 10 = 0""")
 def tree_hubs(spark, sf_dir):
-    return graph.hubs(engine(spark, sf_dir).dep_edges).select("id", F.col("in_degree").cast("int").alias("in_degree"), F.col("out_degree").cast("int").alias("out_degree"))
+    return graph.hubs(shared(spark, sf_dir).dep_edges).select("id", F.col("in_degree").cast("int").alias("in_degree"), F.col("out_degree").cast("int").alias("out_degree"))
 
 
 @checked("SELECT file, 'work' || p AS name, 7 AS line, s % 2 = 0 AS even FROM v")
 def tree_fingerprints(spark, sf_dir):
     """Functions over the size floor and whether they have the shape of the even ones: a body's names and numbers don't matter, its form does."""
-    p = engine(spark, sf_dir).tables.fingerprints.filter("name like 'work%'")
+    p = shared(spark, sf_dir).tables.fingerprints.filter("name like 'work%'")
     longest = p.agg(F.max("token_count")).first()[0]
     return p.select("file", "name", "line", (F.col("token_count") == longest).alias("even"))
 
@@ -180,7 +192,7 @@ def tree_fingerprints(spark, sf_dir):
 WHERE m.p = {FIRST} AND w.p <> m.p AND w.s % 2 = m.s % 2 ORDER BY w.file LIMIT 20""")
 def tree_clones(spark, sf_dir):
     """The first twenty functions that are built like the first part's."""
-    p = engine(spark, sf_dir).tables.fingerprints.filter("name like 'work%'").withColumn("ref_ord", F.lit(0))
+    p = shared(spark, sf_dir).tables.fingerprints.filter("name like 'work%'").withColumn("ref_ord", F.lit(0))
     file = f"src/parts/p{first_key(spark, sf_dir)}.ts"
     return similarity.best_reference(p, p.filter(F.col("file") == file), 1.0, 20).select("file", "name", "score", "resembles")
 
@@ -223,7 +235,7 @@ def typed_engine(spark: SparkSession, sf_dir: str) -> Engine:
 
 def saves(*callers: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, caller, call_ord, outcome, callee): the calls of save in functions of these names."""
-    e = typed_engine(spark, sf_dir)
+    e = shared(spark, sf_dir, typed_engine)
     f = e.tables.functions
     edges = e.call_edges.join(f.select(F.col("id").alias("caller"), F.regexp_replace("name", r"\d+$", "").alias("by"), "file"), "caller").filter(F.col("by").isin(*callers) & F.col("text").rlike(r"save('\])?$"))
     named = edges.join(f.select(F.col("id").alias("callee"), F.concat_ws(".", F.regexp_replace("cls", r"\d+$", ""), "name").alias("to")), "callee", "left")
@@ -265,32 +277,32 @@ def _rows(spark: SparkSession, rows: list, columns: str) -> DataFrame:
 
 @checked(f"SELECT file, 7 AS line, 'function' AS kind, 'work' || p AS symbol FROM v WHERE p = {FIRST}")
 def tool_find_def(spark, sf_dir):
-    return _rows(spark, engine(spark, sf_dir).find_def(f"work{first_key(spark, sf_dir)}").rows, "file string, line int, kind string, symbol string")
+    return _rows(spark, shared(spark, sf_dir).find_def(f"work{first_key(spark, sf_dir)}").rows, "file string, line int, kind string, symbol string")
 
 
 @checked(f"""SELECT file, 5 AS line, 'call' AS ref_kind, file AS def_file, 7 AS def_line FROM v WHERE p = {FIRST} + 1
 UNION ALL SELECT file, 1, 'import', 'src/parts/p' || t || '.ts', 7 FROM v WHERE p = {FIRST} AND n UNION ALL SELECT file, 9, 'call', 'src/parts/p' || t || '.ts', 7 FROM v WHERE p = {FIRST} AND n""")
 def tool_find_refs(spark, sf_dir):
-    found = engine(spark, sf_dir).find_refs(f"work{first_key(spark, sf_dir) + 1}").rows
+    found = shared(spark, sf_dir).find_refs(f"work{first_key(spark, sf_dir) + 1}").rows
     return _rows(spark, found, "file string, line int, ref_kind string, def_file string, def_line int")
 
 
 @checked("""SELECT file, 5 AS line, 'call' AS ref_kind, 'src/parts/p' || t || '.ts' AS def_file, 5 AS def_line FROM v WHERE n""")
 def tool_find_member_refs(spark, sf_dir):
     """References to a method through receivers of declared types."""
-    return _rows(spark, engine(spark, sf_dir).find_refs("area").rows, "file string, line int, ref_kind string, def_file string, def_line int")
+    return _rows(spark, shared(spark, sf_dir).find_refs("area").rows, "file string, line int, ref_kind string, def_file string, def_line int")
 
 
 @checked("""SELECT id, in_degree FROM (SELECT file AS id, CASE WHEN EXISTS (SELECT 1 FROM v w WHERE w.t = v.p) THEN 1 ELSE 0 END + CASE WHEN p % 10 = 0 THEN 1 ELSE 0 END AS in_degree FROM v
   UNION ALL SELECT 'src/barrels/b' || p || '.ts', 1 FROM v WHERE p % 10 = 0) d ORDER BY in_degree DESC, id LIMIT 15""")
 def tool_dep_graph(spark, sf_dir):
-    return _rows(spark, engine(spark, sf_dir).dep_graph().rows, "id string, in_degree long").withColumn("in_degree", F.col("in_degree").cast("int"))
+    return _rows(spark, shared(spark, sf_dir).dep_graph().rows, "id string, in_degree long").withColumn("in_degree", F.col("in_degree").cast("int"))
 
 
 @checked(f"SELECT 'work' || p AS symbol FROM v WHERE p BETWEEN {FIRST} AND {FIRST} + 5")
 def tool_call_graph(spark, sf_dir):
     """Five levels of calls from the first part's function: a chain through the parts."""
-    found = engine(spark, sf_dir).call_graph(f"work{first_key(spark, sf_dir)}").rows
+    found = shared(spark, sf_dir).call_graph(f"work{first_key(spark, sf_dir)}").rows
     return spark.createDataFrame([(n.symbol,) for n in found], "symbol string")
 
 
@@ -298,7 +310,7 @@ def tool_call_graph(spark, sf_dir):
   count(*) FILTER (WHERE p < {FIRST} + 5) AS errors, 0::BIGINT AS awaits FROM v WHERE p BETWEEN {FIRST} AND {FIRST} + 5""")
 def tool_flow(spark, sf_dir):
     """The sums of a flow five calls deep; the function at the cut is counted, its body is not read."""
-    total = engine(spark, sf_dir).flow(f"work{first_key(spark, sf_dir)}", depth=5).data["rollup"]
+    total = shared(spark, sf_dir).flow(f"work{first_key(spark, sf_dir)}", depth=5).data["rollup"]
     return spark.createDataFrame([tuple(total[k] for k in ("functions", "branches", "errors", "awaits"))], "functions long, branches long, errors long, awaits long")
 
 
@@ -352,7 +364,7 @@ def tool_stats(spark, sf_dir):
 def tool_precision(spark, sf_dir):
     """Files that a word search finds and the reference search leaves out: the barrel only hands the name on."""
     q = read(spark, sf_dir, "part").filter("p_partkey % 10 = 0").agg(F.min("p_partkey")).first()[0] or 0
-    return spark.createDataFrame([(x,) for x in engine(spark, sf_dir).precision_report(f"work{q}").data["excluded"]], "path string")
+    return spark.createDataFrame([(x,) for x in shared(spark, sf_dir).precision_report(f"work{q}").data["excluded"]], "path string")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
