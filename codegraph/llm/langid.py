@@ -25,6 +25,7 @@ from .shared import map_batches, materialise, named, with_text
 
 BITS = (512, 2048, 4096)  # of the presence vectors of 1-, 2- and 3-grams
 PER_LANGUAGE, SAMPLE, LANDMARKS, RIDGE = 400, 20_000, 256, 1e-3
+LOW, MARGIN = 0.001, 0.6  # a text is like none of the languages below MARGIN times what all but LOW of the sample's texts of its size reach
 UNKNOWN = "und"
 ROWS = 256  # texts scored in one product
 CHARS = 1 << 20  # characters hashed at a time
@@ -90,21 +91,38 @@ class Model:
         gram = feature.T @ (feature * weight[:, None]) + ridge * len(labels) * np.eye(feature.shape[1])
         solved = np.linalg.solve(gram, feature.T @ (target * weight[:, None]))
         self.matrix = (onto @ solved).astype(np.float32)
+        self.least = self.limits(np.bitwise_count(packed).sum(1), (feature @ solved).max(1))
+
+    @staticmethod
+    def limits(bits: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """The least output of a text by its size class (the digits of its number of n-gram bits): the least of its own and the two next classes. One that the sample lacks has that of the next smaller one; below the smallest the limit halves with the size."""
+        classes = np.array([int(b).bit_length() for b in bits])
+        found = {c: MARGIN * float(np.quantile(most[classes == c], LOW)) for c in sorted(set(classes.tolist()))}
+        out, least = np.zeros(sum(BITS).bit_length() + 1), min(found)
+        for c in range(least, len(out)):
+            out[c] = min((found[k] for k in (c - 1, c, c + 1) if k in found), default=out[c - 1])
+        out[:least] = out[least] / 2.0 ** np.arange(least, 0, -1)
+        return out
 
     def outputs(self, texts: list[str]) -> np.ndarray:
         return spectra(presence(texts)) @ self.matrix
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, score): the largest output and its share of all positive outputs; `und` and 0.0 without a letter."""
-        found: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """(language, score, likeness): the language of the largest output, its share of all positive outputs, and the output over the limit of the text's size; `und` and zeros without a letter.
+
+        The output nears 1 for texts like the language's sample and 0 for texts that share no n-grams with the landmarks.
+        """
+        found: list[tuple[str, float, float]] = [(UNKNOWN, 0.0, 0.0)] * len(texts)
         judged = [i for i, t in enumerate(texts) if t and has_letter(t)]
         for at in range(0, len(judged), ROWS):
             part = judged[at : at + ROWS]
-            out = np.maximum(self.outputs([texts[i] for i in part]), 1e-6)
+            bits = presence([texts[i] for i in part])
+            out = np.maximum(spectra(bits) @ self.matrix, 1e-6)
             best = out.argmax(1)
-            share = out[np.arange(len(part)), best] / out.sum(1)
-            for i, b, s in zip(part, best.tolist(), share.tolist(), strict=True):
-                found[i] = (self.languages[b], min(1.0, s))
+            most = out[np.arange(len(part)), best]
+            least = self.least[[int(b).bit_length() for b in bits.sum(1, dtype=np.int64)]]
+            for i, b, s, o in zip(part, best.tolist(), (most / out.sum(1)).tolist(), (most / least).tolist(), strict=True):
+                found[i] = (self.languages[b], min(1.0, s), o)
         return found
 
 
@@ -149,7 +167,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """A struct `row` of the kept columns, and lang_pred and score of each whole text; only the text is read."""
+    """A struct `row` of the kept columns, and lang_pred, score and likeness of each whole text; only the text is read."""
     source, parts = with_text(docs, text_col, docs.columns if keep is None else keep)
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))  # with its code: workers need not import it
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,10 +175,11 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
         for batch in batches:
             texts, row = parts(batch)
             texts = texts.to_pylist()
-            found = own.predict(texts) if own else [(UNKNOWN, 0.0)] * len(texts)
-            yield pa.RecordBatch.from_arrays([row, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["row", "lang_pred", "score"])
+            found = own.predict(texts) if own else [(UNKNOWN, 0.0, 0.0)] * len(texts)
+            columns = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([row, *columns], ["row", "lang_pred", "score", "likeness"])
 
-    return map_batches(source, score, StructType([source.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return map_batches(source, score, StructType([source.schema["row"], StructField("lang_pred", StringType()), *[StructField(x, DoubleType()) for x in ("score", "likeness")]]))
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -176,19 +195,20 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_identified(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    languages: list[str] | None = None, least_score: float | None = None,
+    languages: list[str] | None = None, least_score: float = 0.0, least_likeness: float = 1.0,
 ) -> DataFrame:
     """The rows of docs, with all their columns, whose text the model places in a language.
 
-    That is, in one of `languages` (any learned one by default) with a score of least_score or more; by default a score
-    above chance among the learned languages, which leaves out texts that resemble none of them. Null and letterless
-    texts go. Where no row can be learned from (an unlabelled corpus) there is no prediction: every text with a letter
-    stays, or none if languages are named. Repeated rows fare alike; an empty table stays empty.
+    That is, in one of `languages` (any learned one by default), with a score of least_score or more and a likeness of
+    least_likeness or more. Likeness is the ridge output over a limit that is fitted with the model, for each size of
+    text: MARGIN times the output that all but LOW of the sample's texts of that size reach. Texts of other languages, or
+    of no words at all, miss it. Null and letterless texts go. Where no row can be learned from (an unlabelled corpus)
+    there is no prediction: every text with a letter stays, or none if languages are named. Repeated rows fare alike; an
+    empty table stays empty.
     """
     model = fit(docs, id_col, text_col, lang_col)
     if model is None:
         return docs.filter(named([text_col])[0].rlike(r"\p{L}") & F.lit(languages is None))
-    chance = 1 / len(model.languages)
-    sure = F.col("score") >= least_score if least_score is not None else (F.col("score") > chance * (1 + 1e-6)) | F.lit(chance == 1)
+    like = (F.col("score") >= least_score) & (F.col("likeness") >= least_likeness)
     known = F.col("lang_pred") != UNKNOWN if languages is None else F.col("lang_pred").isin(languages)
-    return identify(docs, model, text_col).filter(known & sure & (F.col("lang_pred") != UNKNOWN)).select("row.*")
+    return identify(docs, model, text_col).filter(known & like & (F.col("lang_pred") != UNKNOWN)).select("row.*")

@@ -78,6 +78,22 @@ def test_language_stage_uses_the_prediction(spark):
     texts = ["the cat sat on the mat and then it ran", "der hund lief durch den wald und schlief"]
     rows = [(i, f"{texts[i % 2]} {texts[i % 2][i % 20:]}", ("en", "de")[i % 2], "s", 0) for i in range(60)] + [(90, "\u4e2d\u6587\u5b57", None, "s", 0)]
     docs = spark.createDataFrame(rows, DOCS)
-    assert {r.doc_id for r in keep_identified(docs).collect()} >= set(range(60))
-    assert {r.doc_id for r in keep_identified(docs, languages=["de"]).collect()} - {90} == set(range(1, 60, 2))
+    assert {r.doc_id for r in keep_identified(docs).collect()} == set(range(60))
+    assert {r.doc_id for r in keep_identified(docs, languages=["de"]).collect()} == set(range(1, 60, 2))
     assert {r.doc_id for r in keep_identified(docs, least_score=1.01).collect()} == set()
+    assert {r.doc_id for r in keep_identified(docs, least_likeness=0.0).collect()} == {*range(60), 90}
+
+
+def test_language_stage_rejects_what_is_like_no_learned_language(spark):
+    """Other scripts and random letters go; all of the four languages stay, those held out from learning too."""
+    r = random.Random(3)
+    drawn = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(r.randrange(2, 9))) for _ in range(n))
+    unlike = ["\u4e2d\u6587\u5b57\u7b26\u6d4b\u8bd5\u8fd9\u662f\u4e00\u4e2a\u53e5\u5b50", "\u042d\u0442\u043e \u043f\u0440\u0435\u0434\u043b\u043e\u0436\u0435\u043d\u0438\u0435 \u043d\u0430 \u0440\u0443\u0441\u0441\u043a\u043e\u043c \u044f\u0437\u044b\u043a\u0435"]
+    unlike += [drawn("abcdefghijklmnopqrstuvwxyz", n) for n in (40, 200, 2000)] + [drawn("\u0430\u0431\u0432\u0433\u0434\u0435\u0436\u0437\u0438\u043a", n) for n in (20, 800)]
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    more = spark.createDataFrame([(10_000_000 + i, t, None, "s", 0) for i, t in enumerate(unlike)], DOCS)
+    kept = {x.doc_id for x in keep_identified(given.unionByName(more)).select("doc_id").collect()}
+    clean = {x.doc_id for x in given.filter(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
+    assert not {i for i in kept if i >= 10_000_000}
+    assert len(clean) > 900
+    assert len(clean - kept) <= 0.001 * len(clean)  # a text of one short word may go
