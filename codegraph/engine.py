@@ -49,12 +49,13 @@ class Engine:
 
     def __init__(
         self, spark: SparkSession, root: str | None = None, files: DataFrame | None = None, home: str | None = None, aliases: DataFrame | None = None,
-        index: str | None = None, watch: bool = True,
+        index: str | None = None, watch: bool = True, baselines: str | None = None,
     ):
         if (root is None) == (files is None):
             raise ValueError("give a root folder or a table of files (path, content)")
         self.spark, self.root, self._table = spark, root, files
         self.home = home or os.path.join(root or ".", HOME)
+        self._store = baselines  # a folder that Spark reads and writes, where home is no path that all executors share
         self.parsed: DataFrame | None = None
         self.listed: DataFrame | None = None
         self._aliases, self._version, self._cache, self._watch, self._problems = aliases, 0, {}, watch, 0
@@ -337,7 +338,7 @@ class Engine:
 
     @property
     def _baselines(self) -> str:
-        return os.path.join(self.home, "anchors.parquet")
+        return self._store or os.path.join(self.home, "anchors.parquet")
 
     def concepts(self) -> dict[str, Concept]:
         return vocab.load(self._vocab)
@@ -347,19 +348,21 @@ class Engine:
         try:
             return self.spark.read.schema(ANCHORS).parquet(self._baselines)
         except Exception as e:  # noqa: BLE001
-            if Path(self._baselines).exists():
+            if self._store or Path(self._baselines).exists():
                 log.warning("baselines not read: %s", e)
             return self.spark.createDataFrame([], ANCHORS)
 
-    def baseline(self, id_: str) -> list[Row]:
-        return self._anchor_rows().filter(F.col("concept_id") == id_).select("key", "hash").collect()
+    def baseline(self, id_: str) -> DataFrame:
+        """(key, hash) of a concept's baseline; one row of nulls where the concept was empty, none where nothing was captured."""
+        return self._anchor_rows().filter(F.col("concept_id") == id_).select("key", "hash")
 
     def capture(self, id_: str, anchors: DataFrame) -> None:
-        """Replace one concept's baseline, the others' partitions untouched."""
-        now = anchors.collect()  # a concept's members, which its locators bound; read before the store is written
-        rows = [(id_, r.key, r.hash, datetime.datetime.now()) for r in now] or [(id_, None, None, datetime.datetime.now())]
-        df = self.spark.createDataFrame(rows, ANCHORS)
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("concept_id").parquet(self._baselines)
+        """Replace one concept's baseline, the others' partitions untouched. The rows are made before the store is written."""
+        now = graph.cut_lineage(anchors.select("key", "hash"))
+        if now.isEmpty():
+            now = self.spark.createDataFrame([(None, None)], "key string, hash string")
+        rows = now.select(F.lit(id_).alias("concept_id"), "key", "hash", F.current_timestamp().alias("captured_at"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("concept_id").parquet(self._baselines)
 
     def resolve(self, concept: Concept) -> DataFrame:
         t = self.tables
@@ -374,10 +377,9 @@ class Engine:
 
     def _state(self, id_: str, anchors: DataFrame) -> tuple[str, list[Row]]:
         before = self.baseline(id_)
-        if not before:
+        if before.isEmpty():
             return "unverified", []
-        old = self.spark.createDataFrame([(r.key, r.hash) for r in before if r.key is not None], "key string, hash string")
-        rows = knowledge.drift(old, anchors).orderBy("change", "key").collect()
+        rows = knowledge.drift(before.filter("key is not null"), anchors).orderBy("change", "key").collect()
         return ("drifted" if rows else "fresh"), rows
 
     def arch_list(self) -> Answer:
@@ -386,7 +388,7 @@ class Engine:
         rows = []
         for id_, c in self.concepts().items():
             if c.flow:
-                rows.append((id_, c.title, None, "recorded" if self.baseline(id_) else "unverified"))
+                rows.append((id_, c.title, None, "unverified" if self.baseline(id_).isEmpty() else "recorded"))
                 continue
             try:
                 found = self.resolve(c)

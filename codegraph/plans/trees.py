@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import string
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..engine import Engine
-from ..operators import graph, knowledge, modules, similarity
+from ..engine import OWN_PREFIX, Engine
+from ..operators import graph, knowledge, modules, similarity, usage
+from ..sources import logs
 from ..sources.files import sources as only_sources
 from ..sources.index import occurrences
 from .relations import read
@@ -51,6 +53,15 @@ def checked(sql: str):
     return put
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: in spark.checkpoint.dir, or a temporary one where all runs in one process."""
+    sc = spark.sparkContext
+    shared_ = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared_ and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(shared_ or 'file://' + tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _filled(text: str, known: dict[str, F.Column]) -> F.Column:
     """A template with columns in the place of its names."""
     pieces = []
@@ -79,7 +90,8 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     aliases = spark.createDataFrame(ALIASES, "alias_ord int, prefix string, wildcard boolean, targets array<string>")
-    made = Engine(spark, files=tree(spark, sf_dir), home=tempfile.mkdtemp(prefix="codegraph-"), aliases=aliases, watch=False)
+    # the concept file and the usage log are the driver's own; baselines are Spark's
+    made = Engine(spark, files=tree(spark, sf_dir), home=tempfile.mkdtemp(prefix="codegraph-"), aliases=aliases, watch=False, baselines=folder(spark, "baselines"))
     made.sync()
     return made
 
@@ -341,7 +353,7 @@ def tool_drift(spark, sf_dir):
     e = _concept(spark, sf_dir)
     c = e.concepts()["shapes"]
     e.capture("shapes", knowledge.anchors(e.resolve(c)))
-    before = spark.createDataFrame([(r.key, r.hash) for r in e.baseline("shapes")], "key string, hash string")
+    before = graph.cut_lineage(e.baseline("shapes"))
     key = F.regexp_extract("path", r"p(\d+)\.ts$", 1).try_cast("int")
     renamed = F.regexp_replace("content", "interface Shape", "interface ShapeNew")
     longer = F.regexp_replace("content", r"interface (Shape\d+) ", "interface $1 extends Base ")
@@ -367,6 +379,56 @@ def tool_precision(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in shared(spark, sf_dir).precision_report(f"work{q}").data["excluded"]], "path string")
 
 
+@checked("SELECT 'shapes' AS id, 'Shapes' AS title, count(*) AS members, 'fresh' AS state FROM v")
+def tool_arch_list(spark, sf_dir):
+    """A concept that was asserted, with its size and how it stands to its baseline."""
+    return spark.createDataFrame(_concept(spark, sf_dir).arch_list().rows, "id string, title string, members long, state string")
+
+
+@checked(f"""SELECT w.file, 'work' || w.p AS name, 1.0::DOUBLE AS score, m.file || '#work' || m.p AS resembles, w.p % 10 <> 1 AS violates FROM v w, v m
+WHERE m.p = {FIRST} AND w.p <> m.p AND w.s % 2 = m.s % 2 ORDER BY w.file LIMIT 20""")
+def tool_arch_candidates(spark, sf_dir):
+    """Functions built like the one of a concept, the first twenty of the best, and whether they lie outside its rule."""
+    e = engine(spark, sf_dir)
+    p = first_key(spark, sf_dir)
+    rule = {"title": "in parts ending in one", "locators": [{"kind": "path", "glob": "**/p*1.ts"}]}
+    e.arch_assert("worker", "Worker", locators=[{"kind": "symbol", "query": f"function work{p}"}], must=rule)
+    found = [r for r in e.arch_candidates("worker", 1.0, 50).rows if r.name.startswith("work")][:20]
+    return _rows(spark, found, "file string, name string, score double, resembles string, violates boolean")
+
+
+# ---- logs, written from the events
+
+
+def _logged(spark: SparkSession, sf_dir: str, line: F.Column) -> DataFrame:
+    """Lines of a log file, in order of the events, among them a blank and a broken one for every seventh."""
+    events = read(spark, sf_dir, "events").select("event_id", line.alias("value"))
+    odd = events.filter("event_id % 7 = 0").select("event_id", F.explode(F.array(F.lit(""), F.lit("{broken"), F.lit("[1]"))).alias("value"))
+    at = folder(spark, "log")
+    events.unionByName(odd).orderBy("event_id", "value").select("value").write.text(at)
+    return logs.lines(spark, at)
+
+
+@checked("""SELECT event_type AS tool, count(*) AS calls, min(event_id) AS least, max(event_id) AS most FROM events GROUP BY 1""")
+def log_usage(spark, sf_dir):
+    """Calls by tool from a usage log of one line an event; lines that are no calls are passed over."""
+    line = F.to_json(F.struct(F.col("ts").cast("string").alias("ts"), F.col("event_type").alias("tool"), F.struct(F.col("event_id").alias("id")).alias("args")))
+    calls = logs.usage(_logged(spark, sf_dir, line)).withColumn("id", F.try_variant_get("args", "$.id", "long"))
+    return calls.groupBy("tool").agg(F.count(F.lit(1)).alias("calls"), F.min("id").alias("least"), F.max("id").alias("most"))
+
+
+@checked("""SELECT count(*) FILTER (WHERE event_id % 4 = 0) AS own, count(*) FILTER (WHERE event_id % 4 = 1) AS grep,
+  floor(100.0 * count(*) FILTER (WHERE event_id % 4 = 0) / count(*) FILTER (WHERE event_id % 4 < 2) + 0.5)::INT AS share_pct FROM events""")
+def log_adoption(spark, sf_dir):
+    """Own calls and text searches in a transcript of one tool call an event."""
+    e = F.col("event_id") % 4
+    name = F.when(e == 0, OWN_PREFIX + "find_refs").when(e == 1, "Grep").when(e == 2, "Bash").otherwise("Read")
+    use = F.struct(F.lit("tool_use").alias("type"), name.alias("name"), F.struct(F.lit("ls -l").alias("command")).alias("input"))
+    line = F.to_json(F.struct(F.struct(F.array(use).alias("content")).alias("message")))
+    found = usage.adoption(logs.timeline(_logged(spark, sf_dir, line), OWN_PREFIX))
+    return found.select("own", "grep", F.col("share_pct").cast("int").alias("share_pct"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

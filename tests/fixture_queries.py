@@ -11,12 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..engine import Engine
-from ..functions import exprs as X
-from ..operators import graph, knowledge, modules, similarity, types_tier, usage
-from ..sources import logs
-from ..sources.files import sources as only_sources
-from ..sources.index import member_uses, occurrences
+from codegraph.engine import Engine
+from codegraph.functions import exprs as X
+from codegraph.operators import graph, knowledge, modules, similarity, types_tier, usage
+from codegraph.sources import logs
+from codegraph.sources.files import sources as only_sources
+from codegraph.sources.index import member_uses, occurrences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}

@@ -256,6 +256,35 @@ def test_receivers_known_by_returns_casts_and_chains(spark, tmp_path):
     assert [n.symbol for n in d.rows] == ["go", "save", "other"] and d.data["tree"].unresolved == 1
 
 
+def test_receivers_mean_the_nearest_declaration(spark, tmp_path):
+    """Shadowed names, elements, callbacks, type arguments, overloads, brackets and default imports."""
+    rows = [
+        ("repo.ts", "export default class Repo { save() {} }\nexport class Other { save() {} }\nexport class Box<T> { get(): T { return null as any; } each(): T[] { return []; } }\nexport class Pair<A, B> extends Box<B> { left(): A { return null as any; } }\n"),
+        ("use.ts", "import Repo, { Other, Box, Pair } from './repo';\n"
+         "function typed(r: Repo) { r.save(); }\n"
+         "function loop(list: Other[]) { for (const r of list) r.save(); }\n"
+         "function bare(r) { r.save(); }\n"
+         "function back(xs: Other[], bag: Set<Repo>) { xs.forEach(r => r.save()); bag.forEach(function (r) { r.save(); }); xs.filter(x => x).find(o => o.save()).save(); }\n"
+         "function boxed(b: Box<Repo>, p: Pair<Repo, Box<Other>>, q: Box) { b.get().save(); p.left().save(); p.get().get().save(); p.each()[0].get().save(); q.get().save(); }\n"
+         "function pick(x: number): Repo;\nfunction pick(x: string, y?: number): Other;\nfunction pick(x: any): any { return x; }\n"
+         "function same<T>(x: T): T { return x; }\n"
+         "function chosen() { pick(5).save(); pick('x').save(); pick('x', 1).save(); pick(1, 2).save(); same(new Other()).save(); const k = new Box<Other>(); k.get().save(); }\n"
+         "function held(r: Repo, m: Map<string, Other>) { r['save'](); m.get('a').save(); { let r: Other; r.save(); } r.save(); }\n"),
+    ]
+    e = Engine(spark, files=spark.createDataFrame(rows, "path string, content string"), home=str(tmp_path))
+    f = e.tables.functions
+    calls = e.call_edges.join(f.select(f.id.alias("caller"), f.name.alias("by")), "caller").join(f.select(f.id.alias("callee"), f.cls.alias("to")), "callee", "left")
+    got = {}
+    for r in calls.filter("text like '%save%' and by <> '(anonymous)'").orderBy("by", "call_ord").collect():
+        got.setdefault(r.by, []).append(r.to or r.outcome)
+    assert got == {
+        "typed": ["Repo"], "loop": ["Other"], "bare": ["unresolved"], "back": ["Other", "Repo", "Other", "Other"],
+        "boxed": ["Repo", "Repo", "Other", "Other", "unresolved"], "chosen": ["Repo", "Other", "Other", "unresolved", "Other", "Other"],
+        "held": ["Repo", "Other", "Other", "Repo"],
+    }
+    assert [(r.line, r.def_line) for r in e.find_refs("save").rows if r.line in (2, 3, 4)] == [(2, 1), (3, 2)]
+
+
 def test_importer_count_leaves_out_defining_files_at_any_number(spark, tmp_path):
     rows = [(f"d{i}.ts", f"import {{ same }} from './d{(i + 1) % 1001}';\nexport function same() {{ return 1; }}\n") for i in range(1001)]
     rows.append(("use.ts", "import { same } from './d5';\nexport const x = same();\n"))

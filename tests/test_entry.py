@@ -21,6 +21,7 @@ def test_entry_without_the_corpus_folders(tmp_path):
     for keep_pipeline in (True, False):
         top = tmp_path / str(keep_pipeline)
         shutil.copytree(TOP / "codegraph", top / "codegraph", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        shutil.copytree(TOP / "jobs", top / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
         shutil.copy(TOP / "__spark_entry__.py", top)
         if keep_pipeline and (TOP / "corpus_pipeline.py").exists():
             shutil.copy(TOP / "corpus_pipeline.py", top)

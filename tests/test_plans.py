@@ -1,4 +1,4 @@
-"""Every registered relational query against its SQL, on the small tables."""
+"""Every registered relational query, and those over a fixed tree, against their SQL, on the small tables."""
 
 import math
 
@@ -6,9 +6,11 @@ import duckdb
 import pytest
 
 from codegraph.plans import queries as plans
-from codegraph.plans import sources, trees
+from codegraph.plans import trees
+from tests import fixture_queries as sources
 
-QUERIES, SQL = plans.queries() | sources.queries() | trees.queries(), plans.oracle_sql() | sources.oracle_sql() | trees.oracle_sql()
+FIXED = [{f"fixed_{name}": x for name, x in given.items()} for given in (sources.queries(), sources.oracle_sql())]
+QUERIES, SQL = plans.queries() | trees.queries() | FIXED[0], plans.oracle_sql() | trees.oracle_sql() | FIXED[1]
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
