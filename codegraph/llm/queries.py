@@ -168,13 +168,14 @@ OP12_SQL = f"""
 WITH w AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS words FROM documents
 ), placed AS (
-  SELECT doc_id, words, unnest(range(len(words))) AS i FROM w
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w
+), runs AS (
+  SELECT doc_id, i, word, array_to_string(list(word) OVER f, ' ') AS run, count(*) OVER f AS n FROM placed
+  WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {LENGTH - 1} FOLLOWING)
 ), seen AS (
-  SELECT doc_id, i, row_number() OVER (PARTITION BY words[i + 1 : i + {LENGTH}] ORDER BY doc_id, i) AS nth FROM placed WHERE i + {LENGTH} <= len(words)
+  SELECT *, n = {LENGTH} AND row_number() OVER (PARTITION BY n = {LENGTH}, run ORDER BY doc_id, i) > 1 AS again FROM runs
 ), judged AS (
-  SELECT a.doc_id, a.i, a.words[a.i + 1] AS word,
-         coalesce(max(s.nth) OVER (PARTITION BY a.doc_id ORDER BY a.i ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW), 1) > 1 AS goes
-  FROM placed a LEFT JOIN seen s USING (doc_id, i)
+  SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW) AS goes FROM seen
 ), kept AS (
   SELECT doc_id, count(*) FILTER (WHERE goes) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT goes) AS text FROM judged GROUP BY doc_id
 )
