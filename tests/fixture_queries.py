@@ -166,7 +166,7 @@ def src_member_uses(spark, sf_dir):
     ("src/store.ts", "MemoryStore", "src/store.ts", "Store", 1),
 )
 def src_heritage(spark, sf_dir):
-    return engine(spark).ancestry
+    return engine(spark).ancestry.select("file", "cls", "a_file", "a_cls", "distance")
 
 
 @checked(
