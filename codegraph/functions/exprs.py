@@ -16,7 +16,7 @@ SEARCH_COMMANDS = "grep rg ripgrep fgrep egrep ag ack"
 # The extensions of source files, and of those among them that only declare.
 SOURCE_EXTENSIONS, DECLARATION_EXTENSIONS = "ts tsx mts cts js jsx mjs cjs".split(), "d.ts d.mts d.cts".split()
 SOURCE_FILE = rf"\A.*\.(?:{'|'.join(SOURCE_EXTENSIONS)})\z"
-DECLARATION_FILE = rf"\.(?:{'|'.join(x.replace('.', chr(92) + '.') for x in DECLARATION_EXTENSIONS)})\z"
+DECLARATION_FILE = rf"\.(?:{'|'.join(map(re.escape, DECLARATION_EXTENSIONS))})\z"
 TEST_FILE = r"(?i)\.(?:spec|test)\.|(?:^|/)__(?:mocks|tests)__/|(?:^|/)testing/|(?:^|[/._-])mock"
 
 

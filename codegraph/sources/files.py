@@ -27,7 +27,7 @@ def is_source(path: str) -> bool:
 def by_git(root: str) -> list[str] | None:
     """Tracked files and untracked ones that aren't ignored; None without git."""
     try:
-        said = subprocess.run(["git", "ls-files", "-z", "--cached", "--others", "--exclude-standard"], cwd=root, capture_output=True, check=True, timeout=120)
+        said = subprocess.run(["git", "ls-files", "-z", "--cached", "--others", "--exclude-standard"], cwd=root, capture_output=True, check=True)  # however long it takes: a walk lists by other rules
     except (OSError, subprocess.SubprocessError):
         return None
     return [p for p in said.stdout.decode("utf-8", "surrogateescape").split("\0") if p]
