@@ -8,6 +8,7 @@ archives count, so a repeated or lost task leaves nothing that is read.
 from __future__ import annotations
 
 import base64
+import copy
 import hashlib
 import uuid
 import zlib
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .shared import filesystem, map_batches, materialise, text_of, work_path
 
 LEAST_BYTES, ARCHIVE_BYTES, CHUNK = 1000, 16 << 20, 1 << 20
-PIECE, HEADER = 1 << 14, 1 << 20  # compressed bytes inflated at a time; longest header of a record
+PIECE, HEADER, HOLD = 1 << 14, 1 << 20, 8 << 20  # compressed bytes inflated at a time; longest header of a record; longest block held before it has passed the checks
 VERSION, GZIP, END = b"WARC/1.", b"\x1f\x8b\x08", b"\r\n\r\n"
 ID = "urn:page:"
 DATE = "1970-01-01T00:00:00Z"  # records carry no clock, so a repeated task writes the same bytes
@@ -81,6 +82,30 @@ def parse(headers: dict[str, str], block: bytes) -> None:
             raise Damaged("payload digest")
 
 
+def check_long(pieces: Iterator[bytes], headers: dict[str, str], length: int) -> None:
+    """Damaged if pieces, a block of this length and what follows, don't end as told or fail the payload digest; holds one piece at a time."""
+    digest, before, inside, left = hashlib.sha1(), b"", False, length
+    after = b""
+    for piece in pieces:
+        block, after = piece[:left], after + piece[left:]
+        left -= len(block)
+        if inside:
+            digest.update(block)
+        else:
+            before += block
+            if (cut := before.find(END)) >= 0:
+                inside = True
+                digest.update(before[cut + len(END) :])
+            before = before[1 - len(END) :]
+        if len(after) >= len(END):
+            break
+    if left or not after.startswith(END):
+        raise Damaged("block not ended")
+    if headers.get("warc-type") == "response" and (told := headers.get("warc-payload-digest")):
+        if "sha1:" + base64.b32encode(digest.digest()).decode() != told:
+            raise Damaged("payload digest")
+
+
 class Member:
     """The bytes of the gzip member at `at`, inflated as they are asked for; those before `base` are forgotten."""
 
@@ -113,6 +138,17 @@ class Member:
         del self.held[: to - self.base]
         self.base = to
 
+    def pieces(self, at: int) -> Iterator[bytes]:
+        """The inflated bytes from `at` on, which must not be forgotten yet, read by a copy that holds none of them; the member stays where it is."""
+        yield bytes(self.held[at - self.base :])
+        ahead = copy.copy(self)
+        if not self._packer.eof and not self.error:
+            ahead._packer = self._packer.copy()
+        ahead.held = bytearray()
+        while ahead.more():
+            yield bytes(ahead.held)
+            ahead.held.clear()
+
 
 def _record(source: Member, at: int) -> tuple[dict[str, str], bytes, int]:
     """The record at `at` of the inflated bytes: headers, block, end. Damaged if its frame or payload digest doesn't hold."""
@@ -135,6 +171,8 @@ def _record(source: Member, at: int) -> tuple[dict[str, str], bytes, int]:
         raise Damaged("no content length")
     start = source.base + head + len(END)
     end = start + int(told) + len(END)
+    if int(told) > HOLD:
+        check_long(source.pieces(start), headers, int(told))  # a false length must not make the reader hold what follows
     if not until(end) or source.held[end - len(END) - source.base : end - source.base] != END:
         raise Damaged("block not ended")
     block = bytes(source.held[start - source.base : end - len(END) - source.base])
@@ -187,6 +225,9 @@ def _plain(read_at: ReadAt, at: int, size: int) -> tuple[dict[str, str], bytes,
     end = head_end + len(END) + int(told) + len(END)
     if at + end > size:
         raise Damaged("record not ended")
+    if int(told) > HOLD:
+        start = at + head_end + len(END)
+        check_long((read_at(p, min(CHUNK, at + end - p)) for p in range(start, at + end, CHUNK)), headers, int(told))
     while len(raw) < end:
         raw += read_at(at + len(raw), end - len(raw))
     if raw[end - len(END) : end] != END:
@@ -216,7 +257,8 @@ def salvage(read_at: ReadAt, size: int) -> Iterator[tuple[str, int, int, object,
     for gaps between members. Records of one member share its range. After a failed check the search goes on: within a
     member from the next version line of its inflated bytes, else from the next byte at which a gzip member or a version
     line begins. A candidate counts only if it passes the checks itself, so gaps end exactly where sound records begin
-    again. Of a member that breaks off or fails its checksum the sound records before that are kept, and its gap tells
+    again. A block longer than HOLD is read once without holding it and taken only when it has passed, so a false length
+    costs time and no memory; a header longer than HEADER is quarantined. Of a member that breaks off or fails its checksum the sound records before that are kept, and its gap tells
     with inner where the rest begins.
     """
     at, gap, reason = 0, -1, ""

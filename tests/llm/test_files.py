@@ -100,6 +100,45 @@ def test_a_long_tail_without_header_end_is_read_in_bounds():
     assert max(asked) <= max(warc.CHUNK, warc.HEADER)
 
 
+@pytest.mark.parametrize("plain", [False, True])
+def test_a_false_length_holds_no_more_than_a_record(monkeypatch, plain):
+    """One false length near the start of a long run of records: that record alone is lost, and little is held."""
+    monkeypatch.setattr(warc, "HOLD", 1 << 16)
+    parts = records(4000, plain=True)
+    false = b"Content-Length: 2000000" if plain else b"Content-Length: 9000000"
+    parts[3] = parts[3].replace(b"Content-Length: ", b"X-Length: ", 1).replace(b"Content-Type: application", false + b"\r\nContent-Type: application", 1)
+    parts[3] = parts[3].replace(b"\r\nX-Length: " + parts[3].split(b"X-Length: ")[1].split(b"\r\n")[0], b"", 1)
+    raw = b"".join(parts) if plain else warc.member(b"".join(parts))
+    held, more = [], warc.Member.more
+
+    def watched(self):
+        out = more(self)
+        held.append(len(self.held))
+        return out
+
+    monkeypatch.setattr(warc.Member, "more", watched)
+    found = [x for x in read(raw)]
+    ids = [x[3][0]["warc-record-id"] for x in found if x[0] == "record"]
+    assert ids == [f"<urn:page:{i}>" for i in range(4000) if i != 3]
+    assert [x[0] for x in found].count("gap") == 1
+    assert max(held, default=0) < 1_500_000 or plain
+
+
+def test_long_records_pass_the_same_checks(monkeypatch):
+    """Blocks above HOLD, in members and plain: sound ones are read, one with a changed byte is quarantined."""
+    monkeypatch.setattr(warc, "HOLD", 1000)
+    monkeypatch.setattr(warc, "CHUNK", 700)
+    monkeypatch.setattr(warc, "PIECE", 50)
+    body = b"".join(b"<p>%d</p>" % (i * i) for i in range(900))
+    sound = warc.record("response", 1, "u", warc.payload_digest(body), len(body), body)
+    bad = sound.replace(b"<p>81</p>", b"<p>18</p>", 1).replace(b"page:1", b"page:2", 1)
+    tail = warc.record("response", 3, "u", warc.payload_digest(b"x"), 1, b"x")
+    for raw in (sound + bad + tail, warc.member(sound + bad + tail), b"".join(map(warc.member, (sound, bad, tail)))):
+        found = read(raw)
+        assert [x[0] for x in found] == ["record", "gap", "record"]
+        assert found[0][3][1].endswith(body) and found[2][3][0]["warc-record-id"] == "<urn:page:3>"
+
+
 def test_round_trip(spark, tmp_path):
     same = "<p>" * 400
     rows = [(1, "http://a", same), (7, "http://b", same), (3, None, same), (4, "u\r\nx", "short"), (5, "u", "short"), (6, "u", None), (None, "u", same), (7, "http://b", same)]
