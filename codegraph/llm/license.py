@@ -10,6 +10,7 @@ words themselves beside their hash, so spans hold no hash collisions. DataFrame
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,11 +83,13 @@ def templates(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         pairs += [(a, b, tid, i) for i, (a, b) in enumerate(zip(words, words[1:]))]
         heads.append((tid, size if base else math.ceil(COVERAGE * size), label, base, size, [] if base else must(decides)))
 
-    def constant(rows: list[tuple], names: str) -> DataFrame:
-        each = F.array(*[F.struct(*[(F.array(*[F.array(*map(F.lit, y)) for y in x]).cast("array<array<int>>") if isinstance(x, list) else F.lit(x)).alias(n) for x, n in zip(row, names.split())]) for row in rows])
-        return spark.range(1, numPartitions=1).select(F.explode(each).alias("r")).select("r.*")
+    def constant(rows: list[tuple], schema: str) -> DataFrame:
+        names = [field.split()[0] for field in schema.split(", ")]
+        text = json.dumps([dict(zip(names, row, strict=True)) for row in rows])  # one literal, however many rows
+        return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema}>>")))
 
-    return constant(pairs, "_a _b _tid _tpos").withColumn("_gram", F.xxhash64("_a", "_b")), constant(heads, "_tid _need _label _base _size _must")
+    known = constant(pairs, "_a string, _b string, _tid int, _tpos int").withColumn("_gram", F.xxhash64("_a", "_b"))
+    return known, constant(heads, "_tid int, _need int, _label string, _base boolean, _size int, _must array<array<int>>")
 
 
 def license_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
