@@ -23,8 +23,8 @@ def _line_hashes(line: Column) -> list[Column]:
 
 
 def _lines(docs: DataFrame, min_chars: int, *keep: Column) -> DataFrame:
-    """keep and the hashes of each line long enough to be judged."""
-    each = docs.select(*keep, F.explode(F.split(text_of("_text"), "\n", -1)).alias("_line"))
+    """keep, the place and the hashes of each line long enough to be judged."""
+    each = docs.select(*keep, F.posexplode(F.split(text_of("_text"), "\n", -1)).alias("_at", "_line"))
     named = [c for c in each.columns if c != "_line"]
     judged = each.select(*named, _trimmed(F.col("_line")).alias("_line")).filter(F.length("_line") >= min_chars)
     return judged.select(*named, *_line_hashes(F.col("_line")))
@@ -68,26 +68,24 @@ def line_dedup(
     hits = (
         _lines(bare, min_chars, *key_of(text_of("_text")))
         .join(found, ["_h1", "_h2"])
+        .select("_k1", "_k2", "_at", "_first")
         .distinct()  # copies of a text become one before a text's lines meet
         .groupBy("_k1", "_k2")
-        .agg(F.collect_set(F.struct("_h1", "_h2", "_first")).alias("_hits"))
+        .agg(F.collect_list(F.struct("_at", "_first")).alias("_hits"))
     )
     hits = materialise(hits, "hits")  # so that the planner may split the rows of a text that many documents share
     others = [c for c in docs.columns if c != text_col]  # the text travels once
     row = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(F.lit(0).alias("_"), *named(others)).alias("_row"))
     keyed = row.select("*", *key_of(text_of("_text"))).join(hits, ["_k1", "_k2"], "left")
-    parts = F.split(text_of("_text"), "\n", -1)
-
-    def stays(line: Column) -> Column:
-        bare_line = _trimmed(line)
-        h1, h2 = F.xxhash64(bare_line), F.xxhash64(F.lit(2), bare_line)
-        return ~F.exists("_hits", lambda x: (x["_h1"] == h1) & (x["_h2"] == h2) & ~x["_first"].eqNullSafe(F.col("_id")))
-
-    done = keyed.withColumn("_kept", F.when(F.col("_hits").isNull(), parts).otherwise(F.filter(parts, stays)))
+    keyed = keyed.withColumn("_lines", F.split(text_of("_text"), "\n", -1))
+    gone = F.transform(F.filter("_hits", lambda x: ~x["_first"].eqNullSafe(F.col("_id"))), lambda x: x["_at"])
+    # places that stay, by a hash set: lines are not compared with hits one by one
+    places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), gone)
+    done = keyed.withColumn("_kept", F.when(F.col("_hits").isNull(), F.col("_lines")).otherwise(F.transform(places, lambda i: F.get("_lines", i))))
     clean = F.when(F.col("_text").isNotNull(), F.array_join("_kept", "\n"))
     taken = ("n_lines", "n_removed") if counts else ()
     columns = [clean.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if c not in taken]
     if not counts:
         return done.select(*columns)
-    n_lines, n_kept = F.size(parts).cast("long"), F.size("_kept").cast("long")
+    n_lines, n_kept = F.size("_lines").cast("long"), F.size("_kept").cast("long")
     return done.select(*columns, n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_removed"))
