@@ -10,10 +10,10 @@ pair has even parity and gives the index of itself, the other gives those of its
 cut in three parts, one part is equal. Joining on these keys therefore loses no link; every candidate is verified.
 
 Keys are 31 to 34 bits wide, so chance candidates stay rare. A bucket never gives all its pairs: it gives spanning
-forests of the links within it, which leave the components as they are. Members of a large bucket meet only in parts:
-four differing bits leave two of six groups of the bits that vary in the bucket equal, so those that share two groups
-are compared, fifteen times over. A bucket holds distinct fingerprints, sixteen bytes each: copies and a tight cluster
-of any number of documents are few of them, and a crowd far apart is cut small by the parts.
+forests of the links within it, which leave the components as they are. Members of a large bucket are dealt again and
+meet only in parts, in other tasks: four differing bits leave two of six groups of bits equal, so those that share two
+groups are compared, fifteen times over. No task holds a large bucket; a bucket holds distinct fingerprints, so copies
+and a tight cluster of any number of documents are few of them, and a crowd far apart is cut small by the parts.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 GENERATOR = 0xC75  # fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 FEW = 8  # buckets up to this size compare all members at once
 LARGE, GROUPS = 2048, 6  # buckets beyond this size meet in parts, by pairs of so many groups of bits
+MIX = 0x9E3779B97F4A7C15  # an odd number that spreads keys over 64 bits
 
 
 # ---- fingerprints
@@ -167,16 +168,16 @@ def forest(fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(a) if a else none).view(np.int64), (np.concatenate(b) if b else none).view(np.int64)
 
 
-def parts_of(fp: np.ndarray) -> Iterator[np.ndarray]:
-    """For each pair of groups of the bits that vary: the fingerprints' bits in them. Those within RADIUS bits agree in one such pair."""
-    varying = int(np.bitwise_or.reduce(fp ^ fp[0]))
-    groups = [sum(1 << int(i) for i in part) for part in np.array_split([i for i in range(64) if varying >> i & 1], GROUPS)]
-    for a, b in combinations(groups, 2):
-        yield fp & np.uint64(a | b)
+def parts(keys: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of groups of bits, the members under a key of their bucket and these bits. Those within RADIUS bits agree in one such pair; keys that clash by chance only make more meet."""
+    groups = [sum(1 << bit for bit in range(first, 64, GROUPS)) for first in range(GROUPS)]
+    own, bits = keys.view(np.uint64) * np.uint64(MIX), fp.view(np.uint64)
+    found = [(bits & np.uint64(a | b)) ^ own ^ np.uint64(n * MIX % 2**64) for n, (a, b) in enumerate(combinations(groups, 2))]
+    return np.concatenate(found).view(np.int64), np.tile(fp, len(found))
 
 
-def bucket_links(keys: np.ndarray, fp: np.ndarray, radius: int = RADIUS, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Links within buckets; keys are sorted. Large buckets meet in parts unless whole."""
+def bucket_links(keys: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Links within buckets; keys are sorted."""
     edge = np.flatnonzero(np.diff(keys)) + 1
     starts = np.concatenate(([0], edge))
     sizes = np.diff(np.concatenate((starts, [len(keys)])))
@@ -188,17 +189,9 @@ def bucket_links(keys: np.ndarray, fp: np.ndarray, radius: int = RADIUS, whole:
         a.append(x[hit].view(np.int64))
         b.append(x[hit + lag].view(np.int64))
     for at, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
-        own = fp[at : at + n]
-        if whole or n <= LARGE:
-            found = [forest(own, radius)]
-        else:
-            found = []
-            for part in parts_of(own.view(np.uint64)):
-                order = np.argsort(part)
-                found.append(bucket_links(part[order].view(np.int64), own[order], radius, whole=True))
-        for one, two in found:
-            a.append(one)
-            b.append(two)
+        one, two = forest(fp[at : at + n], radius)
+        a.append(one)
+        b.append(two)
     a, b = np.concatenate(a), np.concatenate(b)
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
@@ -219,26 +212,50 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
                 keys, rows = bucket_keys(golay, fp)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[rows])], ["key", "fp"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def rows(a: np.ndarray, b: np.ndarray, part: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), part))], ["a", "b", "part"])
 
-        def out(n: int) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*map(pa.array, bucket_links(keys[:n], fp[:n], radius))], ["a", "b"])
+    def meet(batches: Iterator[pa.RecordBatch], large: int | None) -> Iterator[pa.RecordBatch]:
+        """Links (a, b) of the buckets of up to `large` members; (part's key, fp) of those of larger ones, which are never held."""
+        keys, fp, passed = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+
+        def out(n: int) -> Iterator[pa.RecordBatch]:
+            crowded = np.zeros(n, bool)
+            if large is not None:
+                sizes = np.diff(np.concatenate(([0], np.flatnonzero(np.diff(keys[:n])) + 1, [n])))
+                crowded = np.repeat(sizes > large, sizes)
+            if crowded.any():
+                yield rows(*parts(keys[:n][crowded], fp[:n][crowded]), True)
+            if not crowded.all():
+                yield rows(*bucket_links(keys[:n][~crowded], fp[:n][~crowded], radius), False)
 
         for batch in batches:
             keys = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False)])
             fp = np.concatenate([fp, batch.column(1).to_numpy(zero_copy_only=False)])
+            if passed is not None and len(keys):  # more of a large bucket
+                n = int(np.searchsorted(keys, passed, "right"))
+                yield rows(*parts(keys[:n], fp[:n]), True)
+                keys, fp, passed = keys[n:], fp[n:], None if n < len(keys) else passed
             whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last bucket may go on
             if whole:
-                yield out(whole)
+                yield from out(whole)
                 keys, fp = keys[whole:], fp[whole:]
+            if large is not None and len(keys) > large:
+                yield rows(*parts(keys, fp), True)
+                passed, keys, fp = keys[-1], keys[:0], fp[:0]
         if len(keys):
-            yield out(len(keys))
+            yield from out(len(keys))
 
     spread = map_batches(distinct.select("fp"), emit, "key long, fp long")
     n = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    buckets = spread.repartition(n, "key").sortWithinPartitions("key")
-    return map_batches(buckets, meet, "a long, b long")
+
+    def met(members: DataFrame, large: int | None) -> DataFrame:
+        buckets = members.select("key", "fp").repartition(n, "key").sortWithinPartitions("key")
+        return map_batches(buckets, lambda batches: meet(batches, large), "a long, b long, part boolean")
+
+    first = materialise(met(spread, LARGE), "links")
+    found, again = first.filter("not part").select("a", "b"), first.filter("part").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+    return found if again.isEmpty() else found.unionByName(met(again, None).select("a", "b"))
 
 
 def classes(marked: DataFrame, id_col: str) -> DataFrame:

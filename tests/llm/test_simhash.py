@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from codegraph.llm import simhash
@@ -120,6 +121,13 @@ def test_components_of_documents(spark):
     assert simhash.near_dedup(docs.limit(0)).count() == 0
 
 
+def in_parts(fp):
+    keys, members = simhash.parts(np.zeros(len(fp), np.int64), fp)
+    order = np.argsort(keys, kind="stable")
+    assert np.unique(keys, return_counts=True)[1].max() < len(fp)
+    return bucket_links(keys[order], members[order])
+
+
 def test_large_bucket_meets_in_parts():
     """A bucket of 100,000 distinct fingerprints, far apart but for planted neighbours: all links, without comparing all pairs."""
     r = np.random.default_rng(3)
@@ -130,7 +138,7 @@ def test_large_bucket_meets_in_parts():
         for bit in r.choice(np.arange(22, 63), r.integers(1, 5), replace=False):
             near[k] ^= np.uint64(1 << int(bit))
     everyone = np.unique(np.concatenate([fp, near])).view(np.int64)
-    a, b = simhash.bucket_links(np.zeros(len(everyone), np.int64), everyone)
+    a, b = in_parts(everyone)
     assert (np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= 4).all()
     found = set(zip(a.tolist(), b.tolist(), strict=True))
     planted = {(min(x, y), max(x, y)) for x, y in zip(base.view(np.int64).tolist(), near.view(np.int64).tolist(), strict=True)}
@@ -145,6 +153,22 @@ def test_large_bucket_meets_in_parts():
         root[top(x)] = top(y)
     assert all(top(x) == top(y) for x, y in planted) and len(found) < 4 * len(planted)
     cluster = np.unique(np.uint64(5) ^ sum((np.uint64(1) << r.integers(0, 64, 6000).astype(np.uint64)) for _ in range(2))).view(np.int64)
-    a, b = simhash.bucket_links(np.zeros(len(cluster), np.int64), cluster)
+    a, b = in_parts(cluster)
     want = simhash.forest(cluster)
     assert len(np.unique(np.concatenate([a, b]))) == len(np.unique(np.concatenate(want)))
+
+
+@pytest.mark.parametrize("large", [1, 3, 1000])
+def test_links_of_large_buckets_are_dealt_again(spark, monkeypatch, large):
+    """Whatever counts as large, and however batches cut a bucket, components are those of all pairs."""
+    monkeypatch.setattr(simhash, "LARGE", large)
+    r = np.random.default_rng(9)
+    fp = np.unique(np.concatenate([r.integers(0, 1 << 11, 150), r.integers(0, 1 << 62, 40)]))
+    brute = [(a, b) for a in fp.tolist() for b in fp.tolist() if a < b and (a ^ b).bit_count() <= 4]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        found = [(x.a, x.b) for x in simhash.links(spark.createDataFrame([(x,) for x in fp.tolist()], "fp long")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all((a ^ b).bit_count() <= 4 for a, b in found)
+    assert roots(fp.tolist(), found) == roots(fp.tolist(), brute)
