@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from codegraph.engine import Engine, latest_transcript
 from codegraph.operators.knowledge import LocatorError, parse_symbol_query
@@ -313,3 +314,33 @@ def test_a_table_is_read_again_only_where_stamps_say_so(spark, tmp_path):
     assert quiet.find_def("C").rows
     quiet._table = e._table.limit(0)
     assert quiet.find_def("C").rows and not quiet.sync()["file_count"] and not quiet.find_def("C").rows
+
+
+def test_parsing_is_dealt_over_tasks_however_the_table_is_stored(spark, monkeypatch):
+    from codegraph.sources import index
+
+    monkeypatch.setattr(index, "FILES_A_TASK", 2)
+    files = spark.createDataFrame([(f"a{i}.ts", f"export const x{i} = {i};") for i in range(18)], "path string, content string").coalesce(1)
+    e = Engine(spark, files=files, watch=False)
+    assert e.sync()["file_count"] == 18
+    assert e.parsed.rdd.getNumPartitions() == 9 == e.parts
+    assert index.tasks(0) == 1 and index.tasks(1, 5 * index.BYTES_A_TASK) == 5
+
+
+def test_checkpoints_are_not_broadcast_by_guessed_sizes(spark):
+    from codegraph.operators.graph import cut_lineage
+
+    one = cut_lineage(spark.range(9))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(one.withColumn("x", F.lit(1)).join(spark.range(5), "id"))
+    assert "BroadcastHashJoin" in plan(spark.range(5).join(F.broadcast(one), "id"))
+
+
+def test_long_listings_stay_out_of_the_driver(spark, tmp_path):
+    files = spark.createDataFrame([("a.ts", "export class A { run() { return 1; } }\nexport function go(a: A) { a.run(); }\n")], "path string, content string")
+    e = Engine(spark, files=files, home=str(tmp_path), watch=False)
+    refs, unread = e.member_refs("run")
+    assert [(r.file, r.line, r.def_line) for r in refs.collect()] == [("a.ts", 2, 1)] == [(r.file, r.line, r.def_line) for r in e.find_refs("run").rows] and unread.isEmpty()
+    said = e.arch_assert("c", "C", locators=[{"kind": "symbol", "query": "class *"}])
+    assert not {"rows", "text"} & set(vars(said))
+    assert "A" in said.text and [r.symbol for r in said.rows] == ["A"]
