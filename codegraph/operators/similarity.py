@@ -85,7 +85,8 @@ def best_reference(functions: DataFrame, references: DataFrame, threshold: float
     """
     if not 0 <= threshold <= 1 or not 1 <= limit <= 50:
         raise ValueError("threshold lies in 0..1 and limit in 1..50")
-    others = functions.join(references.select("file").distinct(), "file", "left_anti")
+    # the references' files are few or counted: while few, the functions stay where they are, however many share a file
+    others = functions.join(sized(references.select("file").distinct()), "file", "left_anti")
     named = references.select("id", "shingles", "ref_ord", F.concat_ws("#", "file", "name").alias("name"))
     best = best_matches(others.select("id", "shingles"), named, threshold)
     own = others.select("id", "file", "name", "line").join(best, F.col("id") == F.col("a"), "left" if threshold == 0 else "inner")

@@ -160,3 +160,18 @@ def test_fnv_runs_over_utf16_code_units(spark):
     df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
     got = {r.t: r.h for r in df.select("t", X.fnv1a32(F.col("t")).alias("h")).collect()}
     assert got == {t: plain(t) for t in texts} | {None: None}
+
+
+def test_functions_of_one_file_are_not_sent_to_one_task(spark, monkeypatch):
+    """Reference files are left out by a broadcast join: a file that most functions share would else meet in one task."""
+    from codegraph.operators import similarity
+    from codegraph.operators.graph import cut_lineage
+
+    met, kept = [], similarity.best_matches
+    monkeypatch.setattr(similarity, "best_matches", lambda functions, *rest: met.append(functions) or kept(functions, *rest))
+    rows = [(f"f{i}", "o" if i else "q", f"f{i}", i, [1, 2, 3]) for i in range(6)]
+    functions = cut_lineage(spark.createDataFrame(rows, "id string, file string, name string, line int, shingles array<long>"))
+    found = similarity.best_reference(functions, functions.filter("file = 'q'").withColumn("ref_ord", F.lit(0)), 0.5, 10)
+    assert [(r.name, r.resembles) for r in found.collect()] == [(f"f{i}", "q#f0") for i in range(1, 6)]
+    plan = met[0]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning(file" not in plan.split("BroadcastExchange")[0], plan
