@@ -276,11 +276,14 @@ SELECT doc_id AS line, floor(score * 100 + 0.5) / 100 AS score, 'q#' || b AS res
 def jaccard_candidates(spark, sf_dir):
     """Every document outside the query set that is like one in it: sets are compared once for each text, copies get their text's result."""
     sets, member = _sets(spark, sf_dir)
-    sets = graph.cut_lineage(sets.select("id", F.transform("shingles", lambda x: F.xxhash64(x)).alias("shingles")))  # hashes are all that is compared
     asked = member.filter(REFERENCE).groupBy("id").agg(F.min("doc_id").alias("ref_ord"))
-    references = sets.join(asked, "id").withColumn("name", F.concat(F.lit("q#"), F.col("ref_ord").cast("string")))
-    best = similarity.best_matches(sets, references, 0.5)
-    return member.filter(f"not ({REFERENCE})").join(best, F.col("id") == F.col("a")).select(F.col("doc_id").alias("line"), X.round2(F.col("score")).alias("score"), F.col("ref").alias("resembles"))
+    # hashes are all that is compared, under numbers that are given once
+    hashes = F.transform("shingles", lambda x: F.xxhash64(x)).alias("shingles")
+    sets = graph.cut_lineage(sets.join(asked, "id", "left").select(F.monotonically_increasing_id().alias("n"), F.col("id").alias("text_id"), "ref_ord", hashes).withColumnRenamed("n", "id"))
+    references = sets.filter("ref_ord is not null").withColumn("name", F.concat(F.lit("q#"), F.col("ref_ord").cast("string")))
+    best = similarity.best_matches(sets, references, 0.5).join(sets.select(F.col("id").alias("a"), "text_id"), "a")
+    found = member.filter(f"not ({REFERENCE})").join(best, F.col("id") == F.col("text_id"))
+    return found.select(F.col("doc_id").alias("line"), X.round2(F.col("score")).alias("score"), F.col("ref").alias("resembles"))
 
 
 @checked(f"""WITH {WORDS}, asked AS (SELECT id, min(doc_id) AS doc_id FROM member WHERE {REFERENCE} GROUP BY 1), q AS (SELECT items.*, doc_id FROM items JOIN asked USING (id)),

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -175,3 +176,39 @@ def test_functions_of_one_file_are_not_sent_to_one_task(spark, monkeypatch):
     assert [(r.name, r.resembles) for r in found.collect()] == [(f"f{i}", "q#f0") for i in range(1, 6)]
     plan = met[0]._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning(file" not in plan.split("BroadcastExchange")[0], plan
+
+
+def _family_sets(spark):
+    """Sets of every degree of likeness to one of twenty items, some that share one rare item with it, and an item that all hold."""
+    base = [f"i{n}" for n in range(20)]
+    rows = [(n, base[n:] + [f"x{n}-{k}" for k in range(n)] + ["all"]) for n in range(20)]
+    rows += [(100 + n, ["i0", "all"] + [f"y{n}-{k}" for k in range(20)]) for n in range(5)] + [(200, base[:10]), (201, [])]
+    return spark.createDataFrame(rows, "id long, shingles array<string>")
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
+def test_best_matches_of_many_and_of_few_items_are_those_of_all_pairs(spark, monkeypatch, few, threshold):
+    monkeypatch.setattr(similarity, "BROADCAST_ROWS", few)
+    sets = _family_sets(spark)
+    held = {r.id: set(r.shingles) for r in sets.collect()}
+    references = sets.filter("id in (0, 3, 7, 200)").withColumn("ref_ord", F.col("id")).withColumn("name", F.col("id"))
+    want = {}
+    for a, x in held.items():
+        scores = [(len(x & held[b]) / len(x | held[b]), -b) for b in (0, 3, 7, 200) if x & held[b]]
+        if scores and max(scores)[0] >= threshold:
+            want[a] = (max(scores)[0], -max(scores)[1])
+    assert {r.a: (r.score, r.ref) for r in similarity.best_matches(sets, references, threshold).collect()} == want
+
+
+def test_pairs_that_share_too_few_rare_items_carry_no_sets(spark):
+    """Twenty-one items each: at 0.5 fourteen must be common, of which at most ten lie outside the prefix of eleven."""
+    one = spark.createDataFrame([(1, 21, n) for n in range(3)] + [(2, 21, n) for n in range(4)], "a long, a_size int, item long")
+    two = spark.createDataFrame([(9, 21, n) for n in range(11)], "b long, b_size int, item long")
+    assert [(r.a, r.b) for r in similarity.near(one, two, 0.5).collect()] == [(2, 9)]
+
+
+def test_items_that_no_reference_has_are_not_dealt(spark):
+    sets = spark.createDataFrame([(1, 3, [5, -7, 1 << 40]), (2, 1, [6]), (3, 0, [])], "id long, size int, hs array<long>")
+    wanted = spark.createDataFrame([(-7,), (1 << 40,)], "item long")
+    assert sorted((r.a, r.a_size, r.item) for r in similarity.sifted(sets, wanted).collect()) == [(1, 3, -7), (1, 3, 1 << 40)]
