@@ -20,7 +20,8 @@ from jobs.common import LOG, arguments, configured, session, settings
 DOCUMENTS = "doc_id long, text string"
 SEEN = "doc_id long, n_symbols long, batch long"
 SYMBOLS = "symbol string, doc_id long, n_refs long, first_line int, last_line int, bucket int, batch long"
-SPREAD = 8  # tasks that write a bucket's rows of a batch
+SPREAD = 8  # files in which a bucket's rows of a batch are written, at least
+CHARS_A_TASK = 4 << 20  # of text: some hundred megabytes while its symbols are counted
 SUMMARY = "symbol string, docs long, refs long, bucket int"
 
 
@@ -28,9 +29,14 @@ def bucket_of(symbol: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(symbol), F.lit(buckets)).cast("int")
 
 
-def newest(batch: DataFrame) -> DataFrame:
-    """One row a document: that of the newest file; of several in one file the largest text, a null one before all."""
-    return batch.filter("doc_id is not null").groupBy("doc_id").agg(F.max_by("text", F.struct("modified", "text")).alias("text"))
+def tasks(batch: DataFrame) -> int:
+    """Into how many tasks a batch is dealt: they get more with its texts, not larger."""
+    return 1 + (batch.agg(F.sum(F.length("text"))).first()[0] or 0) // CHARS_A_TASK
+
+
+def newest(batch: DataFrame, parts: int) -> DataFrame:
+    """One row a document, dealt by documents: that of the newest file; of several in one file the largest text, a null one before all."""
+    return batch.filter("doc_id is not null").repartition(parts, "doc_id").groupBy("doc_id").agg(F.max_by("text", F.struct("modified", "text")).alias("text"))
 
 
 def places(docs: DataFrame, symbol: str) -> DataFrame:
@@ -46,8 +52,10 @@ def writer(out: str, symbol: str, buckets: int):
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         put = lambda df, name, by: df.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{out}/{name}")
-        found = places(newest(batch).filter("text is not null"), symbol).withColumn("bucket", bucket_of(F.col("symbol"), buckets))
-        put(found.repartition("bucket", F.pmod(F.hash("doc_id"), F.lit(SPREAD))), "symbols", ["bucket", "batch"])
+        parts = tasks(batch)
+        found = places(newest(batch, parts).filter("text is not null"), symbol).withColumn("bucket", bucket_of(F.col("symbol"), buckets))
+        spread = max(SPREAD, -(-parts // buckets))
+        put(found.repartition(parts, "bucket", F.pmod(F.hash("doc_id"), F.lit(spread))), "symbols", ["bucket", "batch"])
         # written last: from here on the batch counts
         sizes = rows(spark, f"{out}/symbols", SYMBOLS).filter(F.col("batch") == number).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_symbols"))
         put(batch.select("doc_id").filter("doc_id is not null").distinct().join(sizes, "doc_id", "left").na.fill(0, ["n_symbols"]), "documents", ["batch"])

@@ -169,3 +169,15 @@ def test_command_line(spark, tmp_path, monkeypatch, module, paths):
     module.main()
     assert seen["stopped"] and seen["at"][:-1] == tuple(f"/at/{p}" for p in paths)
     assert common.settings(module.__name__.split(".")[-1], seen["at"][-1])
+
+
+def test_a_larger_batch_is_dealt_to_more_tasks_not_larger_ones(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(reference_index, "CHARS_A_TASK", 100)
+    texts = {n: f"a{n} b\nb" for n in range(300)}
+    batch = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("modified", F.current_timestamp())
+    parts = reference_index.tasks(batch)
+    assert parts == 1 + sum(map(len, texts.values())) // 100
+    assert reference_index.newest(batch, parts).rdd.getNumPartitions() == parts
+    assert reference_index.tasks(batch.limit(0)) == 1
+    reference_index.writer(f"{tmp_path}/out", "[a-z]+[0-9]*", 2)(batch, 0)
+    assert stands(spark, f"{tmp_path}/out") == brute_index(texts)
