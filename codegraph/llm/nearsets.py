@@ -1,5 +1,9 @@
 """Near duplicates by Jaccard similarity of word 5-gram sets: every pair at or above 0.8 lies within a component.
 
+Pairs are looked for twice. First by SimHash: fingerprints of the 5-grams within four bits meet under Golay-code keys
+(`simhash.links`), and those that pass the exact comparison link their sets. Four bits reach the closest copies only, so
+what is similar but further apart is then found by a prefix join.
+
 Two sets with similarity 0.8 or more share an item among the first |A| - ceil(0.8 |A|) + 1 items of each, whatever the
 common order of items (the prefix filter). Items of frequent slots of a counted table come last in that order, so
 common passages rarely make candidates; the counts only order and never leave anything out.
@@ -29,7 +33,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 
 from .components import components
 from .shared import delete, key_of, map_batches, materialise, text_of, work_path
-from .simhash import shingle_hashes, survivors
+from .simhash import links, majority, shingle_hashes, survivors
 
 WORDS = 5
 SIMILAR = (4, 5)  # 0.8, as a fraction of integers so that no rounding decides
@@ -39,6 +43,12 @@ FEW = 8  # buckets up to this size give all their pairs at once
 CROWD = 4096  # members of a large bucket in one part; each two parts meet in a task of their own
 
 
+def items_and_print(utf8: bytes) -> tuple[np.ndarray, int]:
+    """item_set, and the SimHash fingerprint of the same 5-grams, repeats included."""
+    hashes = shingle_hashes(utf8.lower().split(), WORDS)
+    return np.unique(np.array(hashes, np.uint64)), majority(hashes)
+
+
 def item_set(utf8: bytes) -> np.ndarray:
     """Sorted hashes of the distinct word 5-grams; a text of fewer words is one item, one without words is empty."""
     return np.unique(np.array(shingle_hashes(utf8.lower().split(), WORDS), np.uint64))
@@ -78,20 +88,22 @@ def prefix(n: int) -> int:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """row (_id, _k1, _k2), node (a hash of the set), size, items and sketch of columns _id, _text, _k1 and _k2; a task gives items and sketch of a node once, then null."""
+    """row (_id, _k1, _k2), node (a hash of the set), fp (the fingerprint), size, items and sketch of columns _id, _text, _k1 and _k2; a task gives items and sketch of a node once, then null."""
     source = docs.select(text_of("_text").alias("text"), F.struct("_id", "_k1", "_k2").alias("row"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            found = [item_set(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            both = [items_and_print(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            found = [x for x, _ in both]
             digests = [xxhash.xxh64_intdigest(x.tobytes()) for x in found]
             once = [None if n in seen or seen.add(n) else x for n, x in zip(digests, found, strict=True)]
-            columns = [pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array([len(x) for x in found], pa.int32())]
+            columns = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (digests, [fp for _, fp in both])]
+            columns.append(pa.array([len(x) for x in found], pa.int32()))
             columns += [pa.array([None if x is None else f(x) for x in once], pa.binary()) for f in (np.ndarray.tobytes, sketch)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *columns], ["row", "node", "size", "items", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), *columns], ["row", "node", "fp", "size", "items", "sketch"])
 
-    fields = [StructField("node", LongType()), StructField("size", IntegerType()), StructField("items", BinaryType()), StructField("sketch", BinaryType())]
+    fields = [StructField("node", LongType()), StructField("fp", LongType()), StructField("size", IntegerType()), StructField("items", BinaryType()), StructField("sketch", BinaryType())]
     return map_batches(source, scan, StructType([source.schema["row"], *fields]))
 
 
@@ -357,13 +369,25 @@ def verified(pairs: DataFrame, marked: DataFrame) -> DataFrame:
     return materialise(map_batches(both, check, "a long, b long"), "similar")
 
 
+def keyed_pairs(marked: DataFrame) -> DataFrame:
+    """(a, b): sets whose fingerprints are equal or linked by Golay keys: each with the first of its fingerprint, and the firsts of linked ones."""
+    known = marked.select("fp", "node").distinct()
+    own = materialise(known.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    far = materialise(links(own), "fingerprint-links")
+    ends = [own.select(F.col("fp").alias(n), F.col("first").alias(f"{n}_node")) for n in ("a", "b")]
+    between = far.join(ends[0], "a").join(ends[1], "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    within = known.join(own, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return between.unionByName(within).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def joined(marked: DataFrame) -> DataFrame:
     """(node, root) for every node with a similar other one, but for roots themselves."""
+    keyed = verified(near(keyed_pairs(marked), marked), marked)
     posts = postings(marked).withColumn("root", F.col("node"))
     first = materialise(candidates(posts, 0), "candidates")
     pairs = materialise(first.filter("size is null").select("a", "b").distinct(), "pairs")
-    links = verified(near(pairs, marked), marked)
-    found = materialise(components(links, "a", "b"), "linked")
+    linked = verified(near(pairs.join(keyed, ["a", "b"], "left_anti"), marked), marked).unionByName(keyed)
+    found = materialise(components(linked, "a", "b"), "linked")
     large = first.filter("size is not null").select(F.col("a").alias("token"), F.col("b").alias("node"), "size")
     if large.isEmpty():
         return found
@@ -378,8 +402,8 @@ def joined(marked: DataFrame) -> DataFrame:
             pairs = materialise(crowd_pairs(posts.join(tokens, "node").join(known, "node")).distinct(), "pairs")
         if pairs.isEmpty():
             continue
-        links = verified(pairs, marked).unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        found = materialise(components(links, "a", "b"), "linked")
+        linked = verified(pairs, marked).unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        found = materialise(components(linked, "a", "b"), "linked")
     return found
 
 

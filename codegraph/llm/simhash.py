@@ -57,7 +57,11 @@ def shingle_hashes(words: list[bytes], shingle: int, seed: int = SEED) -> list[i
 
 def fingerprint(utf8: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """SimHash of word shingles: words end at ASCII white space, A-Z are lower-cased; no words give 0."""
-    hashes = shingle_hashes(utf8.lower().split(), shingle, seed)
+    return majority(shingle_hashes(utf8.lower().split(), shingle, seed))
+
+
+def majority(hashes: list[int]) -> int:
+    """The bits set in over half of the hashes; none of no hashes."""
     if not hashes:
         return 0
     counts = np.zeros(64, np.int64)

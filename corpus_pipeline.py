@@ -36,7 +36,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: texts whose word 5-grams are 0.8 similar or more, and chains of them.
 
-    Pairs come from a prefix join of 5-gram sets, not from Golay keys, whose four bits miss most copies of this similarity (README).
+    SimHash fingerprints that meet under Golay keys are compared exactly first; their four bits miss most copies of this
+    similarity (README), so a prefix join of the 5-gram sets then finds the rest.
     """
     return similar_dedup(docs)
 

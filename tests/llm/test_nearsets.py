@@ -110,3 +110,19 @@ def test_every_two_members_of_a_crowd_meet_once(spark, monkeypatch):
         seen += [(token, *sorted((a, b))) for k, (a, s) in enumerate(rows) for b, t in rows[:k] if within or s != t]
     assert sorted(seen) == sorted((t, a, b) for t, size in ((1, 57), (2, 3)) for a in range(size) for b in range(a + 1, size))
     assert len(met) > 10
+
+
+def test_golay_keys_pair_close_copies_before_the_prefix_join(spark, monkeypatch):
+    """Copies within four bits come from the keys alone; what is similar but further apart still comes from the join."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    texts = [" ".join(words), " ".join([*words[:1500], "other", *words[1501:]]), " ".join(f"v{rng.randrange(10**6)}" for _ in range(3000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_id long, _text string").withColumns({"_k1": F.col("_id"), "_k2": F.col("_id")})
+    marked = nearsets.sets(docs).cache()
+    nodes = {r.row._id: r.node for r in marked.collect()}
+    assert {(r.a, r.b) for r in nearsets.keyed_pairs(marked).collect()} == {tuple(sorted((nodes[0], nodes[1])))}
+    monkeypatch.setattr(nearsets, "candidates", lambda posts, step: spark.createDataFrame([], "a long, b long, size int"))
+    found = nearsets.joined(marked).collect()
+    assert {x for r in found for x in (r.node, r.root)} == {nodes[0], nodes[1]}
