@@ -31,41 +31,56 @@ def names_of(path: Column) -> Column:
 
 
 def bases(edges: DataFrame, aliases: DataFrame | None) -> DataFrame:
-    """edges with the paths (no extension yet) each specifier may mean: base and target_ord.
+    """edges with `bases`, the paths (no extension yet) each specifier may mean, in order; null for a module outside.
 
     Relative specifiers give one. Otherwise the first alias in configuration order that matches gives its targets; the
-    alias table is configuration, bounded by one file, so the prefix join broadcasts it.
+    alias table is configuration, bounded by one file, so it goes to every edge as one array.
     """
     relative = F.col("specifier").startswith(".")
-    near = edges.filter(relative).select("*", normalize(F.concat(dirname(F.col("file")), F.lit("/"), F.col("specifier"))).alias("base"), F.lit(0).alias("target_ord"))
+    near = F.when(relative, F.array(normalize(F.concat(dirname(F.col("file")), F.lit("/"), F.col("specifier")))))
     if aliases is None:
-        return near
-    far = edges.filter(~relative)
-    exact = ~F.col("wildcard") & (F.col("specifier") == F.col("prefix"))
-    wild = F.col("wildcard") & F.col("specifier").startswith(F.col("prefix"))
-    first = F.row_number().over(Window.partitionBy("edge_id").orderBy("alias_ord"))
-    hit = far.join(F.broadcast(aliases), exact | wild).withColumn("_n", first).filter("_n = 1")
-    tail = F.expr("substring(specifier, length(prefix) + 1)")
-    each = hit.select(*edges.columns, F.posexplode("targets").alias("target_ord", "_target"), "wildcard", tail.alias("_tail"))
-    star = F.expr("locate('*', _target)")
-    filled = F.when(F.col("wildcard") & (star > 0), F.expr("concat(substring(_target, 1, locate('*', _target) - 1), _tail, substring(_target, locate('*', _target) + 1))")).otherwise(F.col("_target"))
-    return near.unionByName(each.select(*edges.columns, normalize(filled).alias("base"), "target_ord"))
+        return edges.select("*", near.alias("bases"))
+    one = aliases.agg(F.array_sort(F.collect_list(F.struct("alias_ord", "prefix", "wildcard", "targets"))).alias("_aliases"))
+    match = lambda a: F.when(a["wildcard"], F.col("specifier").startswith(a["prefix"])).otherwise(F.col("specifier") == a["prefix"])
+    first = edges.crossJoin(F.broadcast(one)).select(*edges.columns, F.explode(F.array(F.get(F.filter("_aliases", match), F.lit(0)))).alias("_a"))
+    tail = F.substring("specifier", F.length("_a.prefix") + 1, F.length("specifier"))
+
+    def filled(target: Column) -> Column:
+        star = F.locate("*", target)
+        whole = F.concat(F.substring(target, F.lit(1), star - 1), tail, F.substring(target, star + 1, F.length(target)))
+        return normalize(F.when(F.col("_a.wildcard") & (star > 0), whole).otherwise(target))
+
+    return first.select(*edges.columns, F.when(relative, F.get(near, F.lit(0))).alias("_near"), F.transform("_a.targets", filled).alias("_far")).select(
+        *edges.columns, F.when(relative, F.array("_near")).otherwise(F.col("_far")).alias("bases")
+    )
 
 
 def resolve(edges: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """edges with `target`, the file the specifier means; null where none is indexed (external).
 
-    edges: edge_id, file, specifier and more; files: path. An edge has two rows in the join, its path and the path
-    without a script extension; a file has one for each of the at most three names it goes by. Of an edge's hits the
-    least position counts, found by a partial aggregate rather than a sort.
+    edges: edge_id, file, specifier and more; files: path. Edges and files meet once, under the path without a script
+    extension: there a file's own path and the best of the names it goes by stand in one row, so an edge is dealt once,
+    with its columns, and is neither sorted nor joined back. Only edges whose alias has several targets are grouped.
     """
     # paths are folded together once per edge: generators keep the planner from repeating that
-    based = bases(edges, aliases).select("edge_id", "target_ord", F.explode(F.array("base")).alias("base"))
-    asked = F.array(F.struct(F.col("base").alias("key"), F.lit(True).alias("exact")), F.struct(bare_name(F.col("base")).alias("key"), F.lit(False).alias("exact")))
-    tried = based.select("edge_id", "target_ord", F.inline(asked))
-    known = files.select("path", F.inline(names_of(F.col("path"))))
-    hits = tried.join(known, ["key", "exact"]).groupBy("edge_id").agg(F.min(F.struct("target_ord", "prio", "path")).alias("_hit"))
-    return edges.join(hits, "edge_id", "left").withColumn("target", F.col("_hit.path")).drop("_hit")
+    based = bases(edges, aliases).select("*", F.explode_outer(F.array("bases")).alias("_bases")).drop("bases")
+    own = F.col("exact")
+    named = files.select("path", F.inline(names_of(F.col("path")))).withColumn("_key", F.when(own, bare_name(F.col("key"))).otherwise(F.col("key")))
+    # dealt before they are grouped: hardly any names repeat within a task, so a table of them there would only take memory
+    known = named.repartition("_key").groupBy("_key").agg(F.collect_set(F.when(own, F.col("path"))).alias("_own"), F.min(F.when(~own, F.struct("prio", "path"))).alias("_named"))
+
+    def met(rows: DataFrame) -> DataFrame:
+        keyed = rows.select("*", bare_name(F.col("_base")).alias("_at"))
+        target = F.when(F.array_contains("_own", F.col("_base")), F.col("_base")).otherwise(F.col("_named.path"))
+        return keyed.join(known.hint("shuffle_hash"), F.col("_at") == F.col("_key"), "left").withColumn("target", target)
+
+    one = met(based.filter("coalesce(size(_bases), 0) <= 1").select(*edges.columns, F.get("_bases", F.lit(0)).alias("_base"))).select(*edges.columns, "target")
+    if aliases is None:
+        return one
+    several = based.filter("size(_bases) > 1")
+    tried = met(several.select("edge_id", F.posexplode("_bases").alias("_ord", "_base"))).filter("target is not null")
+    hits = tried.groupBy("edge_id").agg(F.min(F.struct("_ord", "target")).alias("_hit"))
+    return one.unionByName(several.select(*edges.columns).join(hits, "edge_id", "left").select(*edges.columns, F.col("_hit.target").alias("target")))
 
 
 def importers(resolved: DataFrame, targets: DataFrame) -> DataFrame:

@@ -105,9 +105,14 @@ def dedupe_specific_kind(spark, sf_dir):
 # ---- modules and references
 
 
+ITEMS_A_TASK = 100_000  # whose distinct rows a task holds at once: some ten megabytes
+
+
 def _import_edges(spark, sf_dir):
     """Each supplier's file imports its parts' files by a relative path, with and without a script extension."""
-    items = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", (F.col("l_linenumber") % 2).alias("odd")).distinct()
+    items = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", (F.col("l_linenumber") % 2).alias("odd"))
+    parts = max(1, -(-items.count() // ITEMS_A_TASK))  # from the files' footers; few rows repeat, so a table of them before the exchange would only take memory
+    items = items.repartition(parts, "l_suppkey", "l_partkey", "odd").distinct()
     spec = F.concat(F.lit("./../parts/"), F.col("l_partkey").cast("string"), F.when(F.col("odd") == 0, ".js").otherwise(""))
     file = F.concat(F.lit("supp/"), F.col("l_suppkey").cast("string"), F.lit(".ts"))
     return items.select(F.concat_ws("|", file, spec).alias("edge_id"), file.alias("file"), spec.alias("specifier"))

@@ -1,6 +1,7 @@
 """Operators on small tables: expressions, modules, graphs, similarity, logs, snapshots, streams."""
 
 import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -60,6 +61,35 @@ def test_wildcard_and_first_alias(spark):
     assert got == {"e1": "alt/y.ts", "e2": "lib/core.ts", "e3": None, "e4": "d/index.ts"}
 
 
+def brute_target(bases, paths):
+    for base in bases:
+        if base in paths:
+            return base
+        stem = re.sub(r"\.[cm]?jsx?$", "", base)
+        for path in [stem + e for e in modules.EXTENSIONS] + [(f"{stem}/" if stem else "") + "index" + e for e in modules.EXTENSIONS]:
+            if path in paths:
+                return path
+
+
+def test_resolution_equals_brute_force_and_deals_edges_once(spark):
+    r = random.Random(0)
+    name = lambda: "/".join(r.choice("xy") for _ in range(r.randrange(3))) + "/" + r.choice(["a", "b", "index", "c.js"])
+    paths = {name().lstrip("/") + r.choice(["", ".ts", ".mts", ".js", ".jsx", ".css"]) for _ in range(60)}
+    asked = [("./" + name() + r.choice(["", ".js", ".jsx", ".mjs"])) for _ in range(300)] + ["@z/" + name() for _ in range(300)] + ["."]
+    edges = spark.createDataFrame([(i, "m.ts", s, -i) for i, s in enumerate(asked)] + [(-1, "m.ts", None, 1)], "edge_id long, file string, specifier string, more int")
+    files = spark.createDataFrame([(p,) for p in sorted(paths)], "path string")
+    flat = lambda s: "/".join(x for x in s.split("/") if x not in ("", "."))
+    want = {i: brute_target([flat(s)] if s[0] == "." else [flat(x + s[3:]) for x in ("x/", "y/")], paths) for i, s in enumerate(asked)} | {-1: None}
+    assert len([x for x in want.values() if x]) > 50
+    aliases = spark.createDataFrame([(0, "@z/", True, ["x/*", "y/*"])], "alias_ord int, prefix string, wildcard boolean, targets array<string>")
+    assert {x.edge_id: x.target for x in modules.resolve(edges, files, aliases).collect()} == want
+    found = modules.resolve(edges, files)
+    assert {x.edge_id: x.target for x in found.filter("more <= 0").collect()} == {i: t if asked[i][0] == "." else None for i, t in want.items() if i >= 0}
+    plan = found._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("Join") == 1  # edges go through one join, not one back to themselves
+    assert "ShuffledHashJoin" in plan.executedPlan().toString()  # of whose sides only the files are held
+
+
 def brute_cycles(pairs):
     nodes = {x for p in pairs for x in p}
     reach = {n: {b for a, b in pairs if a == n} for n in nodes}
