@@ -395,6 +395,10 @@ class Engine:
         t = self.tables
         return knowledge.resolve(concept, t.defs, t.edges, t.files)
 
+    def _anchors(self, concept: Concept, found: DataFrame) -> DataFrame:
+        """knowledge.anchors; contents, which only those of paths hash, are joined where the concept has such locators."""
+        return knowledge.anchors(found, self.files if any(p.kind == "path" for p in concept.parts) else None)
+
     def _flow_anchors(self, concept: Concept) -> tuple[DataFrame | None, trace.CallNode | None, str]:
         root, why, _ = self._trace(concept.flow.entry, concept.flow.path_glob, 6, 150)
         if root is None:
@@ -419,7 +423,7 @@ class Engine:
                 continue
             try:
                 found = self.resolve(c)
-                rows.append((id_, c.title, found.count(), self._state(id_, knowledge.anchors(found, self.files))[0]))
+                rows.append((id_, c.title, found.count(), self._state(id_, self._anchors(c, found))[0]))
             except LocatorError as e:
                 rows.append((id_, c.title, 0, f"error: {e}"))
         return Answer("\n".join(f"{i}: {t} ({n if n is not None else 'flow'}, {s})" for i, t, n, s in rows) or "No concepts.", rows)
@@ -441,7 +445,7 @@ class Engine:
                 found = graph.cut_lineage(self.resolve(c))
             except LocatorError as e:
                 return Answer(f"{concept}: {e}", [], {"error": str(e)})
-            anchors = knowledge.anchors(found, self.files)
+            anchors = self._anchors(c, found)
             head, lines = [c.title + (f": {c.description}" if c.description else "")], []
         state, changes = self._state(concept, anchors)
         if state == "unverified" or reaccept:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType
 
 from ..functions.exprs import shingles
 from .files import sources
@@ -15,7 +18,7 @@ TIER = "syntactic"
 TABLES = {
     "defs": "symbol string, kind string, line int, signature string, ord int",
     "edges": "specifier string, kind string, star boolean, names array<struct<imported: string, local: string>>, line int",
-    "fingerprints": "name string, line int, types array<string>",
+    "fingerprints": "name string, line int, types array<string>, shingles array<bigint>",
     "functions": "start int, name string, shown string, cls string, kind string, has_body boolean, line int, branches int, errors int, awaits int, top boolean, returns string, gives string, params array<string>",
     "calls": "caller int, ord int, kind string, form string, receiver string, name string, text string, pos int",
     "types": "name string, kind string, line int, params int",
@@ -45,23 +48,22 @@ def parse_files(files: DataFrame, parts: int | None = None) -> DataFrame:
     A file that breaks the parser altogether has no rows and problems = -1. parts: see tasks.
     """
 
-    def run(batches):
-        import pandas as pd
+    schema = to_arrow_schema(DataType.fromDDL(PARSED))
 
-        columns = ["file", *[t for t in TABLES if t != "edges"], "edges", "problems"]
+    def run(batches):
         for whole in batches:
-            for at in range(0, len(whole), ROWS_A_FRAME):
-                pdf, rows = whole.iloc[at : at + ROWS_A_FRAME], []
-                for path, content, grammar in zip(pdf["path"], pdf["content"], pdf["grammar"]):
+            for at in range(0, whole.num_rows, ROWS_A_FRAME):
+                part, rows = whole.slice(at, ROWS_A_FRAME), []
+                for path, content, grammar in zip(*(c.to_pylist() for c in part.columns)):
                     try:
                         found = extract(path, content, grammar)
                         problems = found.pop("errors")
                     except Exception:  # noqa: BLE001  one odd file must not end the job; it is reported in problems
                         found, problems = {t: [] for t in TABLES}, -1
                     rows.append({"file": path, **found, "problems": problems})
-                yield pd.DataFrame(rows, columns=columns)
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return dealt(sources(files).select("path", "content", "grammar"), parts).mapInPandas(run, PARSED)
+    return dealt(sources(files).select("path", "content", "grammar"), parts).mapInArrow(run, PARSED)
 
 
 @dataclass
@@ -88,7 +90,8 @@ class Tables:
     @property
     def fingerprints(self) -> DataFrame:
         rows = self._rows("fingerprints")
-        return rows.select(F.concat_ws("#", "file", "at").alias("id"), "file", "name", "line", F.size("types").alias("token_count"), shingles(F.col("types")).alias("shingles"))
+        hashes = ["shingles"] if "shingles" in rows.columns else [shingles(F.col("types")).alias("shingles")]  # an index saved before has none
+        return rows.select(F.concat_ws("#", "file", "at").alias("id"), "file", "name", "line", F.size("types").alias("token_count"), *hashes)
 
     @property
     def functions(self) -> DataFrame:

@@ -7,9 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from codegraph.engine import Engine, latest_transcript
+from codegraph.functions.exprs import shingles
 from codegraph.operators.knowledge import LocatorError, parse_symbol_query
 from codegraph.sources import files, vocab
 from codegraph.sources.frontend import File
+from codegraph.sources.index import Tables, parse_files
+from codegraph.sources.lexer import Lexer
 
 TREE = {
     "tsconfig.json": '{ // config\n "compilerOptions": {"baseUrl": ".", "paths": {"@app/*": ["src/*"], "@core": ["src/core.ts"],}}, "include": ["src"] }',
@@ -344,3 +347,32 @@ def test_long_listings_stay_out_of_the_driver(spark, tmp_path):
     said = e.arch_assert("c", "C", locators=[{"kind": "symbol", "query": "class *"}])
     assert not {"rows", "text"} & set(vars(said))
     assert "A" in said.text and [r.symbol for r in said.rows] == ["A"]
+
+
+def test_fingerprints_come_with_the_hashes_of_the_expression(spark):
+    """Runs of node types are hashed where they are found, once each, as exprs.shingles hashes them."""
+    assert all("shingles" in f for f in File("a.ts", CLONE, "typescript").fingerprints())
+    files = spark.createDataFrame([("a.ts", CLONE), ("b.tsx", CLONE + "const C = () => { return <a b={[1, 2, 3].map(x => x + 1)}>text</a>; };\n")], "path string, content string")
+    rows = Tables(parse_files(files))._rows("fingerprints").select("shingles", shingles(F.col("types")).alias("want")).collect()
+    assert len(rows) >= 2 and all(r.shingles == r.want for r in rows)
+
+
+def test_anchors_of_symbols_read_no_contents(spark, tmp_path):
+    files = spark.createDataFrame([("a.ts", "export interface IOne {}\n")], "path string, content string")
+    e = Engine(spark, files=files, home=str(tmp_path), watch=False)
+    e.arch_assert("i", "I", locators=[{"kind": "symbol", "query": "interface I*"}])
+    e.arch_assert("p", "P", locators=[{"kind": "path", "glob": "*.ts"}])
+    held = lambda c: "content" in e._anchors(c, e.resolve(c))._jdf.queryExecution().optimizedPlan().toString()
+    assert [held(e.concepts()[x]) for x in "ip"] == [False, True]
+
+
+def test_tokens_are_told_by_their_first_character_only_where_that_decides():
+    """What a blank, a comment or a line break before a token means, with and without the quick way."""
+    text = "a <!-- x\n b /* */ => c  ?.d\n.5 #e @f $g _h ?? `i${j}` / 2 <k> '}' <= >>>= \\u0061l ém"
+    lexer, pos, before, found = Lexer(text), 0, None, []
+    while (t := lexer.at(pos, before)).kind != "end":
+        found.append((t.kind[0], t.text, t.newline))
+        pos, before = t.end, t
+    want = [("n", "a", True), ("n", "b", True), ("p", "=>", False), ("n", "c", False), ("p", "?.", False), ("n", "d", False), ("n", ".5", True), ("n", "#e", False), ("p", "@", False), ("n", "f", False), ("n", "$g", False), ("n", "_h", False)]
+    want += [("p", "??", False), ("t", "`i${j}`", False), ("p", "/", False), ("n", "2", False), ("p", "<", False), ("n", "k", False), ("p", ">", False), ("s", "'}'", False), ("p", "<=", False), ("p", ">>>=", False), ("n", "\\u0061l", False), ("n", "ém", False)]
+    assert found == want
