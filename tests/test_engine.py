@@ -376,3 +376,23 @@ def test_tokens_are_told_by_their_first_character_only_where_that_decides():
     want = [("n", "a", True), ("n", "b", True), ("p", "=>", False), ("n", "c", False), ("p", "?.", False), ("n", "d", False), ("n", ".5", True), ("n", "#e", False), ("p", "@", False), ("n", "f", False), ("n", "$g", False), ("n", "_h", False)]
     want += [("p", "??", False), ("t", "`i${j}`", False), ("p", "/", False), ("n", "2", False), ("p", "<", False), ("n", "k", False), ("p", ">", False), ("s", "'}'", False), ("p", "<=", False), ("p", ">>>=", False), ("n", "\\u0061l", False), ("n", "ém", False)]
     assert found == want
+
+
+def test_a_task_holds_the_rows_of_few_files_at_a_time(spark, monkeypatch):
+    """However many files come in one batch, a worker parses and holds ROWS_A_FRAME of them before it hands their rows on."""
+    import pyarrow as pa
+
+    from codegraph.sources import index
+
+    held, parsed, extract = {}, [], index.extract
+    files = spark.createDataFrame([("a.ts", "const a = 1;")], "path string, content string")
+    monkeypatch.setattr(type(files), "mapInArrow", lambda self, f, schema: held.setdefault("run", f))
+    monkeypatch.setattr(index, "extract", lambda path, *rest: parsed.append(path) or extract(path, *rest))
+    index.parse_files(files)
+    many = 2 * index.ROWS_A_FRAME + 50
+    batch = pa.RecordBatch.from_pylist([{"path": f"f{i}.ts", "content": f"const c{i} = {i};", "grammar": "typescript"} for i in range(many)])
+    sizes = []
+    for frame in held["run"]([batch]):
+        sizes.append(frame.num_rows)
+        assert len(parsed) == sum(sizes)
+    assert sizes == [index.ROWS_A_FRAME] * 2 + [50]
