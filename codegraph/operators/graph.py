@@ -20,7 +20,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     What is joined with it is merged, not broadcast: the planner takes a checkpoint for as large as it guessed the plan
     before it to be, by default widths of texts and arrays, and so would send tables through the driver that grow with
-    the input. F.broadcast around the result still counts.
+    the input. F.broadcast around the result still counts. What is joined or united loses this: see merged.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -31,6 +31,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint().hint("merge")
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df, to be merged in the join it goes into. For a join neither side of which comes from a checkpoint by selections
+    and aggregates alone: unions and joins keep no hint, but their parts' small guesses."""
+    return df.hint("merge")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """id, in_degree and out_degree over distinct edges: one aggregation over each edge's two ends, no join."""
     flat = edges.select("src", "dst").distinct()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import is_external_file
-from .graph import cut_lineage
+from .graph import cut_lineage, merged
 
 TIER = "type-resolved"
 IMPLEMENTATIONS = 4  # of a call, as drawn
@@ -27,7 +27,7 @@ def exports(resolved: DataFrame, functions: DataFrame, types: DataFrame, renamed
     own = functions.filter("top and cls is null").select("file", "name").unionByName(types.select("file", "name")).distinct()
     known = own.select("file", "name", F.col("file").alias("def_file"), F.col("name").alias("def_name"))
     given = renamed.select("file", F.col("exported").alias("name"), F.col("local").alias("def_name"))
-    known = known.unionByName(given.join(own.withColumnRenamed("name", "def_name"), ["file", "def_name"]).select("file", "name", F.col("file").alias("def_file"), "def_name"))
+    known = known.unionByName(given.join(merged(own.withColumnRenamed("name", "def_name")), ["file", "def_name"]).select("file", "name", F.col("file").alias("def_file"), "def_name"))
     again = resolved.filter("kind = 're-export' and target is not null")
     named = again.select("file", "target", F.explode("names").alias("n")).select("file", "target", F.col("n.imported").alias("imported"), F.col("n.local").alias("local"))
     star = again.filter(F.col("star") & (F.size("names") == 0)).select("file", "target")
@@ -38,7 +38,7 @@ def exports(resolved: DataFrame, functions: DataFrame, types: DataFrame, renamed
         seen = last.select(F.col("file").alias("target"), F.col("name").alias("imported"), "def_file", "def_name")
         a = named.join(seen, ["target", "imported"]).select("file", F.col("local").alias("name"), "def_file", "def_name")
         b = star.join(seen, "target").select("file", F.col("imported").alias("name"), "def_file", "def_name")
-        new = a.unionByName(b).distinct().join(known, ["file", "name", "def_file", "def_name"], "left_anti")
+        new = a.unionByName(b).distinct().join(merged(known), ["file", "name", "def_file", "def_name"], "left_anti")
         last = cut_lineage(new)
         if last.isEmpty():
             return known
@@ -52,7 +52,7 @@ def scope(resolved: DataFrame, exported: DataFrame, functions: DataFrame, types:
     names = resolved.filter("kind = 'import' and target is not null").select("file", "target", F.explode("names").alias("n"))
     taken = names.select("file", F.col("n.local").alias("local"), "target", F.col("n.imported").alias("imported"))
     there = exported.select(F.col("file").alias("target"), F.col("name").alias("imported"), "def_file", "def_name")
-    return mine.unionByName(taken.join(there, ["target", "imported"]).select("file", "local", "def_file", "def_name")).distinct()
+    return mine.unionByName(taken.join(merged(there), ["target", "imported"]).select("file", "local", "def_file", "def_name")).distinct()
 
 
 # ---- terms
@@ -180,7 +180,7 @@ def ancestry(types: DataFrame, heritage: DataFrame, scoped: DataFrame) -> DataFr
         args = F.transform("p_args", lambda x: filled(x, F.col("a_args")))
         step = level.join(up, ["a_file", "a_cls"]).select("file", "cls", F.col("p_file").alias("a_file"), F.col("p_cls").alias("a_cls"), args.alias("a_args"))
         step = step.groupBy("file", "cls", "a_file", "a_cls").agg(F.lit(d).alias("distance"), F.min("a_args").alias("a_args"))
-        level = cut_lineage(step.join(known, ["file", "cls", "a_file", "a_cls"], "left_anti"))
+        level = cut_lineage(step.join(merged(known), ["file", "cls", "a_file", "a_cls"], "left_anti"))
         if level.isEmpty():
             return known
         known = known.unionByName(level)
