@@ -213,7 +213,7 @@ def plain_terms(uses: DataFrame, near: DataFrame, types: DataFrame, scoped: Data
     """receiver_terms of what is a class by its name, of super and of this: no binding decides them."""
     free = uses.filter("form = 'variable'").join(near.select("use_id"), "use_id", "left_anti").select("use_id", "file", "receiver").unionByName(uses.filter("form = 'typed'").select("use_id", "file", "receiver"))
     names = class_names(scoped, types).select(F.col("file").alias("n_file"), "local", F.col("key").alias("r_term"))
-    direct = free.join(names, (F.col("file") == F.col("n_file")) & (F.col("receiver") == F.col("local"))).groupBy("use_id").agg(F.min("r_term").alias("r_term"))
+    direct = free.join(merged(names), (F.col("file") == F.col("n_file")) & (F.col("receiver") == F.col("local"))).groupBy("use_id").agg(F.min("r_term").alias("r_term"))
     above = parents(heritage, types, scoped).filter("kind = 'extends'")
     of = F.concat(class_key(F.col("p_file"), F.col("p_cls")), F.when(F.size("p_args") > 0, F.concat(F.lit("<"), F.array_join("p_args", ","), F.lit(">"))).otherwise(""))
     parent = uses.filter("form = 'super'").join(above, ["file", "cls"]).groupBy("use_id").agg(F.min(of).alias("r_term"))
@@ -363,7 +363,7 @@ def call_edges(calls: DataFrame, functions: DataFrame, bindings: DataFrame, type
     head_ = F.coalesce("receiver", "name")
     marked = uses.join(found.select("use_id", "id", "impl_ord", "out"), "use_id", "left").join(outside, (F.col("file") == F.col("o_file")) & (head_ == F.col("o_local")), "left")
     declared = scoped.select(F.col("file").alias("d_file"), F.col("local").alias("d_local")).union(bindings.filter("cls is null and type is not null").select("file", "name")).distinct()
-    marked = marked.join(declared, (F.col("file") == F.col("d_file")) & (head_ == F.col("d_local")), "left")
+    marked = marked.join(merged(declared), (F.col("file") == F.col("d_file")) & (head_ == F.col("d_local")), "left")
     # of a type that is none of the tree's
     library = located.filter("r_cls is null and form in ('variable', 'field')").filter(~F.col("r_term").rlike("^[~^?]")).select("use_id", F.lit(True).alias("library"))
     marked = marked.join(library, "use_id", "left")
