@@ -200,7 +200,7 @@ def receiver_terms(uses: DataFrame, near: DataFrame, typed: DataFrame, types: Da
 
 def bound_terms(uses: DataFrame, near: DataFrame, typed: DataFrame, ancestors: DataFrame) -> DataFrame:
     """receiver_terms of fields and variables, which the bindings known so far decide."""
-    b = typed.select(F.col("file").alias("b_file"), F.col("at").alias("b_at"), F.col("cls").alias("b_cls"), F.col("name").alias("b_name"), F.col("term").alias("b_term"))
+    b = merged(typed.select(F.col("file").alias("b_file"), F.col("at").alias("b_at"), F.col("cls").alias("b_cls"), F.col("name").alias("b_name"), F.col("term").alias("b_term")))
     up = uses.filter("form = 'field'").join(ancestors, ["file", "cls"])
     field = up.join(b, (F.col("a_file") == F.col("b_file")) & (F.col("a_cls") == F.col("b_cls")) & (F.col("receiver") == F.col("b_name")))
     field = field.groupBy("use_id").agg(F.min_by(filled(F.col("b_term"), F.col("a_args")), F.struct("distance", "b_term")).alias("r_term"))
